@@ -9,8 +9,8 @@ from trendloom.functions import health
 
 
 def ingest_status(ingest_log: DataFrame, max_retries: int = 3) -> DataFrame:
-    """Per topic: complete after any non-empty attempt or after too many empty ones."""
-    counted = ingest_log.groupBy("topic").agg(
+    """Per run day and topic: complete after any non-empty attempt or too many empty ones."""
+    counted = ingest_log.groupBy("run_date", "topic").agg(
         F.count(F.lit(1)).alias("attempts"),
         F.count_if(F.col("n_posts") == 0).alias("empty_attempts"),
         F.sum("n_posts").alias("n_posts"),

@@ -74,11 +74,8 @@ def quotes(bars: DataFrame, as_of: dt.date, fetched_at: dt.datetime | None = Non
 def bar_indicators(bars: DataFrame) -> DataFrame:
     """Changes, 52-week range and average volume at every bar of every symbol."""
     by_day = Window.partitionBy("symbol").orderBy("date")
-    year = by_day.rangeBetween(-364, 0)
-    days = F.datediff("date", F.lit(dt.date(1970, 1, 1)))
-    by_number = Window.partitionBy("symbol").orderBy("_day")
-    numbered = bars.withColumn("_day", days)
-    year = by_number.rangeBetween(-364, 0)
+    year = Window.partitionBy("symbol").orderBy("_day").rangeBetween(-364, 0)
+    numbered = bars.withColumn("_day", F.datediff("date", F.lit(dt.date(1970, 1, 1))))
     previous = F.lag("close", 1).over(by_day)
     week = F.lag("close", 5).over(by_day)
     return numbered.select(
@@ -91,7 +88,7 @@ def bar_indicators(bars: DataFrame) -> DataFrame:
         _pct(F.col("close"), week).alias("change_5d_pct"),
         F.max("close").over(year).alias("high_52w"),
         F.min("close").over(year).alias("low_52w"),
-        F.floor(F.avg("volume").over(by_number.rowsBetween(-9, 0))).alias("avg_volume"),
+        F.floor(F.avg("volume").over(by_day.rowsBetween(-9, 0))).alias("avg_volume"),
     )
 
 
@@ -155,6 +152,68 @@ def fresh_quotes(quote_log: DataFrame, as_of: dt.datetime, ttl_minutes: int = 5)
     )
 
 
+def quote_validity(quote_log: DataFrame, ttl_minutes: int = 5) -> DataFrame:
+    """Quotes with the span they answer for, one row per time bucket the span touches.
+
+    A quote is valid until the next quote of its symbol and no longer than its time to live.
+    Buckets as wide as the time to live split a hot symbol into small join groups.
+    """
+    ttl = ttl_minutes * 60_000_000
+    at = F.unix_micros(F.col("fetched_at").cast("timestamp"))
+    by_time = Window.partitionBy("symbol", "bucket").orderBy("at", "quote_id")
+    numbered = quote_log.select(
+        "symbol", "current_price", "fetched_at", "quote_id", at.alias("at")
+    ).withColumn("bucket", F.floor(F.col("at") / ttl))
+    # The next quote matters only within the time to live: it lies in this bucket or the next.
+    first_of_bucket = numbered.groupBy("symbol", (F.col("bucket") - 1).alias("bucket")).agg(
+        F.min("at").alias("next_bucket_at")
+    )
+    spans = (
+        numbered.withColumn("next_at", F.lead("at").over(by_time))
+        .join(first_of_bucket, ["symbol", "bucket"], "left")
+        .withColumn("until", F.least(F.coalesce("next_at", "next_bucket_at"), F.col("at") + ttl))
+    )
+    return spans.select(
+        "symbol",
+        "current_price",
+        "fetched_at",
+        F.col("at").alias("valid_from"),
+        F.col("until").alias("valid_until"),
+        F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"),
+    )
+
+
+def quotes_at_mention(
+    posts: DataFrame, quote_log: DataFrame, ttl_minutes: int = 5
+) -> DataFrame:
+    """Ticker mentions with the newest quote fresh at the time of the post, if there is one.
+
+    Works on a table and on a stream of posts; the quote log is a table.
+    """
+    ttl = ttl_minutes * 60_000_000
+    at = F.unix_micros(F.col("created_at").cast("timestamp"))
+    named = (
+        posts.where(~F.col("is_retweet"))
+        .select(
+            "id",
+            "created_at",
+            F.explode(F.array_distinct(text.cashtags(F.col("text")))).alias("symbol"),
+        )
+        .withColumn("posted_at", at)
+        .withColumn("bucket", F.floor(F.col("posted_at") / ttl))
+    )
+    spans = quote_validity(quote_log, ttl_minutes)
+    valid = (
+        (named["symbol"] == spans["symbol"])
+        & (named["bucket"] == spans["bucket"])
+        & (named["posted_at"] >= spans["valid_from"])
+        & (named["posted_at"] < spans["valid_until"])
+    )
+    return named.join(spans, valid, "left").select(
+        named["id"], named["created_at"], named["symbol"], "current_price", "fetched_at"
+    )
+
+
 def stale_symbols(symbols: DataFrame, fresh: DataFrame) -> DataFrame:
     """Requested symbols without a fresh quote."""
     return symbols.select("symbol").distinct().join(fresh.select("symbol"), "symbol", "left_anti")

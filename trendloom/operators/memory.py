@@ -148,9 +148,12 @@ def _no_hits(memories: DataFrame) -> DataFrame:
     ).limit(0)
 
 
-def parallels_within_budget(hits: DataFrame, budget: int = 3) -> DataFrame:
+def parallels_within_budget(
+    hits: DataFrame, budget: int = 3, strong: float = 0.75, moderate: float = 0.6
+) -> DataFrame:
     """Strong matches first, then moderate ones, up to the budget per query."""
-    banded = hits.withColumn("band", scoring.match_band(F.col("similarity"))).where("band is not null")
+    band = scoring.match_band(F.col("similarity"), strong, moderate)
+    banded = hits.withColumn("band", band).where("band is not null")
     order = Window.partitionBy("query_id").orderBy(
         F.when(F.col("band") == "strong", 0).otherwise(1), F.desc("similarity"), "id"
     )

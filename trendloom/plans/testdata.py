@@ -152,7 +152,8 @@ FROM (
 """
 
 INGEST_LOG = """
-SELECT concat('topic', CAST(user_id % 44 AS VARCHAR(20))) AS topic,
+SELECT CAST(ts AS DATE) AS run_date,
+       concat('src', CAST(user_id % 44 AS VARCHAR(20))) AS topic,
        event_id AS attempt,
        CASE WHEN event_type = 'error' OR user_id % 44 < 3 THEN 0 ELSE 1 END AS n_posts
 FROM {events}
@@ -181,6 +182,25 @@ SELECT {choose('l_suppkey', SYMBOLS)} AS symbol,
 FROM {{lineitem}}
 """
 
+PRICE_LOG = f"""
+SELECT {choose('user_id', SYMBOLS)} AS symbol, value AS current_price, ts AS fetched_at,
+       event_id AS quote_id
+FROM {{events}}
+"""
+
+RAW_POSTS = f"""
+SELECT doc_id AS id,
+       CASE WHEN doc_id % 23 = 0 THEN NULL
+            ELSE concat(CASE WHEN doc_id % 17 = 0 THEN 'RT @user1: ' ELSE '' END, text) END AS raw_content,
+       CASE WHEN doc_id % 19 = 0 THEN NULL ELSE concat('user', CAST((doc_id * 7) % 53 AS VARCHAR(20))) END AS user_name,
+       CASE WHEN doc_id % 13 = 0 THEN NULL ELSE CAST(n_chars % 997 AS INT) END AS like_count,
+       CASE WHEN doc_id % 12 = 0 THEN NULL ELSE CAST((doc_id * 13) % 211 AS INT) END AS retweet_count,
+       CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(doc_id % 29 AS INT) END AS reply_count,
+       CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(n_chars * 3 AS INT) END AS view_count,
+       {{seconds_after_new_year}} AS created_at, lang
+FROM {{documents}}
+"""
+
 _SPARK = {
     "array": "array",
     "explode": "explode",
@@ -212,6 +232,8 @@ SQL = {
     "ingest_log": INGEST_LOG,
     "run_metrics": RUN_METRICS,
     "quote_log": QUOTE_LOG,
+    "price_log": PRICE_LOG,
+    "raw_posts": RAW_POSTS,
 }
 
 

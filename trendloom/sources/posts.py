@@ -31,19 +31,19 @@ def read_raw_posts(spark: SparkSession, path: str, fmt: str = "json") -> DataFra
     return normalize_raw_posts(spark.read.schema(schemas.RAW_POST).format(fmt).load(path))
 
 
-def read_run_states(spark: SparkSession, path: str) -> DataFrame:
-    """Saved run states, one JSON document per file."""
-    return spark.read.schema(schemas.RUN_STATE).json(path, multiLine=True)
+def read_run_states(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Saved run states: one JSON document per file, or one per line."""
+    return spark.read.schema(schemas.RUN_STATE).json(path, multiLine=multi_line)
 
 
 def state_posts(states: DataFrame) -> DataFrame:
-    return states.select(F.explode("broad_tweets").alias("p")).select(_state_post("p"))
+    return states.select(F.explode("broad_tweets").alias("p")).select(*_state_post("p"))
 
 
 def state_trend_posts(states: DataFrame) -> DataFrame:
     per_trend = states.select(F.explode("trend_tweets").alias("trend", "posts"))
     return per_trend.select("trend", F.explode("posts").alias("p")).select(
-        "trend", _state_post("p")
+        "trend", *_state_post("p")
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom import schemas
-from trendloom.functions import scoring, text
+from trendloom.functions import scoring
 from trendloom.operators import mentions as m
 from trendloom.session import work_folder
 from trendloom.sources.posts import normalize_raw_posts
@@ -137,28 +137,6 @@ def sliding_scores(
     )
 
 
-def quoted_cashtags(posts: DataFrame, quotes: DataFrame, ttl_minutes: int = 5) -> DataFrame:
-    """Streamed ticker mentions with the quote, if one was fresh when the post was written.
-
-    ``quotes`` is a static table with one row per symbol and fetch time.
-    """
-    named = posts.where(~F.col("is_retweet")).select(
-        "id",
-        "created_at",
-        F.explode(F.array_distinct(text.cashtags(F.col("text")))).alias("symbol"),
-    )
-    known = quotes.select("symbol", "current_price", "fetched_at")
-    age = F.expr(f"INTERVAL '{int(ttl_minutes)}' MINUTE")
-    fresh = (
-        (named["symbol"] == known["symbol"])
-        & (known["fetched_at"] <= named["created_at"])
-        & (known["fetched_at"] > named["created_at"] - age)
-    )
-    return named.join(known, fresh, "left").select(
-        named["id"], named["created_at"], named["symbol"], "current_price", "fetched_at"
-    )
-
-
 def stream_engagement(posts: DataFrame, delay: str = "1 day") -> DataFrame:
     """Posts and engagement per topic and hour of a post stream."""
     tenths = scoring.engagement_tenths(F.col("likes"), F.col("retweets"), F.col("replies"))
