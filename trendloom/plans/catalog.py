@@ -1,6 +1,6 @@
 """All named queries."""
 
-from trendloom.plans import posts, trends  # noqa: F401
+from trendloom.plans import history, market, posts, trends  # noqa: F401
 from trendloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

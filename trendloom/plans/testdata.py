@@ -82,7 +82,7 @@ TREND_HISTORY = """
 SELECT concat(event_type, '_', CAST(user_id AS VARCHAR(20))) AS trend_term,
        CAST(ts AS DATE) AS run_date,
        CAST(count(*) AS INT) AS mention_count,
-       sum(CAST(round(value * 100) AS BIGINT)) / 100.0 AS engagement_score
+       sum(CAST(round(value * 100) AS BIGINT)) / 1e2 AS engagement_score
 FROM {events}
 GROUP BY 1, 2
 """
