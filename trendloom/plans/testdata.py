@@ -49,7 +49,7 @@ TREND_NAMES = (
 def choose(number: str, values: tuple[str, ...]) -> str:
     """SQL that picks one of the values by a number."""
     cases = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
-    return f"CASE {number} % {len(values)} {cases} END"
+    return f"CASE ({number}) % {len(values)} {cases} END"
 
 
 POSTS = f"""

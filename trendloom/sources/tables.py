@@ -16,12 +16,13 @@ def digest_rows(runs: DataFrame) -> DataFrame:
 
 
 def store_digests(runs: DataFrame, path: str) -> None:
-    """Append digests, one folder per run date."""
-    digest_rows(runs).write.mode("append").partitionBy("run_date").parquet(path)
+    """Append digests, one folder per month: a run is one row, too little for a folder."""
+    rows = digest_rows(runs).withColumn("month", F.date_format("run_date", "yyyy-MM"))
+    rows.repartition("month").write.mode("append").partitionBy("month").parquet(path)
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.DIGEST).parquet(path)
+    return spark.read.schema(schemas.DIGEST + ", month STRING").parquet(path).drop("month")
 
 
 def latest_versions(

@@ -35,6 +35,13 @@ def run_available(stream: DataFrame, purpose: str, checkpoint: str | None = None
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def _event_time(posts: DataFrame, delay: str) -> DataFrame:
+    """Posts with a watermark. Watermarks need a time with zone; tables hold times without."""
+    return posts.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark(
+        "created_at", delay
+    )
+
+
 def ingest_activity(posts: DataFrame, folder: str, term_types: tuple[str, ...] = m.ALL_TYPES) -> None:
     """Add the daily activity of newly arrived posts to a table, once per post file.
 
@@ -74,7 +81,8 @@ def ingested_activity(spark: SparkSession, folder: str) -> DataFrame:
 
 def deduplicated(posts: DataFrame, delay: str = "1 day") -> DataFrame:
     """Posts without repeats of an id inside the watermark."""
-    return posts.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])
+    once = _event_time(posts, delay).dropDuplicatesWithinWatermark(["id"])
+    return once.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
 def daily_counts(
@@ -84,7 +92,7 @@ def daily_counts(
 
     Author counts are approximate: exact distinct counts would keep every author in state.
     """
-    rows = m.mentions(posts.withWatermark("created_at", delay), term_types)
+    rows = m.mentions(_event_time(posts, delay), term_types)
     return (
         rows.groupBy(F.window("created_at", "1 day").alias("w"), "term_type", "key")
         .agg(
@@ -111,7 +119,7 @@ def sliding_scores(
     term_types: tuple[str, ...] = m.ALL_TYPES,
 ) -> DataFrame:
     """Velocity and composite score of each term per sliding window."""
-    rows = m.mentions(posts.withWatermark("created_at", delay), term_types)
+    rows = m.mentions(_event_time(posts, delay), term_types)
     is_cashtag = F.col("term_type") == m.CASHTAG
     stats = (
         rows.groupBy(F.window("created_at", width, slide).alias("w"), "term_type", "key")
@@ -125,8 +133,8 @@ def sliding_scores(
         .withColumn("total_engagement", F.col("tenths") / 10.0)
     )
     return m.with_scores(stats).select(
-        F.col("w.start").alias("window_start"),
-        F.col("w.end").alias("window_end"),
+        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+        F.col("w.end").cast("timestamp_ntz").alias("window_end"),
         "term_type",
         "key",
         "mention_count",
@@ -141,11 +149,11 @@ def stream_engagement(posts: DataFrame, delay: str = "1 day") -> DataFrame:
     """Posts and engagement per topic and hour of a post stream."""
     tenths = scoring.engagement_tenths(F.col("likes"), F.col("retweets"), F.col("replies"))
     return (
-        posts.withWatermark("created_at", delay)
+        _event_time(posts, delay)
         .groupBy(F.window("created_at", "1 hour").alias("w"), "topic")
         .agg(F.count(F.lit(1)).alias("n_posts"), F.sum(tenths).alias("tenths"))
         .select(
-            F.col("w.start").alias("window_start"),
+            F.col("w.start").cast("timestamp_ntz").alias("window_start"),
             "topic",
             "n_posts",
             (F.col("tenths") / 10.0).alias("engagement"),
