@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions import patterns, scoring
+from trendloom.operators.health import one_row
 from trendloom.operators.timeline import in_days
 
 
@@ -41,15 +42,16 @@ def context_lines(
 ) -> DataFrame:
     """The newest digests with their first trends, under the 30-day baseline."""
     lines = recent_digests(digests, as_of, days).limit(newest)
-    baseline = baseline_stats(digests, as_of).select("total_runs", "notable_rate")
-    shown = lines.select(
+    baseline = baseline_stats(digests, as_of)
+    return lines.select(
         "run_date",
         F.slice("trends", 1, n_trends).alias("top_trends"),
         "signal_strength",
         "top_engagement",
         "notable",
+        baseline.select("total_runs").scalar().alias("total_runs"),
+        baseline.select("notable_rate").scalar().alias("notable_rate"),
     )
-    return shown.join(F.broadcast(baseline))
 
 
 def watch_hit(
@@ -106,5 +108,5 @@ def summary_row(
         F.coalesce(F.max(tenths) / 10.0, F.lit(0.0)).alias("top_engagement"),
     )
     articles = news.agg(F.count(F.lit(1)).alias("news_count"))
-    row = named.join(posts).join(articles).withColumn("run_date", F.lit(run_date))
+    row = one_row(named, posts, articles).withColumn("run_date", F.lit(run_date))
     return with_signal(row.withColumn("trend_count", F.size("trends")), baseline)

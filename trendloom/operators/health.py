@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,12 @@ def ingest_status(ingest_log: DataFrame, max_retries: int = 3) -> DataFrame:
     )
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Single-row results side by side: a union of their columns, folded into one row."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 def run_totals(
     posts: DataFrame, trend_posts: DataFrame, status: DataFrame, news: DataFrame
 ) -> DataFrame:
@@ -38,7 +46,7 @@ def run_totals(
         F.count_if(F.col("status") == "complete").alias("sources_active"),
     )
     articles = news.agg(F.count(F.lit(1)).alias("news_articles"))
-    row = broad.join(deep).join(sources).join(articles)
+    row = one_row(broad, deep, sources, articles)
     return row.withColumn("total_posts", F.col("broad_posts") + F.col("deep_dive_posts"))
 
 

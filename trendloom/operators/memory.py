@@ -6,6 +6,7 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions import digest_text, scoring
+from trendloom.session import written
 
 QUERY_BLOCK = 1024
 
@@ -71,6 +73,10 @@ def embed(texts: DataFrame, text_column: str, features: int = 1024) -> DataFrame
     )
 
 
+def _unit_rows(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+
+
 def _block_hits(memories: DataFrame, queries: pd.DataFrame, k: int, floor: float) -> DataFrame:
     """Cosine hits of one bounded block of query vectors against all memories.
 
@@ -78,31 +84,43 @@ def _block_hits(memories: DataFrame, queries: pd.DataFrame, k: int, floor: float
     query and batch, so memories are never shuffled and no pair below the threshold exists.
     """
     names = queries["query_id"].to_numpy()
-    matrix = np.stack(queries["query_embedding"].to_numpy()).astype("float64")
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-
-    def search(batches):
+    index = pd.Index(names)
+    matrix = _unit_rows(np.stack(queries["query_embedding"].to_numpy()).astype("float64"))
+
+    def best_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column("id").to_pandas().to_numpy()
+        flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+        vectors = _unit_rows(flat.astype("float64").reshape(len(ids), -1))
+        # Rounded, so that the order of equal vectors does not depend on the batch.
+        scores = np.round(matrix @ vectors.T, 12)
+        own = index.get_indexer(ids)
+        scores[own[own >= 0], np.flatnonzero(own >= 0)] = -2.0
+        width = min(k, scores.shape[1])
+        kth = np.partition(scores, -width, axis=1)[:, -width]
+        q, m = np.nonzero(scores >= np.maximum(kth, floor)[:, None])
+        order = np.lexsort((ids[m], -scores[q, m], q))
+        q, m = q[order], m[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        q, m = q[place < k], m[place < k]
+        id_type = batch.schema.field("id").type
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(names[q], type=id_type),
+                pa.array(ids[m], type=id_type),
+                pa.array(scores[q, m], type=pa.float64()),
+            ],
+            names=["query_id", "id", "similarity"],
+        )
+
+    def search_batches(batches):
         for batch in batches:
-            if batch.empty:
-                continue
-            vectors = np.stack(batch["embedding"].to_numpy()).astype("float64")
-            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-            ids = batch["id"].to_numpy()
-            # Rounded, so that the order of equal vectors does not depend on the batch.
-            scores = np.round(matrix @ vectors.T, 12)
-            scores[names[:, None] == ids[None, :]] = -2.0
-            width = min(k, scores.shape[1])
-            kth = np.partition(scores, -width, axis=1)[:, -width]
-            q, m = np.nonzero(scores >= np.maximum(kth, floor)[:, None])
-            order = np.lexsort((ids[m], -scores[q, m], q))
-            q, m = q[order], m[order]
-            place = np.arange(len(q)) - np.searchsorted(q, q)
-            q, m = q[place < k], m[place < k]
-            yield pd.DataFrame({"query_id": names[q], "id": ids[m], "similarity": scores[q, m]})
+            if batch.num_rows:
+                yield best_of(batch)
 
     id_type = memories.schema["id"].dataType.simpleString()
     schema = f"query_id {id_type}, id {id_type}, similarity double"
-    return memories.select("id", "embedding").mapInPandas(search, schema)
+    usable = memories.where(F.col("embedding").isNotNull()).select("id", "embedding")
+    return usable.mapInArrow(search_batches, schema)
 
 
 def search(
@@ -114,20 +132,24 @@ def search(
 ) -> DataFrame:
     """The k most similar other memories of each query, best first, above a threshold.
 
-    ``queries`` has ``query_id`` and ``query_embedding``. Up to ``block`` queries travel to the
-    tasks with one pass over the memories; more queries take one further pass per block, so
-    what is sent to a task stays bounded and the result stays exact.
+    ``queries`` has a unique ``query_id``, of the type of the memory ids, and ``query_embedding``.
+    Up to ``block`` queries travel to the tasks with one pass over the memories; more queries
+    take one further pass per block, so what is sent to a task stays bounded and the result
+    stays exact.
     """
+    id_type = memories.schema["id"].dataType
+    queries = queries.select(F.col("query_id").cast(id_type), "query_embedding")
     n = queries.count()
     blocks = max(1, -(-n // block))
     if blocks == 1:
         parts = [queries]
     else:
+        queries = written(queries, "queries")
         slot = F.pmod(F.xxhash64("query_id"), F.lit(blocks * 2))
         parts = [queries.where(slot == i) for i in range(blocks * 2)]
     hits = None
     for part in parts:
-        rows = part.select("query_id", "query_embedding").toPandas()
+        rows = part.toPandas()
         if rows.empty:
             continue
         found = _block_hits(memories, rows, k, min_similarity)

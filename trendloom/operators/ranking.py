@@ -124,15 +124,16 @@ def post_phrases(words: Column, max_words: int) -> Column:
 
 
 def phrase_hits(posts: DataFrame, phrases: DataFrame, max_words: int) -> DataFrame:
-    """(id, phrase columns) for every phrase that occurs in a post as consecutive words.
+    """Posts without their text, one row per phrase that occurs in them as consecutive words.
 
     An equi-join on word runs instead of a nested-loop text search: it works for a handful of
     phrases (Spark broadcasts a small table by its size) and for millions alike.
     ``phrases`` has a column ``phrase`` in the form given by ``phrase_key``.
     """
-    words = posts.select("*", phrase_words(F.col("text")).alias("_words"))
-    runs = words.select("*", F.explode(post_phrases(F.col("_words"), max_words)).alias("phrase"))
-    return runs.drop("_words").join(phrases, "phrase")
+    narrow = [c for c in posts.columns if c != "text"]
+    words = posts.select(*narrow, phrase_words(F.col("text")).alias("_words"))
+    runs = words.select(*narrow, F.explode(post_phrases(F.col("_words"), max_words)).alias("phrase"))
+    return runs.join(phrases, "phrase")
 
 
 def phrase_key(col: Column) -> Column:
@@ -155,13 +156,20 @@ def topic_matches(posts: DataFrame, topics: DataFrame, max_words: int = 5) -> Da
 def trend_posts(
     posts: DataFrame, trends: DataFrame, limit_per_trend: int = 100, max_words: int = 3
 ) -> DataFrame:
-    """The newest posts that mention each trend as a word, tag or phrase."""
+    """The newest posts that mention each trend as a word, tag or phrase.
+
+    Ids are matched and ranked first; only the posts within the limit fetch their text.
+    ``posts`` has one row per id.
+    """
     terms = trends.select(F.col("term").alias("trend"), phrase_key(F.col("term")).alias("phrase"))
-    hits = phrase_hits(posts, terms, max_words).drop("phrase")
+    hits = phrase_hits(posts.select("id", "created_at", "text"), terms, max_words)
     newest = Window.partitionBy("trend").orderBy(F.desc("created_at"), "id")
-    return hits.withColumn("post_rank", F.row_number().over(newest)).where(
-        F.col("post_rank") <= limit_per_trend
+    chosen = (
+        hits.withColumn("post_rank", F.row_number().over(newest))
+        .where(F.col("post_rank") <= limit_per_trend)
+        .select("trend", "id", "post_rank")
     )
+    return chosen.join(posts, "id")
 
 
 def merged_trend_posts(collected: DataFrame, new: DataFrame) -> DataFrame:

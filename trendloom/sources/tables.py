@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom import schemas
-from trendloom.operators.ranking import keep_first
 from trendloom.session import written
 
 
@@ -30,14 +30,34 @@ def latest_versions(
 ) -> DataFrame:
     """Union in which new rows replace old rows of the same key.
 
-    ``keep_earliest`` names a column whose smallest value survives the replacement.
+    ``keep_earliest`` names a column whose smallest value survives the replacement. One
+    aggregation, combined before the shuffle, so many versions of one key cost one row per task.
     """
+    rest = [c for c in new.columns if c not in key]
     both = old.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))
-    order: list[Column] = [F.desc("_v")]
+    newest = F.max_by(F.struct(*rest), F.struct("_v", F.xxhash64(*rest))).alias("_row")
+    kept = {c: F.col(f"_row.{c}") for c in rest}
     if keep_earliest is None:
-        return keep_first(both, key, order).drop("_v")
-    oldest = both.groupBy(*key).agg(F.min(keep_earliest).alias(keep_earliest))
-    return keep_first(both, key, order).drop("_v", keep_earliest).join(oldest, key).select(*old.columns)
+        merged = both.groupBy(*key).agg(newest)
+    else:
+        merged = both.groupBy(*key).agg(newest, F.min(keep_earliest).alias("_earliest"))
+        kept[keep_earliest] = F.col("_earliest")
+    return merged.select(*key, *[c.alias(n) for n, c in kept.items()]).select(*new.columns)
+
+
+MAX_LISTED_PARTITIONS = 5000
+
+
+def _in_same_partitions(old: DataFrame, new: DataFrame, partition: str) -> DataFrame:
+    """Old rows in the partitions that new rows touch.
+
+    A short list of partition values becomes a literal filter, so other partitions are not read.
+    """
+    touched = new.select(partition).distinct()
+    values = [r[0] for r in touched.limit(MAX_LISTED_PARTITIONS + 1).collect()]
+    if len(values) > MAX_LISTED_PARTITIONS:
+        return old.join(touched, partition, "left_semi")
+    return old.where(F.col(partition).isin(values))
 
 
 def upsert_partitions(
@@ -53,17 +73,14 @@ def upsert_partitions(
     new = written(new, "new-rows")
     try:
         old = spark.read.schema(new.schema).parquet(path)
-    except Exception as error:  # the first write creates the table
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:  # the first write creates the table
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         old = spark.createDataFrame([], new.schema)
-    touched = new.select(partition).distinct()
-    merged = latest_versions(
-        old.join(touched, partition, "left_semi"), new, key, keep_earliest
-    )
-    staged = written(merged, "merged-rows")
+    merged = latest_versions(_in_same_partitions(old, new, partition), new, key, keep_earliest)
     (
-        staged.repartition(partition, F.pmod(F.xxhash64(*key), F.lit(8)))
+        written(merged, "merged-rows")
+        .repartition(partition, F.pmod(F.xxhash64(*key), F.lit(8)))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)
