@@ -51,7 +51,7 @@ def trend_category(trend: Column) -> Column:
 
 
 def trend_categories(trends: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(trends, trend_category)))
+    return F.sort_array(F.array_distinct(F.transform(trends, trend_category)))
 
 
 def themes(text: Column, limit: int = 10) -> Column:

@@ -235,7 +235,11 @@ def category_summary(quote_rows: DataFrame) -> DataFrame:
 
 def claims(posts: DataFrame) -> DataFrame:
     """One row per post and mentioned ticker with what the post claims about it."""
-    stated = posts.where(~F.col("is_retweet")).select(
+    # Cheap tests first: most posts hold no ticker, percentage or volume word at all.
+    possible = F.col("text").contains("%") | F.lower("text").rlike("volume|high")
+    stated = posts.where(
+        ~F.col("is_retweet") & possible & text.has_cashtag(F.col("text"))
+    ).select(
         "id",
         F.array_distinct(text.cashtags(F.col("text"))).alias("symbols"),
         market.claimed_move_pct(F.col("text")).alias("claimed_pct"),

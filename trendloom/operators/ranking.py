@@ -110,7 +110,7 @@ def phrase_words(col: Column) -> Column:
 
 
 def post_phrases(words: Column, max_words: int) -> Column:
-    """Distinct runs of 1 to max_words consecutive words."""
+    """All runs of 1 to max_words consecutive words."""
     size = F.greatest(F.size(words), F.lit(1))
     runs, current = [words], words
     for shift in range(2, max_words + 1):
@@ -120,19 +120,31 @@ def post_phrases(words: Column, max_words: int) -> Column:
             lambda a, b: F.concat(a, F.lit(" "), b),
         )
         runs.append(F.array_compact(current))
-    return F.array_distinct(F.concat(*runs))
+    return F.concat(*runs) if len(runs) > 1 else words
 
 
-def phrase_hits(posts: DataFrame, phrases: DataFrame, max_words: int) -> DataFrame:
+MAX_LISTED_PHRASES = 2000
+
+
+def phrase_hits(posts: DataFrame, phrases: DataFrame) -> DataFrame:
     """Posts without their text, one row per phrase that occurs in them as consecutive words.
 
-    An equi-join on word runs instead of a nested-loop text search: it works for a handful of
-    phrases (Spark broadcasts a small table by its size) and for millions alike.
-    ``phrases`` has a column ``phrase`` in the form given by ``phrase_key``.
+    ``phrases`` has a column ``phrase`` in the form given by ``phrase_key``. A short list becomes
+    a literal and is intersected within each post. A long one is joined on the word runs, an
+    equi-join that spreads over the cluster, where a text search would compare every pair.
     """
     narrow = [c for c in posts.columns if c != "text"]
     words = posts.select(*narrow, phrase_words(F.col("text")).alias("_words"))
-    runs = words.select(*narrow, F.explode(post_phrases(F.col("_words"), max_words)).alias("phrase"))
+    listed = phrases.select("phrase").distinct()
+    few = [r.phrase for r in listed.limit(MAX_LISTED_PHRASES + 1).collect()]
+    if len(few) <= MAX_LISTED_PHRASES:
+        longest = max((p.count(" ") + 1 for p in few), default=1)
+        wanted = F.array(*[F.lit(p) for p in few]).cast("array<string>")
+        found = F.array_intersect(post_phrases(F.col("_words"), longest), wanted)
+    else:
+        longest = listed.agg(F.max(F.size(F.split("phrase", " ")))).first()[0]
+        found = F.array_distinct(post_phrases(F.col("_words"), longest))
+    runs = words.select(*narrow, F.explode(found).alias("phrase"))
     return runs.join(phrases, "phrase")
 
 
@@ -147,22 +159,20 @@ def topic_phrases(topics: DataFrame) -> DataFrame:
     )
 
 
-def topic_matches(posts: DataFrame, topics: DataFrame, max_words: int = 5) -> DataFrame:
+def topic_matches(posts: DataFrame, topics: DataFrame) -> DataFrame:
     """Distinct (id, topic) pairs of posts that satisfy one alternative of a topic."""
-    hits = phrase_hits(posts.select("id", "text"), topic_phrases(topics), max_words)
+    hits = phrase_hits(posts.select("id", "text"), topic_phrases(topics))
     return hits.select("id", "topic").distinct()
 
 
-def trend_posts(
-    posts: DataFrame, trends: DataFrame, limit_per_trend: int = 100, max_words: int = 3
-) -> DataFrame:
+def trend_posts(posts: DataFrame, trends: DataFrame, limit_per_trend: int = 100) -> DataFrame:
     """The newest posts that mention each trend as a word, tag or phrase.
 
     Ids are matched and ranked first; only the posts within the limit fetch their text.
     ``posts`` has one row per id.
     """
     terms = trends.select(F.col("term").alias("trend"), phrase_key(F.col("term")).alias("phrase"))
-    hits = phrase_hits(posts.select("id", "created_at", "text"), terms, max_words)
+    hits = phrase_hits(posts.select("id", "created_at", "text"), terms)
     newest = Window.partitionBy("trend").orderBy(F.desc("created_at"), "id")
     chosen = (
         hits.withColumn("post_rank", F.row_number().over(newest))

@@ -236,19 +236,19 @@ def _(spark, sf):
 @query(
     "post_ngrams",
     o.with_ctes(
-        ["post_terms"],
-        """SELECT id, count(*) AS n_terms, md5(string_agg(key, '|' ORDER BY key)) AS terms_md5
-           FROM post_terms GROUP BY id""",
+        ["facts", "post_terms"],
+        """SELECT id, count(key) AS n_terms, md5(coalesce(string_agg(key, '|' ORDER BY key), '')) AS terms_md5
+           FROM facts LEFT JOIN post_terms USING (id) GROUP BY id""",
     ),
 )
 def _(spark, sf):
     posts = mentions.post_facts(td.derived(spark, sf, "posts"))
     words = posts.withColumn("words", text.term_words(F.col("text")))
     terms = words.select("id", text.ngram_keys(F.col("words"), F.col("text")).alias("terms"))
-    return terms.where(F.size("terms") > 0).select(
+    return terms.select(
         "id",
         F.size("terms").cast("bigint").alias("n_terms"),
-        F.md5(F.array_join(F.array_sort("terms"), "|")).alias("terms_md5"),
+        F.md5(F.array_join(F.sort_array("terms"), "|")).alias("terms_md5"),
     )
 
 

@@ -391,5 +391,5 @@ def _(spark, sf):
     # One key has at most a handful of spellings: one per family and mark.
     return named.groupBy(text.normalized_key(F.col("term")).alias("norm_key")).agg(
         F.count(F.lit(1)).alias("spellings"),
-        F.array_join(F.array_sort(F.collect_list("term")), "|").alias("terms"),
+        F.array_join(F.sort_array(F.collect_list("term")), "|").alias("terms"),
     )
