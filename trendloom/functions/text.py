@@ -26,13 +26,20 @@ class TermRules:
         short = [t for t in self.noise_terms if len(t) <= 3 or self.match == "word"]
         return tuple(dict.fromkeys([*short, *self.stop_words]))
 
+    def _inside(self, terms: list[str]) -> str:
+        if self.match == "word":
+            return patterns.any_of(terms, whole_word=True) + r"|http|www|\.com"
+        return patterns.any_of([*terms, "http", "www", ".com"])
+
     @cached_property
     def inside(self) -> str:
         """Pattern of the noise found anywhere inside a term."""
-        parts = [t for t in self.noise_terms if len(t) > 3]
-        if self.match == "word":
-            return patterns.any_of(parts, whole_word=True) + r"|http|www|\.com"
-        return patterns.any_of([*parts, "http", "www", ".com"])
+        return self._inside([t for t in self.noise_terms if len(t) > 3])
+
+    @cached_property
+    def inside_word(self) -> str:
+        """Pattern of the noise found inside a single word."""
+        return self._inside([t for t in self.noise_terms if len(t) > 3 and " " not in t])
 
     @cached_property
     def phrases(self) -> str | None:
@@ -125,7 +132,7 @@ def term_words(text: Column, rules: TermRules = DEFAULT_RULES) -> Column:
     finds them all, where a test per word would start the pattern a hundred times per post.
     """
     low = F.lower(clean_text(text))
-    unusable = rf"(?<![^ ])(?:[^ ]*?(?:{rules.inside})[^ ]*|[^ \p{{L}}\p{{N}}]+(?![^ ]))"
+    unusable = rf"(?<![^ ])(?:[^ ]*?(?:{rules.inside_word})[^ ]*|[^ \p{{L}}\p{{N}}]+(?![^ ]))"
     return F.split(F.regexp_replace(low, unusable, BREAK), " ")
 
 
