@@ -124,8 +124,7 @@ def requested_symbols(trends: DataFrame) -> DataFrame:
         & (F.col("term") != F.lower("term"))
     )
     spare = upper.select(F.col("term").alias("symbol")).distinct()
-    found = named.limit(1).select(F.lit(1).alias("found"))
-    return named.unionByName(spare.join(found, F.lit(True), "left_anti"))
+    return named.unionByName(spare.where(~named.exists()))
 
 
 def with_common_symbols(symbols: DataFrame) -> DataFrame:

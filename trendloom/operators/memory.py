@@ -73,24 +73,25 @@ def embed(texts: DataFrame, text_column: str, features: int = 1024) -> DataFrame
     )
 
 
-def _unit_rows(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-
-
 def _block_hits(memories: DataFrame, queries: pd.DataFrame, k: int, floor: float) -> DataFrame:
     """Cosine hits of one bounded block of query vectors against all memories.
 
     Each task multiplies its Arrow batches with the block and passes on at most k hits per
     query and batch, so memories are never shuffled and no pair below the threshold exists.
+    The functions are local, so that workers need no copy of this package.
     """
+
+    def unit_rows(vectors: np.ndarray) -> np.ndarray:
+        return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+
     names = queries["query_id"].to_numpy()
     index = pd.Index(names)
-    matrix = _unit_rows(np.stack(queries["query_embedding"].to_numpy()).astype("float64"))
+    matrix = unit_rows(np.stack(queries["query_embedding"].to_numpy()).astype("float64"))
 
     def best_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column("id").to_pandas().to_numpy()
         flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-        vectors = _unit_rows(flat.astype("float64").reshape(len(ids), -1))
+        vectors = unit_rows(flat.astype("float64").reshape(len(ids), -1))
         # Rounded, so that the order of equal vectors does not depend on the batch.
         scores = np.round(matrix @ vectors.T, 12)
         own = index.get_indexer(ids)

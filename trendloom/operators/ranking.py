@@ -97,8 +97,7 @@ def with_fallback(terms: DataFrame, fallback: tuple[str, ...] = constants.FALLBA
     spare = spark.range(1).select(
         F.posexplode(F.array(*[F.lit(t) for t in fallback])).alias("pos", "term")
     )
-    found = terms.limit(1).select(F.lit(1).alias("found"))
-    quiet = spare.join(found, F.lit(True), "left_anti")
+    quiet = spare.where(~terms.exists())
     return terms.select("rank", "term").unionByName(
         quiet.select((F.col("pos") + 1).alias("rank"), "term")
     )

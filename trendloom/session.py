@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,11 @@ def builder(app: str = "trendloom") -> SparkSession.Builder:
     )
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="trendloom-")
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for intermediate tables and stream checkpoints.
 
@@ -31,8 +37,7 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="trendloom-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+        root = _local_folder()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
