@@ -52,11 +52,12 @@ def test_dedupe_across_files(spark, tmp_path):
 
 
 def test_late_posts_are_dropped_after_the_delay(spark, tmp_path):
-    state = work_folder(spark, "daily")
+    state, dropped = work_folder(spark, "daily"), []
 
     def counts():
         stream = ps.read_raw_post_stream(spark, str(tmp_path))
-        rows = ps.run_available(ps.daily_counts(stream, "12 hours", TAGS), "daily", state)
+        rows, late = ps.run_counting_late(ps.daily_counts(stream, "12 hours", TAGS), "daily", state)
+        dropped.append(late)
         return {(r.run_date.day, r.key): (r.mention_count, r.approx_authors) for r in rows.collect()}
 
     deliver(tmp_path, "a.json", (1, 1, 8, "$NVDA", "u"), (2, 1, 9, "$NVDA", "v"), (3, 2, 8, "$NVDA", "u"))
@@ -65,6 +66,7 @@ def test_late_posts_are_dropped_after_the_delay(spark, tmp_path):
     assert counts() == {(1, "NVDA"): (3, 3)}
     deliver(tmp_path, "c.json", (6, 1, 23, "$NVDA", "x"), (7, 4, 20, "$NVDA", "w"))
     assert counts() == {(1, "NVDA"): (3, 3), (2, "NVDA"): (2, 2)}
+    assert dropped == [0, 0, 1]
 
 
 def test_sliding_windows(spark, tmp_path):

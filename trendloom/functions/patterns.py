@@ -7,7 +7,8 @@ from collections.abc import Iterable
 WORD_CHAR = r"[\p{L}\p{N}_]"
 CASHTAG = rf"\$([A-Za-z]{{1,5}})(?!{WORD_CHAR})"
 
-_META = set(r"\^$.|?*+()[]{}")
+GROUP = 5
+_META = set(r"\^$.|?*+()[]{}&-")
 
 
 def _literal(ch: str) -> str:
@@ -17,8 +18,9 @@ def _literal(ch: str) -> str:
 def any_of(terms: Iterable[str], whole_word: bool = False) -> str:
     """A pattern that finds any of the literal terms.
 
-    Terms are merged on common prefixes: the JVM tries alternatives one by one at every
-    position, so a flat list of a hundred words costs a hundred attempts per character.
+    The JVM tries alternatives one by one at every position, so a flat list of a hundred words
+    costs a hundred attempts per character. Terms are therefore merged on common prefixes, and
+    many branches are guarded in groups by the characters they start with.
     """
     root: dict = {}
     for term in terms:
@@ -31,11 +33,21 @@ def any_of(terms: Iterable[str], whole_word: bool = False) -> str:
         ends = "" in node
         if ends and not whole_word:
             return ""
-        branches = [_literal(ch) + render(child) for ch, child in sorted(node.items()) if ch]
+        branches = [(ch, _literal(ch) + render(child)) for ch, child in sorted(node.items()) if ch]
         if not branches:
             return ""
-        body = branches[0] if len(branches) == 1 and not ends else "(?:" + "|".join(branches) + ")"
-        return body + "?" if ends else body
+        if len(branches) == 1 and not ends:
+            return branches[0][1]
+        return "(?:" + "|".join(grouped(branches)) + ")" + ("?" if ends else "")
+
+    def grouped(branches: list[tuple[str, str]]) -> list[str]:
+        if len(branches) <= GROUP:
+            return [body for _, body in branches]
+        groups = [branches[i : i + GROUP] for i in range(0, len(branches), GROUP)]
+        return [
+            "(?=[" + "".join(_literal(ch) for ch, _ in g) + "])(?:" + "|".join(b for _, b in g) + ")"
+            for g in groups
+        ]
 
     pattern = render(root)
     if whole_word:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trendloom.functions import scoring, text
 from trendloom.functions.text import DEFAULT_RULES, TermRules
+from trendloom.session import broadcast_if
 
 CASHTAG, HASHTAG, NGRAM = "cashtag", "hashtag", "ngram"
 ALL_TYPES = (CASHTAG, HASHTAG, NGRAM)
@@ -151,16 +152,25 @@ def first_posts(mention_rows: DataFrame, k: int = 3) -> DataFrame:
 
 
 def sample_texts(
-    posts: DataFrame, mention_rows: DataFrame, k: int = 3, length: int = 200
+    posts: DataFrame,
+    mention_rows: DataFrame,
+    k: int = 3,
+    length: int = 200,
+    n_terms: int | None = None,
 ) -> DataFrame:
-    """First sample texts per term. Text joins the ranked ids only, never the mention rows."""
+    """First sample texts per term. Text joins the ranked ids only, never the mention rows.
+
+    With a known number of terms there are at most k ids each, which can travel to the posts.
+    """
     chosen = first_posts(mention_rows, k).select("term_type", "key", "sample_rank", "id")
+    if n_terms is not None:
+        chosen = broadcast_if(chosen, n_terms * k)
     originals = (
         posts.where(~F.col("is_retweet"))
         .select("id", F.substring("text", 1, length).alias("sample"))
     )
     return (
-        chosen.join(originals, "id")
+        originals.join(chosen, "id")
         .groupBy("term_type", "key")
         .agg(F.sort_array(F.collect_list(F.struct("sample_rank", "id", "sample"))).alias("s"))
         .select("term_type", "key", F.slice(F.col("s.sample"), 1, k).alias("sample_tweets"))

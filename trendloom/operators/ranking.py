@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trendloom.functions import constants, text
 from trendloom.functions.text import DEFAULT_RULES, TermRules
 from trendloom.operators import mentions as m
+from trendloom.session import broadcast_if
 
 
 @dataclass(frozen=True)
@@ -60,10 +61,12 @@ def candidates(
 def with_samples(
     top: DataFrame, posts: DataFrame, rules: TermRules = DEFAULT_RULES, k: int = 3
 ) -> DataFrame:
-    """Add sample texts to ranked candidates. ``top`` is a top-n list, so its keys broadcast."""
-    keys = top.select("term_type", "key")
-    chosen = m.mentions(posts, rules=rules).join(F.broadcast(keys), ["term_type", "key"], "left_semi")
-    return top.join(m.sample_texts(posts, chosen, k), ["term_type", "key"], "left")
+    """Add sample texts to ranked candidates. ``top`` is a written top-n list: it is counted."""
+    n = top.count()
+    keys = broadcast_if(top.select("term_type", "key"), n)
+    chosen = m.mentions(posts, rules=rules).join(keys, ["term_type", "key"], "left_semi")
+    samples = m.sample_texts(posts, chosen, k, n_terms=n)
+    return top.join(samples, ["term_type", "key"], "left")
 
 
 def top_terms(
@@ -168,7 +171,7 @@ def trend_posts(posts: DataFrame, trends: DataFrame, limit_per_trend: int = 100)
     """The newest posts that mention each trend as a word, tag or phrase.
 
     Ids are matched and ranked first; only the posts within the limit fetch their text.
-    ``posts`` has one row per id.
+    ``posts`` has one row per id. ``trends`` is a written list: it is counted.
     """
     terms = trends.select(F.col("term").alias("trend"), phrase_key(F.col("term")).alias("phrase"))
     hits = phrase_hits(posts.select("id", "created_at", "text"), terms)
@@ -178,7 +181,7 @@ def trend_posts(posts: DataFrame, trends: DataFrame, limit_per_trend: int = 100)
         .where(F.col("post_rank") <= limit_per_trend)
         .select("trend", "id", "post_rank")
     )
-    return chosen.join(posts, "id")
+    return posts.join(broadcast_if(chosen, trends.count() * limit_per_trend), "id")
 
 
 def merged_trend_posts(collected: DataFrame, new: DataFrame) -> DataFrame:

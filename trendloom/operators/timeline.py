@@ -114,6 +114,13 @@ def timelines(
     return with_labels(rows, consecutive_threshold, gap_threshold)
 
 
+def timeline_of(timeline_rows: DataFrame, term: str) -> DataFrame:
+    """The timeline of one trend, by any spelling of its name."""
+    return timeline_rows.where(
+        F.col("term_normalized") == text.normalized_key(F.lit(term))
+    )
+
+
 def recent_mean(previous: Column, n: int = 3) -> Column:
     """Mean of the newest n counts, null when there are none."""
     newest = F.slice(previous, 1, n)

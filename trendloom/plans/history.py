@@ -76,6 +76,19 @@ def _(spark, sf):
     return rows.withColumn("previous_mentions", counts).drop("term_normalized", "previous_engagements")
 
 
+@query(
+    "single_timeline",
+    o.with_ctes(
+        ["trend_history"],
+        "SELECT term, consecutive_days, total_appearances, badge FROM labelled WHERE lower(term) = 'view_7'",
+        **LABELLED,
+    ),
+)
+def _(spark, sf):
+    rows = timeline.timeline_of(today_timelines(spark, sf), "View_7")
+    return rows.select("term", "consecutive_days", "total_appearances", "badge")
+
+
 @query(
     "temporal_class_counts",
     o.with_ctes(

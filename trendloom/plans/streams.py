@@ -78,6 +78,29 @@ def _(spark, sf):
     )
 
 
+@query(
+    "stream_late_posts",
+    o.with_ctes(
+        ["tag_mentions", "posts"],
+        f"""SELECT run_date, term_type, key, mention_count FROM (
+              SELECT CAST(created_at AS DATE) AS run_date, term_type, key, count(*) AS mention_count
+              FROM tag_mentions WHERE created_at >= DATE '2024-01-15' GROUP BY 1, 2, 3) d
+            WHERE run_date + INTERVAL 1 DAY <= {_CLOSED.replace('facts', 'posts')}""",
+    ),
+)
+def _(spark, sf):
+    """The first half of the month arrives after the second half is closed: too late to count."""
+    posts = td.derived(spark, sf, "posts").drop("topic")
+    folder = work_folder(spark, "arrivals")
+    second = F.col("created_at") >= "2024-01-15"
+    state = work_folder(spark, "late")
+    for part in (posts.where(second), posts.where(~second)):
+        part.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(posts.schema).parquet(folder)
+        rows = ps.run_available(ps.daily_counts(stream, term_types=TAGS), "late", state)
+    return rows.select("run_date", "term_type", "key", "mention_count")
+
+
 @query("stream_hot_terms")
 def _(spark, sf):
     """Sliding-window scores of tags. No SQL: author counts are approximate."""

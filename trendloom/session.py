@@ -7,6 +7,7 @@ import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -51,6 +52,17 @@ def written(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+MAX_BROADCAST_ROWS = 500_000
+
+
+def broadcast_if(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast narrow rows whose number is proven to be at most max_rows, if that is small.
+
+    Beyond the limit the choice is left to Spark, which shuffles what it cannot broadcast.
+    """
+    return F.broadcast(df) if max_rows <= MAX_BROADCAST_ROWS else df
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread rows over all cores when the input has fewer splits than cores.
 

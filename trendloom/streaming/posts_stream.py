@@ -21,6 +21,13 @@ def run_available(stream: DataFrame, purpose: str, checkpoint: str | None = None
 
     With the same ``checkpoint`` a later call continues where this one stopped.
     """
+    return run_counting_late(stream, purpose, checkpoint)[0]
+
+
+def run_counting_late(
+    stream: DataFrame, purpose: str, checkpoint: str | None = None
+) -> tuple[DataFrame, int]:
+    """As ``run_available``, with the number of state rows dropped for being late."""
     spark = stream.sparkSession
     folder = checkpoint or work_folder(spark, purpose)
     query = (
@@ -32,7 +39,12 @@ def run_available(stream: DataFrame, purpose: str, checkpoint: str | None = None
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    late = sum(
+        operator.numRowsDroppedByWatermark
+        for progress in query.recentProgress
+        for operator in progress.stateOperators
+    )
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows"), late
 
 
 def _event_time(posts: DataFrame, delay: str) -> DataFrame:
