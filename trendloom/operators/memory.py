@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from trendloom.functions import digest_text, scoring
 from trendloom.session import written
 
 QUERY_BLOCK = 1024
+MAX_PASSES_PER_PLAN = 16
 
 
 def memory_id(column: str = "date") -> F.Column:
@@ -148,18 +150,17 @@ def search(
         queries = written(queries, "queries")
         slot = F.pmod(F.xxhash64("query_id"), F.lit(blocks * 2))
         parts = [queries.where(slot == i) for i in range(blocks * 2)]
-    hits = None
+    hits: list[DataFrame] = []
     for part in parts:
         rows = part.toPandas()
-        if rows.empty:
-            continue
-        found = _block_hits(memories, rows, k, min_similarity)
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        hits = _no_hits(memories)
+        if not rows.empty:
+            hits.append(_block_hits(memories, rows, k, min_similarity))
+        if len(hits) == MAX_PASSES_PER_PLAN:
+            hits = [written(reduce(DataFrame.unionByName, hits), "hits")]
+    found = reduce(DataFrame.unionByName, hits) if hits else _no_hits(memories)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return (
-        hits.withColumn("match_rank", F.row_number().over(best))
+        found.withColumn("match_rank", F.row_number().over(best))
         .where(F.col("match_rank") <= k)
         .withColumn("distance", 1 - F.col("similarity"))
     )
