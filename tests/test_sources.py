@@ -100,3 +100,12 @@ def test_trend_posts_and_merge(spark):
 def test_dedupe(spark):
     df = posts(spark, (1, "x", "en", "b"), (1, "x", "en", "a"), (2, "x", "en", "c"))
     assert {(r.id, r.topic) for r in ranking.dedupe_posts(df).collect()} == {(1, "a"), (2, "c")}
+
+
+def test_attempts_count_empty_topics(spark):
+    from trendloom.operators import health
+
+    topics = spark.createDataFrame([("a",), ("b",)], "topic STRING")
+    df = posts(spark, (1, "x", "en", "a"), (2, "x", "en", "a"))
+    rows = health.attempt_rows(topics, df, dt.date(2024, 1, 1), 2).collect()
+    assert {(r.topic, r.n_posts, r.attempt) for r in rows} == {("a", 2, 2), ("b", 0, 2)}

@@ -72,3 +72,18 @@ def test_written_cuts_the_plan(spark):
     df = written(spark.range(10).withColumn("x", F.col("id") * 2), "w")
     assert "Range" not in df._jdf.queryExecution().toString()
     assert df.count() == 10
+
+
+def test_posts_table_prunes_days_and_topics(spark):
+    from trendloom import schemas
+
+    path = work_folder(spark, "p")
+    rows = [
+        (i, "x", "u", "U", dt.datetime(2024, 1, 1 + i % 3), 1, 2, 3, None, "en", False, ["a"], f"t{i % 2}") for i in range(30)
+    ]
+    tables.store_posts(spark.createDataFrame(rows, schemas.POST + ", topic STRING"), path)
+    table = tables.read_posts(spark, path)
+    assert table.count() == 30
+    some = table.where("run_date = DATE '2024-01-02' AND topic = 't1'")
+    assert some.count() == 5
+    assert "PartitionFilters: [isnotnull(run_date" in some._jdf.queryExecution().toString()

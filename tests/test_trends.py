@@ -137,3 +137,24 @@ def test_daily_activity_joins_spellings(spark):
 def test_type_order_breaks_ties(spark, kind):
     order = spark.range(1).select(ranking.type_order(F.lit(kind)).alias("o")).first().o
     assert order == {"cashtag": 0, "hashtag": 1}[kind]
+
+
+def test_approximate_authors_need_one_shuffle(spark):
+    df = many(spark)
+    exact = ranking.candidates(df).select("term", "unique_authors").collect()
+    limits = ranking.TrendLimits(exact_authors=False)
+    assert ranking.candidates(df, limits).select("term", "unique_authors").collect() == exact
+    rows = m.mentions(df)
+    shuffles = [
+        m.term_stats(rows, e)._jdf.queryExecution().executedPlan().toString().count("Exchange hash")
+        for e in (True, False)
+    ]
+    assert shuffles == [2, 1]
+
+
+def test_a_third_of_all_posts_by_one_author_about_one_term(spark):
+    rows = [("$HOT copper", "spam", 1)] * 200 + [(f"$T{'ABCD'[i % 4]} copper", f"u{i}", 2) for i in range(400)]
+    got = stats(posts(spark, *rows))
+    assert (got["cashtag", "HOT"].mention_count, got["cashtag", "HOT"].unique_authors) == (200, 1)
+    assert (got["ngram", "copper"].mention_count, got["ngram", "copper"].unique_authors) == (600, 401)
+    assert got["ngram", "copper"].total_engagement == 200 + 800

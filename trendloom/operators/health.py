@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,17 @@ from pyspark.sql import functions as F
 from trendloom.functions import health
 
 
+def attempt_rows(topics: DataFrame, posts: DataFrame, run_date: dt.date, attempt: int) -> DataFrame:
+    """Rows of the ingest log: how many posts an attempt brought for each topic, 0 included."""
+    counts = posts.groupBy("topic").agg(F.count(F.lit(1)).alias("n_posts"))
+    return topics.join(counts, "topic", "left").select(
+        F.lit(run_date).alias("run_date"),
+        "topic",
+        F.lit(attempt).cast("bigint").alias("attempt"),
+        F.coalesce("n_posts", F.lit(0)).alias("n_posts"),
+    )
+
+
 def ingest_status(ingest_log: DataFrame, max_retries: int = 3) -> DataFrame:
     """Per run day and topic: complete after any non-empty attempt or too many empty ones."""
     counted = ingest_log.groupBy("run_date", "topic").agg(

@@ -22,6 +22,7 @@ class TrendLimits:
     min_authors: int = 2
     quality_min_authors: int = 10
     quality_min_context: float = 0.65
+    exact_authors: bool = True
 
 
 DEFAULT_LIMITS = TrendLimits()
@@ -51,7 +52,9 @@ def candidates(
 ) -> DataFrame:
     """Top candidates over all three families, each with its quality flag and rank."""
     stats = m.supported(
-        m.term_stats(m.mentions(posts, rules=rules)), limits.min_mentions, limits.min_authors
+        m.term_stats(m.mentions(posts, rules=rules), limits.exact_authors),
+        limits.min_mentions,
+        limits.min_authors,
     )
     top = unique_trends(m.with_scores(stats)).orderBy(*best_first()).limit(limits.top_n)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*best_first())))

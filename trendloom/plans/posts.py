@@ -11,6 +11,7 @@ from trendloom.plans import testdata as td
 from trendloom.plans.registry import query
 from trendloom.session import work_folder
 from trendloom.sources import posts as source
+from trendloom.sources import tables
 
 
 @query(
@@ -92,6 +93,37 @@ def _(spark, sf):
     return health.ingest_status(td.derived(spark, sf, "ingest_log"))
 
 
+@query(
+    "ingest_attempts",
+    o.with_ctes(
+        ["posts", "ingest_log"],
+        """SELECT DATE '2024-01-20' AS run_date, topic, CAST(1 AS BIGINT) AS attempt, count(id) AS n_posts
+           FROM (SELECT DISTINCT topic FROM ingest_log) t LEFT JOIN posts USING (topic) GROUP BY topic""",
+    ),
+)
+def _(spark, sf):
+    topics = td.derived(spark, sf, "ingest_log").select("topic").distinct()
+    return health.attempt_rows(topics, td.derived(spark, sf, "posts"), td.AS_OF, 1)
+
+
+@query(
+    "posts_stored",
+    o.with_ctes(
+        ["posts"],
+        """SELECT id, md5(text) AS text_md5, topic, CAST(created_at AS DATE) AS run_date, likes, views,
+             array_to_string(hashtags, ',') AS hashtags FROM posts""",
+    ),
+)
+def _(spark, sf):
+    """Posts written to a table partitioned by day and topic, and read back."""
+    path = work_folder(spark, "posts")
+    tables.store_posts(td.derived(spark, sf, "posts"), path, files_per_topic=1)
+    return tables.read_posts(spark, path).select(
+        "id", F.md5("text").alias("text_md5"), "topic", "run_date", "likes", "views",
+        F.array_join("hashtags", ",").alias("hashtags"),
+    )
+
+
 def _saved_states(spark, sf):
     """Post rows written as saved run states and read back."""
     posts = td.derived(spark, sf, "posts").drop("topic")

@@ -103,8 +103,9 @@ def _(spark, sf):
 
 @query("stream_hot_terms")
 def _(spark, sf):
-    """Sliding-window scores of tags. No SQL: author counts are approximate."""
-    return ps.run_available(ps.sliding_scores(td.post_stream(spark, sf), term_types=TAGS), "hot")
+    """The hottest tags per sliding window. No SQL: author counts are approximate."""
+    scored = ps.run_available(ps.sliding_scores(td.post_stream(spark, sf), term_types=TAGS), "hot")
+    return ps.hottest_per_window(scored)
 
 
 @query(

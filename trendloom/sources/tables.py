@@ -10,6 +10,19 @@ from trendloom import schemas
 from trendloom.session import written
 
 
+def store_posts(posts: DataFrame, path: str, files_per_topic: int = 8) -> None:
+    """Append posts, one folder per day and topic. A busy topic is written by several tasks."""
+    rows = posts.withColumn("run_date", F.to_date("created_at"))
+    part = F.pmod(F.xxhash64("id"), F.lit(files_per_topic))
+    rows.repartition("run_date", "topic", part).write.mode("append").partitionBy(
+        "run_date", "topic"
+    ).parquet(path)
+
+
+def read_posts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.POST + ", run_date DATE, topic STRING").parquet(path)
+
+
 def digest_rows(runs: DataFrame) -> DataFrame:
     """Digest rows with a stable id derived from the run date."""
     return runs.withColumn("id", F.xxhash64("run_date"))

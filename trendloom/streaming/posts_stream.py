@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trendloom import schemas
@@ -157,6 +157,13 @@ def sliding_scores(
     )
 
 
+def hottest_per_window(scored: DataFrame, k: int = 10) -> DataFrame:
+    """The best-scored terms of each closed window, from the table of ``sliding_scores``."""
+    best = Window.partitionBy("window_start").orderBy(F.desc("composite_score"), "term_type", "key")
+    ranked = scored.withColumn("window_rank", F.row_number().over(best))
+    return ranked.where(F.col("window_rank") <= k)
+
+
 def stream_engagement(posts: DataFrame, delay: str = "1 day") -> DataFrame:
     """Posts and engagement per topic and hour of a post stream."""
     tenths = scoring.engagement_tenths(F.col("likes"), F.col("retweets"), F.col("replies"))
