@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trendloom.functions import constants, patterns, text
+from trendloom.operators import mentions
 
 
 def values(spark, rows, expr, schema="v STRING"):
@@ -117,8 +118,9 @@ WORDS = ["egg", "shortage", "the", "of", "market", "wall", "street", "$nvda", "#
 @given(st.lists(st.lists(st.sampled_from(WORDS), max_size=12).map(" ".join), min_size=1, max_size=20))
 def test_ngrams_equal_loop(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "v STRING")
-    keys = text.ngram_keys(F.col("words"), F.col("v"))
-    rows = df.withColumn("words", text.term_words(F.col("v"))).select("v", keys.alias("k")).collect()
+    keys = text.ngram_keys(F.col("line"), F.col("inner"), F.col("outer"))
+    words = mentions.with_term_words(df.withColumnRenamed("v", "text"))
+    rows = words.select(F.col("text").alias("v"), keys.alias("k")).collect()
     for row in rows:
         assert len(row.k) == len(set(row.k))
         assert set(row.k) == ngrams_by_loop(row.v), row.v

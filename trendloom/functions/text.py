@@ -47,11 +47,6 @@ class TermRules:
         parts = [t for t in self.noise_terms if " " in t]
         return patterns.any_of(parts, whole_word=self.match == "word") if parts else None
 
-    @cached_property
-    def phrase_hint(self) -> str:
-        """Pattern of the first words of the noise phrases, for a text before cleaning."""
-        return patterns.any_of({t.split(" ")[0] for t in self.noise_terms if " " in t})
-
     @cached_property
     def context(self) -> str:
         return patterns.any_of(self.context_terms, whole_word=self.match == "word")
@@ -125,30 +120,41 @@ def cashtag_keys(text: Column, rules: TermRules = DEFAULT_RULES) -> Column:
 BREAK = "|"
 
 
-def term_words(text: Column, rules: TermRules = DEFAULT_RULES) -> Column:
-    """Lower-case words of a text; a word no term may contain is replaced by a break.
+def term_line(text: Column, rules: TermRules = DEFAULT_RULES) -> Column:
+    """Lower-case words of a text, one blank apart; a word no term may contain is a break.
 
     Such words hold a noise term or have no letter or digit. One replacement over the whole text
     finds them all, where a test per word would start the pattern a hundred times per post.
     """
     low = F.lower(clean_text(text))
     unusable = rf"(?<![^ ])(?:[^ ]*?(?:{rules.inside_word})[^ ]*|[^ \p{{L}}\p{{N}}]+(?![^ ]))"
-    return F.split(F.regexp_replace(low, unusable, BREAK), " ")
+    return F.regexp_replace(low, unusable, BREAK)
+
+
+def inner_words(line: Column) -> Column:
+    """Words of a term line, null at breaks: these may stand inside a phrase."""
+    return F.transform(F.split(line, " "), lambda w: F.nullif(w, F.lit(BREAK)))
+
+
+def outer_words(inner: Column, rules: TermRules = DEFAULT_RULES) -> Column:
+    """Inner words, null at stop words: these may start or end a phrase."""
+    return F.transform(inner, lambda w: F.when(~w.isin(*rules.stop_words), w))
 
 
 def _join(left: Column, right: Column) -> Column:
     return F.concat(left, F.lit(" "), right)
 
 
-def ngram_keys(words: Column, text: Column, rules: TermRules = DEFAULT_RULES) -> Column:
-    """Distinct 1- to 3-word terms of a post, from its ``term_words`` and its text.
+def ngram_keys(
+    line: Column, inner: Column, outer: Column, rules: TermRules = DEFAULT_RULES
+) -> Column:
+    """Distinct 1- to 3-word terms of a post, from its term line and the words of that line.
 
     A term neither starts nor ends with a stop word, and a single word has three characters.
+    Nulls spread: a phrase with a break, or with a stop word at its edge, becomes null. The
+    arguments are used several times, so they should be columns, not expressions.
     """
-    # Nulls spread: a phrase with an unusable word, or a stop word at its edge, becomes null.
-    inner = F.transform(words, lambda w: F.nullif(w, F.lit(BREAK)))
-    outer = F.transform(inner, lambda w: F.when(~w.isin(*rules.stop_words), w))
-    size = F.greatest(F.size(words), F.lit(1))
+    size = F.greatest(F.size(outer), F.lit(1))
     ones = F.filter(
         outer, lambda w: (F.length(w) >= 3) & ~w.isin(*rules.alone) & ~_is_number(w)
     )
@@ -158,7 +164,7 @@ def ngram_keys(words: Column, text: Column, rules: TermRules = DEFAULT_RULES) ->
     threes = F.zip_with(heads, F.slice(outer, F.lit(3), size), _join)
     phrases = F.concat(twos, threes)
     if rules.phrases:
-        # Noise phrases are rare: only a text that holds one has its phrases tested.
+        # Noise phrases are rare: only a line that holds one has its phrases tested.
         tested = F.filter(phrases, lambda g: ~g.rlike(rules.phrases))
-        phrases = F.when(F.lower(text).rlike(rules.phrase_hint), tested).otherwise(phrases)
+        phrases = F.when(line.rlike(rules.phrases), tested).otherwise(phrases)
     return F.array_distinct(F.array_compact(F.concat(ones, phrases)))

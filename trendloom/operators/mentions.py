@@ -29,6 +29,15 @@ def post_facts(posts: DataFrame, rules: TermRules = DEFAULT_RULES) -> DataFrame:
     )
 
 
+def with_term_words(posts: DataFrame, rules: TermRules = DEFAULT_RULES) -> DataFrame:
+    """Add the term line of each text and its words, as columns so that each is computed once."""
+    return (
+        posts.withColumn("line", text.term_line(F.col("text"), rules))
+        .withColumn("inner", text.inner_words(F.col("line")))
+        .withColumn("outer", text.outer_words(F.col("inner"), rules))
+    )
+
+
 def mentions(
     posts: DataFrame,
     term_types: tuple[str, ...] = ALL_TYPES,
@@ -40,11 +49,11 @@ def mentions(
     """
     facts = post_facts(posts, rules)
     if NGRAM in term_types:
-        facts = facts.withColumn("words", text.term_words(F.col("text"), rules))
+        facts = with_term_words(facts, rules)
     keys = {
         CASHTAG: lambda: text.cashtag_keys(F.col("text"), rules),
         HASHTAG: lambda: text.hashtag_keys(F.col("hashtags"), rules),
-        NGRAM: lambda: text.ngram_keys(F.col("words"), F.col("text"), rules),
+        NGRAM: lambda: text.ngram_keys(F.col("line"), F.col("inner"), F.col("outer"), rules),
     }
     terms = [_typed(t, keys[t]()) for t in term_types]
     return facts.select(

@@ -275,8 +275,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     posts = mentions.post_facts(td.derived(spark, sf, "posts"))
-    words = posts.withColumn("words", text.term_words(F.col("text")))
-    terms = words.select("id", text.ngram_keys(F.col("words"), F.col("text")).alias("terms"))
+    words = mentions.with_term_words(posts)
+    keys = text.ngram_keys(F.col("line"), F.col("inner"), F.col("outer"))
+    terms = words.select("id", keys.alias("terms"))
     return terms.select(
         "id",
         F.size("terms").cast("bigint").alias("n_terms"),
