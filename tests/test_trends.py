@@ -158,3 +158,19 @@ def test_a_third_of_all_posts_by_one_author_about_one_term(spark):
     assert (got["cashtag", "HOT"].mention_count, got["cashtag", "HOT"].unique_authors) == (200, 1)
     assert (got["ngram", "copper"].mention_count, got["ngram", "copper"].unique_authors) == (600, 401)
     assert got["ngram", "copper"].total_engagement == 200 + 800
+
+
+def test_samples_by_list_equal_samples_by_join(spark, monkeypatch):
+    df = many(spark)
+    top = written(ranking.candidates(df), "top")
+    listed = ranking.with_samples(top, df).select("term", "sample_tweets").orderBy("term").collect()
+    monkeypatch.setattr(ranking, "MAX_LISTED_PHRASES", 0)
+    joined = ranking.with_samples(top, df).select("term", "sample_tweets").orderBy("term").collect()
+    assert listed == joined
+
+
+def test_no_posts(spark):
+    none = posts(spark, ("$NVDA", "a", 1)).limit(0)
+    top = written(ranking.candidates(none), "top")
+    assert ranking.with_samples(top, none).count() == 0
+    assert ranking.trend_posts(none.withColumn("topic", F.lit("t")), top).count() == 0

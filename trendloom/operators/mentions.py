@@ -42,11 +42,15 @@ def mentions(
     posts: DataFrame,
     term_types: tuple[str, ...] = ALL_TYPES,
     rules: TermRules = DEFAULT_RULES,
+    only: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """One narrow row per mention of a term: all families from one scan and one explode.
 
-    Cashtags and hashtags count once per occurrence, n-grams once per post.
+    Cashtags and hashtags count once per occurrence, n-grams once per post. ``only`` restricts
+    the rows to a short list of keys per family, before they are exploded.
     """
+    if only is not None:
+        term_types = tuple(t for t in term_types if only.get(t))
     facts = post_facts(posts, rules)
     if NGRAM in term_types:
         facts = with_term_words(facts, rules)
@@ -55,7 +59,8 @@ def mentions(
         HASHTAG: lambda: text.hashtag_keys(F.col("hashtags"), rules),
         NGRAM: lambda: text.ngram_keys(F.col("line"), F.col("inner"), F.col("outer"), rules),
     }
-    terms = [_typed(t, keys[t]()) for t in term_types]
+    wanted = only or {}
+    terms = [_typed(t, _among(keys[t](), wanted.get(t))) for t in term_types]
     return facts.select(
         "id",
         "username",
@@ -67,6 +72,10 @@ def mentions(
     ).select("term.*", "*").drop("term")
 
 
+def _among(keys: Column, wanted: list[str] | None) -> Column:
+    return F.filter(keys, lambda k: k.isin(*wanted)) if wanted else keys
+
+
 def _typed(term_type: str, keys: Column) -> Column:
     return F.transform(keys, lambda k: F.struct(F.lit(term_type).alias("term_type"), k.alias("key")))
 

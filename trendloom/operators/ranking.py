@@ -66,8 +66,15 @@ def with_samples(
 ) -> DataFrame:
     """Add sample texts to ranked candidates. ``top`` is a written top-n list: it is counted."""
     n = top.count()
-    keys = broadcast_if(top.select("term_type", "key"), n)
-    chosen = m.mentions(posts, rules=rules).join(keys, ["term_type", "key"], "left_semi")
+    keys = top.select("term_type", "key")
+    if 0 < n <= MAX_LISTED_PHRASES:
+        only: dict[str, list[str]] = {}
+        for row in keys.collect():
+            only.setdefault(row.term_type, []).append(row.key)
+        chosen = m.mentions(posts, rules=rules, only=only)
+    else:
+        keys = broadcast_if(keys, n)
+        chosen = m.mentions(posts, rules=rules).join(keys, ["term_type", "key"], "left_semi")
     samples = m.sample_texts(posts, chosen, k, n_terms=n)
     return top.join(samples, ["term_type", "key"], "left")
 
