@@ -77,3 +77,12 @@ def test_sliding_windows(spark, tmp_path):
     full = [r for r in rows if r.mention_count == 2]
     assert len(full) == 5
     assert full[0].velocity_score == 20.0 * (1 + 2 * 2 / 2)
+
+
+def test_command_line_ingest(spark, tmp_path, capsys):
+    from trendloom import __main__ as cli
+
+    deliver(tmp_path, "a.json", (1, 1, 8, "$NVDA copper", "u"), (2, 1, 9, "$NVDA", "v"))
+    cli.main(["ingest", "--posts", str(tmp_path), "--table", work_folder(spark, "cli")])
+    shown = capsys.readouterr().out
+    assert "nvda" in shown and "copper" in shown

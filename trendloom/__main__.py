@@ -21,7 +21,8 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="trendloom", description=__doc__)
     commands = top.add_subparsers(dest="command", required=True)
     run = commands.add_parser("run")
-    run.add_argument("--posts", required=True, help="raw posts, JSON")
+    run.add_argument("--posts", required=True, help="raw posts")
+    run.add_argument("--format", default="json", choices=("json", "parquet", "orc"))
     run.add_argument("--bars", required=True, help="Parquet: symbol, date, close, volume")
     run.add_argument("--news", required=True, help="Parquet: query, ord, rnk, title, body, url, source, date")
     run.add_argument("--store", required=True, help="folder of digests, trend_history and memories")
@@ -34,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--min-authors", type=int, default=2)
     ingest = commands.add_parser("ingest")
     ingest.add_argument("--posts", required=True, help="folder in which raw post files arrive")
+    ingest.add_argument("--format", default="json", choices=("json", "parquet", "orc"))
     ingest.add_argument("--table", required=True, help="folder of the activity table and its state")
     return top
 
@@ -42,10 +44,10 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = session.builder().getOrCreate()
     if args.command == "ingest":
-        posts_stream.ingest_activity(posts_stream.read_raw_post_stream(spark, args.posts), args.table)
+        posts_stream.ingest_activity(posts_stream.read_raw_post_stream(spark, args.posts, args.format), args.table)
         posts_stream.ingested_activity(spark, args.table).orderBy("run_date", "trend_term").show()
         return
-    posts = read_raw_posts(spark, args.posts).selectExpr("*", "'' AS topic")
+    posts = read_raw_posts(spark, args.posts, args.format).selectExpr("*", "'' AS topic")
     rules = TermRules(noise_terms=load_terms(spark, args.noise)) if args.noise else TermRules()
     keep = spark.read.text(args.keep).withColumnRenamed("value", "term") if args.keep else None
     run = daily.run_day(

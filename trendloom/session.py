@@ -13,12 +13,13 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def builder(app: str = "trendloom") -> SparkSession.Builder:
-    """A session builder with adaptive execution, UTC and dynamic partition overwrite."""
+    """A session builder with adaptive execution, UTC, and splits sized for text work."""
     return (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.files.maxPartitionBytes", "64m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
 
