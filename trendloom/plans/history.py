@@ -80,12 +80,12 @@ def _(spark, sf):
     "single_timeline",
     o.with_ctes(
         ["trend_history"],
-        "SELECT term, consecutive_days, total_appearances, badge FROM labelled WHERE lower(term) = 'view_7'",
+        "SELECT term, consecutive_days, total_appearances, badge FROM labelled WHERE lower(term) = 'view_28'",
         **LABELLED,
     ),
 )
 def _(spark, sf):
-    rows = timeline.timeline_of(today_timelines(spark, sf), "View_7")
+    rows = timeline.timeline_of(today_timelines(spark, sf), "View_28")
     return rows.select("term", "consecutive_days", "total_appearances", "badge")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from trendloom.functions import constants, scoring, text
@@ -78,13 +80,13 @@ _STATUS_SQL = """SELECT run_date, topic, count(*) AS attempts,
     o.with_ctes(
         ["posts", "ingest_log"],
         """SELECT id, topic FROM posts WHERE topic NOT IN (
-             SELECT topic FROM status WHERE run_date = DATE '2024-01-20' AND status <> 'retry')""",
+             SELECT topic FROM status WHERE run_date = DATE '2024-01-19' AND status <> 'retry')""",
         status=_STATUS_SQL,
     ),
 )
 def _(spark, sf):
     status = health.ingest_status(td.derived(spark, sf, "ingest_log"))
-    today = status.where(F.col("run_date") == F.lit(td.AS_OF))
+    today = status.where(F.col("run_date") == F.lit(dt.date(2024, 1, 19)))
     return source.outstanding_posts(td.derived(spark, sf, "posts"), today).select("id", "topic")
 
 
