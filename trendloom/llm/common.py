@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -145,3 +148,35 @@ def words(
 def ids_of(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that others cannot clash with those an operator adds."""
     return df.select(*(F.col(f"`{n}`") for n in names))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application.
+
+    The archive lies in the shared work folder, from which every executor fetches it.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(package.rglob("*.py")):
+            archive.write(path, path.relative_to(package.parent).as_posix())
+    target = f"{session.work_folder(spark, 'llm-package')}/{package.name}.zip"
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(raw.getvalue()))
+    out.close()
+    context.addPyFile(target)
+    _shipped.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import bpe, packing
+from trendloom.llm import bpe, chat, licenses, packing, toxicity
 from trendloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,25 @@ def op1_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and the text decoded from them, as digests."""
     return bpe.round_trips(table(spark, sf_dir, "documents"), tokenizer())
+
+
+@query
+def op6_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted and read back, as digests."""
+    conversations = chat.with_added(table(spark, sf_dir, "conversations"))
+    return chat.read_back(chat.format_turns(conversations))
+
+
+ORACLES["op6_chat_round_trip"] = chat.ORACLE.strip()
+
+
+@query
+def op9_factor_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License wording of all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
