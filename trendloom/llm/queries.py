@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import bpe, chat, licenses, packing, toxicity
+from trendloom.llm import bpe, chat, licenses, packing, pii, toxicity
 from trendloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,10 @@ def op9_factor_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License wording of all documents."""
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    documents = table(spark, sf_dir, "documents")
+    return pii.digests(pii.find(documents, pii.fit(documents)))
