@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trendloom.llm import bpe, chat, licenses, packing, pii, toxicity
+from trendloom.llm import bpe, chat, licenses, packing, pii, topk, toxicity, vectors
 from trendloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +63,22 @@ def op4_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     documents = table(spark, sf_dir, "documents")
     return pii.digests(pii.find(documents, pii.fit(documents)))
+
+
+@query
+def op5_sorted_list_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best vectors for every hundredth vector."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", topk.whole(F.col("embedding")).alias("vector"))
+    return topk.top_k(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
+ORACLES["op5_sorted_list_top_k"] = topk.ORACLE.strip()
+
+
+@query
+def op2_cover_tree_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of all embeddings."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op2_cover_tree_duplicates"] = vectors.ORACLE.strip()
