@@ -49,6 +49,15 @@ def slices(at: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
         low = min(high, n)
 
 
+#: Narrow rows (an id or two) that may be broadcast: at most 16 MB of ids.
+FEW_ROWS = 1_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """Narrow rows for a join with texts: broadcast if they are counted to be few, else shuffled."""
+    return F.broadcast(ids) if ids.count() <= FEW_ROWS else ids
+
+
 def byte_set(members: bytes) -> np.ndarray:
     """A mask over the 256 byte values."""
     mask = np.zeros(256, bool)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import bpe, chat, licenses, packing, pii, topk, toxicity, vectors
+from trendloom.llm import bpe, chat, licenses, minhash, packing, pii, topk, toxicity, vectors
 from trendloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,12 @@ def op2_cover_tree_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op2_cover_tree_duplicates"] = vectors.ORACLE.strip()
+
+
+@query
+def op7_coordinate_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents by two-word shingles."""
+    return minhash.near_documents(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_coordinate_near_duplicates"] = minhash.ORACLE.strip()
