@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import bpe, chat, licenses, minhash, packing, pii, topk, toxicity, vectors
+from trendloom.llm import bpe, chat, licenses, minhash, packing, pii, repeats, topk, toxicity, vectors
 from trendloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,10 @@ def op7_coordinate_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 ORACLES["op7_coordinate_near_duplicates"] = minhash.ORACLE.strip()
+
+
+@query
+def op8_deep_shallow_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated bytes of all documents."""
+    documents = table(spark, sf_dir, "documents")
+    return repeats.digests(documents, repeats.spans(documents))
