@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from trendloom.llm.common import ids_of
+from trendloom.llm.common import ids_of, map_arrow
 
 #: Characters of a text that are taken at a time.
 CHUNK = 1 << 16
@@ -223,8 +223,8 @@ class Encoder:
     unfinished special token, and of a very long piece the lookahead of the merge list.
     """
 
-    def __init__(self, path: str):
-        self.words = _word_ids(path)
+    def __init__(self, path: str, words: WordIds | None = None):
+        self.words = _word_ids(path) if words is None else words
         self.model = self.words.model
         self.held = ""
         self.piece: PieceStream | None = None
@@ -331,9 +331,9 @@ def normalized(text: str) -> str:
     return text.lower()
 
 
-def encoded_parts(text: str | None, path: str) -> Iterator[bytes]:
-    """The packed ids of a text, part by part."""
-    encoder = Encoder(path)
+def encoded_parts(text: str | None, path: str, words: WordIds | None = None) -> Iterator[bytes]:
+    """The packed ids of a text, part by part; words: where the ids of words come from."""
+    encoder = Encoder(path, words)
     text = text or ""
     if len(text) > CHUNK:
         for at in range(0, len(text), CHUNK):
@@ -343,9 +343,9 @@ def encoded_parts(text: str | None, path: str) -> Iterator[bytes]:
         yield encoder._whole(text)
 
 
-def encoded(text: str | None, path: str) -> bytes:
+def encoded(text: str | None, path: str, words: WordIds | None = None) -> bytes:
     """All packed ids of a text."""
-    return b"".join(encoded_parts(text, path))
+    return b"".join(encoded_parts(text, path, words))
 
 
 class Decoder:
@@ -426,8 +426,8 @@ def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return ids_of(docs, id_col, text_col).mapInArrow(
-        digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_arrow(
+        ids_of(docs, id_col, text_col), digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
 
 
@@ -439,4 +439,4 @@ def tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             ids = [encoded(t.as_py(), path) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return ids_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
+    return map_arrow(ids_of(docs, id_col, text_col), run, "doc_id long, ids binary")
