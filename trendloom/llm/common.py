@@ -27,9 +27,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's switch to delete the shuffle files of an execution when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows read back from a table in the shared work folder, which ends their lineage."""
-    return session.written(df, f"llm-{purpose}")
+    """The rows read back from a table in the shared work folder, which ends their lineage.
+
+    What was shuffled to make them is deleted at once.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return session.written(df, f"llm-{purpose}")
+    finally:
+        conf.set(_CLEANUP, before)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for made in tables:
+        files = made.inputFiles()
+        if files:
+            spark = made.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

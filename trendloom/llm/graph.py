@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import written
+from trendloom.llm.common import discard, written
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", purpose: str = "com
         small = lower.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             lower.select("u", F.col("m").alias("v"))
         )
-        links = written(small.where("u != v").distinct(), purpose)
+        last, links = links, written(small.where("u != v").distinct(), purpose)
+        discard(last)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import SPACE, few, map_arrow, mixed, slices, utf8, words, written
+from trendloom.llm.common import SPACE, discard, few, map_arrow, mixed, slices, utf8, words, written
 from trendloom.llm.graph import components
 
 
@@ -60,10 +60,10 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray,
     if len(short):
         extra = []
         for t in short:
-            value = made[index[t]]
+            value = made[index[t] : index[t] + 1]
             for j in range(1, count[t]):
-                value = mixed(np.array([value * np.uint64(3) + made[index[t] + j]]), j)[0]
-            extra.append(mixed(np.array([value]), 100 + int(count[t]))[0])
+                value = mixed(value * np.uint64(3) + made[index[t] + j : index[t] + j + 1], j)
+            extra.append(mixed(value, 100 + int(count[t]))[0])
         hashes, owners = np.concatenate([hashes, np.array(extra, np.uint64)]), np.concatenate([owners, short])
     order = np.lexsort((hashes, owners))
     hashes, owners = hashes[order], owners[order]
@@ -221,7 +221,7 @@ def _links(sets: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     prefixes = written(_prefixes(sets, rule), "minhash-prefixes")
     met = prefixes.select("rep").distinct()
     members = written(_members(sets.join(met, "rep", "left_semi"), docs, rule), "minhash-members")
-    links, joined = None, None
+    links, joined, made = None, None, [prefixes, members]
     for turn in ("least", "greatest", "all"):
         own = prefixes.withColumn("class", F.col("rep"))
         if joined is not None:
@@ -240,11 +240,16 @@ def _links(sets: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
         if turn != "all":  # the center that a set is most like
             pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a"))
         found = written(_similar(pairs.select("a", "b"), members, rule), "minhash-links")
+        made.append(found)
         if found.isEmpty():
             continue
         links = found if links is None else links.unionByName(found)
         joined = components(links, purpose="minhash-components").withColumnRenamed("id", "rep")
-    return joined if joined is not None else sets.select("rep", F.col("rep").alias("component")).limit(0)
+    if joined is None:
+        joined = sets.select("rep", F.col("rep").alias("component")).limit(0)
+    joined = written(joined, "minhash-joined")
+    discard(*made)
+    return joined
 
 
 def near_documents(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,7 +269,7 @@ def near_documents(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
     usable = signed.where("n > 0 and doc_id is not null")
     sets = usable.groupBy("rep").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     sets = written(sets, "minhash-sets")
-    joined = written(_links(sets, texts, rule), "minhash-joined")
+    joined = _links(sets, texts, rule)
     linked = joined.join(sets.select("rep", "first"), "rep")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     classes = sets.select("rep", "first").join(linked.join(least, "component").select("rep", "least"), "rep", "left")
@@ -285,7 +290,8 @@ def first_of_each(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
 
 ORACLE = r"""
 WITH RECURSIVE w AS (
-    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS words
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS words
     FROM documents
 ), sets AS (
     SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(words) = 1 THEN words

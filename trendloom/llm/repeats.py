@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import few, map_arrow, mixed, powers, slices, utf8, written
+from trendloom.llm.common import discard, few, map_arrow, mixed, powers, slices, utf8, written
 
 #: Bytes of a text that are hashed at a time.
 PART = 1 << 20
@@ -378,7 +378,9 @@ def spans(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col
     found = _sorted_spans(carried, rule).unionByName(_hot_spans(carried, rule))
     found = found.unionByName(copies.select("key", "tie", F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
     found = found.groupBy("key", "tie").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    return written(found, "repeats-spans")
+    found = written(found, "repeats-spans")
+    discard(ids, copies, met, carried)
+    return found
 
 
 def merged(found: np.ndarray) -> np.ndarray:
