@@ -182,13 +182,15 @@ class Model:
             return []
         scores = self.scores(np.array([features(text, s) for s in found]))
         taken = sorted((a, b) for _, a, b in base)
-        good = [(-p, s[1], s) for p, s in zip(scores, found) if p >= self.thresholds.get(s[0], 2.0)]
+        good = [  # scores that differ little count as equal; then the more specific kind goes first
+            (-round(float(p), 1), ADDED_KINDS.index(s[0]), s[1], s) for p, s in zip(scores, found) if p >= self.thresholds.get(s[0], 2.0)
+        ]
         out: list[Span] = []
         ends = np.array([b for _, b in taken], int)
         starts = np.array([a for a, _ in taken], int)
         reach = np.maximum.accumulate(ends) if len(ends) else ends
         chosen: list[tuple[int, int]] = []
-        for _, _, (kind, a, b) in sorted(good):
+        for _, _, _, (kind, a, b) in sorted(good):
             k = int(np.searchsorted(starts, b)) - 1
             if k >= 0 and reach[k] > a:
                 continue
