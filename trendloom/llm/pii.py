@@ -22,7 +22,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import byte_set, ids_of, map_arrow, utf8, written
+from trendloom.llm.common import byte_set, ids_of, map_arrow, slices, utf8, written
 
 Span = tuple[str, int, int]
 
@@ -319,12 +319,13 @@ _MARKS = byte_set(b"0123456789@+[(")
 def _spans_of(batch_column: pa.Array, model: Model) -> Iterator[tuple[str, list[Span], list[Span]]]:
     """(text, base spans, added spans) of each row; texts without any mark are not searched."""
     data, at = utf8(batch_column)
-    marks = np.concatenate([[0], np.cumsum(_MARKS[data[at[0] : at[-1]]], dtype=np.int64)])
-    marked = np.diff(marks[at - at[0]]) > 0
-    for k in range(len(at) - 1):
-        text = data[at[k] : at[k + 1]].tobytes().decode("utf-8", "surrogatepass") if marked[k] else ""
-        base = base_spans(text) if text else []
-        yield text, base, model.choose(text, base) if text else []
+    for low, high in slices(at):
+        marks = np.concatenate([[0], np.cumsum(_MARKS[data[at[low] : at[high]]], dtype=np.int64)])
+        marked = np.diff(marks[at[low : high + 1] - at[low]]) > 0
+        for k in range(low, high):
+            text = data[at[k] : at[k + 1]].tobytes().decode("utf-8", "surrogatepass") if marked[k - low] else ""
+            base = base_spans(text) if text else []
+            yield text, base, model.choose(text, base) if text else []
 
 
 def _joined(spans: list[Span]) -> str:
