@@ -102,3 +102,8 @@ def test_embedded_days_with_common_words_are_closest(spark):
     asked = embedded.where("id = 'memory_20240101'").selectExpr("id AS query_id", "embedding AS query_embedding")
     best = memory.search(embedded, asked, k=1, min_similarity=0.0).first()
     assert best.id == "memory_20240102"
+
+
+def test_recent_memories_end_at_the_as_of_day(spark):
+    records = memory.memory_records(digests(spark))
+    assert [r.id for r in memory.get_recent(records, dt.date(2024, 1, 2), days=1).collect()] == ["memory_20240102", "memory_20240101"]

@@ -114,3 +114,22 @@ def test_history_filter_reaches_the_scan(spark, tmp_path):
     history(spark, [("a", n, 1) for n in range(5)]).write.partitionBy("run_date").parquet(path)
     plan = timeline.history_window(spark.read.parquet(path), AS_OF, 2)._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(run_date" in plan
+
+
+def test_two_spellings_on_one_day_are_one_appearance(spark):
+    rows = [("$nvda", 1, 2), ("nvda", 1, 3), ("NVDA", 2, 4), ("#nvda", 3, 5)]
+    got = lines(spark, ["$NVDA"], rows)["$NVDA"]
+    assert (got.consecutive_days, got.total_appearances, got.previous_mentions) == (4, 4, [5, 4, 5])
+    past = timeline.past_profile(timeline.history_window(history(spark, rows), AS_OF), AS_OF).first()
+    assert (past.streak, past.past_appearances) == (3, 3)
+    h = history(spark, rows)
+    assert [(r.trend_term, r.n_days, r.mentions) for r in timeline.streaks(h).collect()] == [("nvda", 3, 14)]
+    assert [r.gap_days for r in timeline.appearance_gaps(h).orderBy("run_date").collect()] == [None, 1, 1]
+
+
+def test_windows_end_at_the_as_of_day(spark):
+    h = history(spark, [("$NVDA", n, n + 10) for n in (40, 8, 7, 1, 0, -1, -30)])
+    assert [r.mention_count for r in timeline.trend_history(h, "$NVDA", AS_OF, days=7).collect()] == [10, 11, 17]
+    assert timeline.trend_history(h, "nvda", AS_OF, days=7).count() == 3
+    recent = timeline.recent_trends(h, AS_OF, days=7).first()
+    assert [d.mention_count for d in recent.days] == [10, 11, 17]

@@ -13,6 +13,7 @@ from trendloom.operators.timeline import in_days
 
 
 def recent_digests(digests: DataFrame, as_of: dt.date, days: int = 7) -> DataFrame:
+    """Digests from as_of - days to as_of, newest first."""
     return digests.where(in_days("run_date", as_of, days)).orderBy(F.desc("run_date"))
 
 

@@ -191,8 +191,9 @@ def get_by_date(memories: DataFrame, day: dt.date) -> DataFrame:
 
 
 def get_recent(memories: DataFrame, as_of: dt.date, days: int = 7) -> DataFrame:
-    start = F.lit(as_of - dt.timedelta(days=days)).cast(memories.schema["date"].dataType)
-    return memories.where(F.col("date") >= start).orderBy(F.desc("date"), "id")
+    """Memories from as_of - days to the end of as_of, newest first."""
+    start, end = (F.lit(as_of + dt.timedelta(days=n)).cast(memories.schema["date"].dataType) for n in (-days, 1))
+    return memories.where((F.col("date") >= start) & (F.col("date") < end)).orderBy(F.desc("date"), "id")
 
 
 def get_notable(memories: DataFrame, limit: int = 10) -> DataFrame:

@@ -13,22 +13,24 @@ LOOKBACK_DAYS = 180
 
 
 def in_days(column: str, as_of: dt.date, days: int) -> Column:
-    """The day-window predicate; a literal range, so partitions are pruned."""
-    return F.col(column) >= F.lit(as_of - dt.timedelta(days=days))
+    """The days from as_of - days to as_of, both included; a literal range, so partitions are pruned."""
+    return F.col(column).between(F.lit(as_of - dt.timedelta(days=days)), F.lit(as_of))
 
 
-def history_window(history: DataFrame, as_of: dt.date, days: int = LOOKBACK_DAYS) -> DataFrame:
-    """History rows in [as_of - days, as_of)."""
-    return history.where(
-        in_days("run_date", as_of, days) & (F.col("run_date") < F.lit(as_of))
-    ).select(
-        text.normalized_key(F.col("trend_term")).alias("term_normalized"),
-        "run_date",
-        F.col("mention_count").alias("mentions"),
-        F.col("engagement_score").alias("engagement"),
+def daily_rows(history: DataFrame) -> DataFrame:
+    """One row per normalized key and day: figures of several spellings of a term are added."""
+    cents = F.round(F.col("engagement_score") * 100).cast("bigint")
+    return history.groupBy(text.normalized_key(F.col("trend_term")).alias("term_normalized"), "run_date").agg(
+        F.sum("mention_count").alias("mentions"),
+        F.when(F.count("*") == 1, F.max("engagement_score")).otherwise(F.sum(cents) / 100.0).alias("engagement"),
     )
 
 
+def history_window(history: DataFrame, as_of: dt.date, days: int = LOOKBACK_DAYS) -> DataFrame:
+    """Daily rows in [as_of - days, as_of)."""
+    return daily_rows(history.where(in_days("run_date", as_of, days) & (F.col("run_date") < F.lit(as_of))))
+
+
 def run_details(trend_posts: DataFrame) -> DataFrame:
     """Today's figures per trend: mentions count retweets, engagement does not."""
     tenths = scoring.engagement_tenths(F.col("likes"), F.col("retweets"), F.col("replies"))
@@ -51,8 +53,8 @@ def top_engagement(trend_posts: DataFrame) -> DataFrame:
 def past_profile(window_rows: DataFrame, as_of: dt.date, recent: int = 7) -> DataFrame:
     """Per key: appearances, last date, streak of days before as_of, and recent figures.
 
-    History holds one row per key and day, so a key has at most as many rows as the look-back
-    has days, and one aggregation computes everything without a sort of the whole table.
+    ``window_rows`` holds one row per key and day (`daily_rows`), so a key has at most as many rows
+    as the look-back has days, and one aggregation computes everything without a sort of the table.
     """
     today = F.lit(as_of)
     days = F.sort_array(
@@ -96,7 +98,7 @@ def timelines(
         current.select("term_normalized").distinct(), "term_normalized", "left_semi"
     )
     joined = current.join(past_profile(relevant, as_of), "term_normalized", "left")
-    empty_counts, empty_scores = F.array().cast("array<int>"), F.array().cast("array<double>")
+    empty_counts, empty_scores = F.array().cast("array<bigint>"), F.array().cast("array<double>")
     rows = joined.select(
         F.col("trend").alias("term"),
         "term_normalized",
@@ -187,55 +189,55 @@ def context_order(timeline_rows: DataFrame) -> DataFrame:
 
 
 def trend_history(history: DataFrame, term: str, as_of: dt.date, days: int = 30) -> DataFrame:
-    """One trend's rows of the last days, newest first."""
-    return (
-        history.where(in_days("run_date", as_of, days) & (F.col("trend_term") == term.lower()))
-        .select("run_date", "mention_count", "engagement_score")
-        .orderBy(F.desc("run_date"))
-    )
+    """One trend's daily figures of the last days, by any spelling of its name, newest first."""
+    same = text.normalized_key(F.col("trend_term")) == text.normalized_key(F.lit(term))
+    rows = daily_rows(history.where(in_days("run_date", as_of, days) & same))
+    return rows.select(
+        "run_date", F.col("mentions").alias("mention_count"), F.col("engagement").alias("engagement_score")
+    ).orderBy(F.desc("run_date"))
 
 
 def recent_trends(history: DataFrame, as_of: dt.date, days: int = 7) -> DataFrame:
-    """Every trend of the last days with its rows, newest first; one row per day at most."""
-    entry = F.struct("run_date", "mention_count", "engagement_score")
+    """Every trend (by normalized key) of the last days with its daily figures, newest first."""
+    entry = F.struct("run_date", F.col("mentions").alias("mention_count"), F.col("engagement").alias("engagement_score"))
     return (
-        history.where(in_days("run_date", as_of, days))
-        .groupBy("trend_term")
+        daily_rows(history.where(in_days("run_date", as_of, days)))
+        .groupBy(F.col("term_normalized").alias("trend_term"))
         .agg(F.sort_array(F.collect_list(entry), asc=False).alias("days"))
     )
 
 
 def streaks(history: DataFrame) -> DataFrame:
-    """Every unbroken run of days of every trend.
+    """Every unbroken run of days of every trend, by normalized key.
 
-    A trend has at most one row per day, which bounds its window; daily rows, not mentions,
-    are sorted here.
+    A key has one row per day, which bounds its window; daily rows, not mentions, are sorted here.
     """
-    by_day = Window.partitionBy("trend_term").orderBy("run_date")
+    by_day = Window.partitionBy("term_normalized").orderBy("run_date")
     island = F.date_sub(F.col("run_date"), F.row_number().over(by_day))
     return (
-        history.withColumn("island", island)
-        .groupBy("trend_term", "island")
+        daily_rows(history)
+        .withColumn("island", island)
+        .groupBy(F.col("term_normalized").alias("trend_term"), "island")
         .agg(
             F.min("run_date").alias("first_day"),
             F.max("run_date").alias("last_day"),
             F.count(F.lit(1)).alias("n_days"),
-            F.sum("mention_count").alias("mentions"),
+            F.sum("mentions").alias("mentions"),
         )
         .drop("island")
     )
 
 
 def appearance_gaps(history: DataFrame) -> DataFrame:
-    """Gap to the previous appearance, appearances so far, and mean of the last three counts."""
-    by_day = Window.partitionBy("trend_term").orderBy("run_date")
-    return history.select(
-        "trend_term",
+    """Gap to the previous appearance, appearances so far, and mean of the last three daily counts."""
+    by_day = Window.partitionBy("term_normalized").orderBy("run_date")
+    return daily_rows(history).select(
+        F.col("term_normalized").alias("trend_term"),
         "run_date",
-        "mention_count",
+        F.col("mentions").alias("mention_count"),
         F.datediff("run_date", F.lag("run_date").over(by_day)).alias("gap_days"),
         F.row_number().over(by_day).alias("appearances"),
-        F.avg("mention_count").over(by_day.rowsBetween(-3, -1)).alias("recent_mean"),
+        F.avg("mentions").over(by_day.rowsBetween(-3, -1)).alias("recent_mean"),
     )
 
 

@@ -103,7 +103,7 @@ def _(spark, sf):
     o.with_ctes(
         ["digests"],
         f"""SELECT run_date, tweet_count, top_engagement, signal_strength, notable, array_to_string(trends, ',') AS trends
-            FROM digests WHERE run_date >= {AS_OF} - 7""",
+            FROM digests WHERE run_date BETWEEN {AS_OF} - 7 AND {AS_OF}""",
     ),
 )
 def _(spark, sf):
@@ -117,7 +117,7 @@ def _(spark, sf):
 _BASELINE = f"""SELECT count(*) AS total_runs, round(coalesce(avg(top_engagement), 0), 4) AS avg_top_engagement,
     round(coalesce(avg(tweet_count), 0), 6) AS avg_tweets, count(*) FILTER (notable) AS notable_days,
     CASE WHEN count(*) > 0 THEN count(*) FILTER (notable) / count(*) ELSE 0 END AS notable_rate
-  FROM digests WHERE run_date >= {AS_OF} - 30"""
+  FROM digests WHERE run_date BETWEEN {AS_OF} - 30 AND {AS_OF}"""
 
 
 @query("baseline_stats", o.with_ctes(["digests"], _BASELINE))
@@ -134,7 +134,7 @@ def _(spark, sf):
         ["digests"],
         f"""SELECT run_date, array_to_string(trends[1:3], ',') AS top_trends, signal_strength, top_engagement, notable,
               total_runs, notable_rate
-            FROM (SELECT * FROM digests WHERE run_date >= {AS_OF} - 7 ORDER BY run_date DESC LIMIT 5) d, ({_BASELINE}) b""",
+            FROM (SELECT * FROM digests WHERE run_date BETWEEN {AS_OF} - 7 AND {AS_OF} ORDER BY run_date DESC LIMIT 5) d, ({_BASELINE}) b""",
     ),
 )
 def _(spark, sf):

@@ -135,7 +135,7 @@ def _(spark, sf):
     "appearance_gaps",
     o.with_ctes(
         ["trend_history"],
-        """SELECT trend_term, run_date, mention_count,
+        """SELECT trend_term, run_date, CAST(mention_count AS BIGINT) AS mention_count,
              CAST(run_date - lag(run_date) OVER w AS INT) AS gap_days, CAST(row_number() OVER w AS INT) AS appearances,
              avg(mention_count) OVER (PARTITION BY trend_term ORDER BY run_date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS recent_mean
            FROM trend_history WINDOW w AS (PARTITION BY trend_term ORDER BY run_date)""",
@@ -165,12 +165,12 @@ def _(spark, sf):
     "single_trend_history",
     o.with_ctes(
         ["trend_history"],
-        f"""SELECT run_date, mention_count, engagement_score FROM trend_history
-            WHERE trend_term = 'click_12' AND run_date >= {AS_OF} - 30""",
+        f"""SELECT run_date, CAST(mention_count AS BIGINT) AS mention_count, engagement_score FROM trend_history
+            WHERE trend_term = 'click_12' AND run_date BETWEEN {AS_OF} - 30 AND {AS_OF}""",
     ),
 )
 def _(spark, sf):
-    return timeline.trend_history(td.derived(spark, sf, "trend_history"), "click_12", td.AS_OF)
+    return timeline.trend_history(td.derived(spark, sf, "trend_history"), "$Click_12", td.AS_OF)
 
 
 @query(
@@ -179,7 +179,7 @@ def _(spark, sf):
         ["trend_history"],
         f"""SELECT trend_term, string_agg(CAST(run_date AS VARCHAR) || ':' || mention_count, ',' ORDER BY run_date DESC) AS days,
               round(sum(engagement_score), 4) AS engagement
-            FROM trend_history WHERE run_date >= {AS_OF} - 7 GROUP BY 1""",
+            FROM trend_history WHERE run_date BETWEEN {AS_OF} - 7 AND {AS_OF} GROUP BY 1""",
     ),
 )
 def _(spark, sf):

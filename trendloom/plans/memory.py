@@ -72,7 +72,7 @@ def _(spark, sf):
 
 @query(
     "recent_memories",
-    o.with_ctes(["memories"], "SELECT id, date, notable FROM memories WHERE date >= DATE '2024-01-30' - 7"),
+    o.with_ctes(["memories"], "SELECT id, date, notable FROM memories WHERE date BETWEEN DATE '2024-01-30' - 7 AND DATE '2024-01-30'"),
 )
 def _(spark, sf):
     rows = memory.get_recent(td.derived(spark, sf, "memories"), td.MEMORY_AS_OF)
