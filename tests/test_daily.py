@@ -68,7 +68,7 @@ def test_run_day_claims_quotes_and_keep_list(spark, tmp_path):
     assert [r.term for r in run.timelines.collect()] == ["$nvda"]
     assert run.rejected.count() == 9
     assert run.trend_posts.count() == 12
-    assert {r.move_verdict for r in run.claims.collect()} == {"EXAGGERATED"}
+    assert {r.verdict for r in run.claims.collect()} == {"EXAGGERATED"}
     assert run.claims.count() == 12
     assert [r.symbol for r in run.quotes.collect()] == ["NVDA"]
     row = run.summary.first()

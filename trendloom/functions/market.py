@@ -83,24 +83,41 @@ VOLUME_WORDS = ("huge volume", "massive volume", "heavy volume", "record volume"
 HIGH_WORDS = ("52w high", "52-week high", "all-time high")
 
 
-def _move_pattern(words: tuple[str, ...]) -> str:
-    return patterns.any_of(words, whole_word=True) + r"\s+([0-9]{1,4}(?:\.[0-9]{1,4})?)\s?%"
-
-
-def claimed_move_pct(text: Column) -> Column:
-    """Signed percentage of the first stated move, null when no move is stated."""
-    low = F.lower(text)
-    up = F.nullif(F.regexp_extract(low, _move_pattern(UP_WORDS), 1), F.lit(""))
-    down = F.nullif(F.regexp_extract(low, _move_pattern(DOWN_WORDS), 1), F.lit(""))
-    return F.coalesce(up.cast("double"), -down.cast("double"))
-
-
-def claims_volume(text: Column) -> Column:
-    return F.lower(text).rlike(patterns.any_of(VOLUME_WORDS))
+_NUMBER = r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?"
+_MOVE = patterns.any_of(UP_WORDS + DOWN_WORDS, whole_word=True) + rf"\s+{_NUMBER}\s?%"
+_VOLUME, _HIGH = patterns.any_of(VOLUME_WORDS), patterns.any_of(HIGH_WORDS)
+_CLAIM = f"{_MOVE}|{_VOLUME}|{_HIGH}"
+_TICKER_AHEAD = f"(?={patterns.CASHTAG})"
+
+
+def _claim(found: Column, symbol: Column) -> Column:
+    """What a matched phrase claims about a symbol."""
+    number = F.regexp_replace(F.regexp_extract(found, rf"({_NUMBER})\s?%$", 1), ",", "")
+    size = F.nullif(number, F.lit("")).cast("double")
+    falls = found.rlike("^" + patterns.any_of(DOWN_WORDS, whole_word=True))
+    return F.struct(
+        symbol.alias("symbol"),
+        F.when(found.endswith("%"), "move").when(found.rlike(_VOLUME), "volume").otherwise("high").alias("kind"),
+        F.when(falls, -size).otherwise(size).alias("claimed_pct"),
+    )
 
 
-def claims_high(text: Column) -> Column:
-    return F.lower(text).rlike(patterns.any_of(HIGH_WORDS))
+def stated_claims(text: Column) -> Column:
+    """Every claim of a text in its order: symbol, kind (move, volume, high) and signed percentage.
+
+    A claim is about the nearest ticker before it, or about the first one where none precedes. The
+    text is cut in front of its tickers, so every part is searched once and knows its ticker.
+    """
+    ticker = lambda part: F.nullif(F.upper(F.regexp_extract(part, patterns.CASHTAG, 1)), F.lit(""))
+    parts = F.split(text, _TICKER_AHEAD)
+    claims = F.transform(
+        parts,
+        lambda part: F.transform(
+            F.regexp_extract_all(F.lower(part), F.lit(_CLAIM), F.lit(0)),
+            lambda found: _claim(found, F.coalesce(ticker(part), ticker(text))),
+        ),
+    )
+    return F.flatten(claims)
 
 
 def move_verdict(claimed_pct: Column, actual_pct: Column, tolerance_pct: float = 2.0) -> Column:

@@ -233,41 +233,28 @@ def category_summary(quote_rows: DataFrame) -> DataFrame:
 
 
 def claims(posts: DataFrame) -> DataFrame:
-    """One row per post and mentioned ticker with what the post claims about it."""
+    """One row per claim of a post, numbered in the order of its text, bound to its ticker."""
     # Cheap tests first: most posts hold no ticker, percentage or volume word at all.
     possible = F.col("text").contains("%") | F.lower("text").rlike("volume|high")
-    stated = posts.where(
-        ~F.col("is_retweet") & possible & text.has_cashtag(F.col("text"))
-    ).select(
-        "id",
-        F.array_distinct(text.cashtags(F.col("text"))).alias("symbols"),
-        market.claimed_move_pct(F.col("text")).alias("claimed_pct"),
-        market.claims_volume(F.col("text")).alias("claims_volume"),
-        market.claims_high(F.col("text")).alias("claims_high"),
+    stated = posts.where(~F.col("is_retweet") & possible & text.has_cashtag(F.col("text")))
+    return stated.select("id", F.posexplode(market.stated_claims(F.col("text"))).alias("claim_number", "c")).select(
+        "id", "claim_number", "c.*"
     )
-    return stated.where(
-        F.col("claimed_pct").isNotNull() | F.col("claims_volume") | F.col("claims_high")
-    ).select("id", F.explode("symbols").alias("symbol"), "claimed_pct", "claims_volume", "claims_high")
 
 
 def checked_claims(
     claim_rows: DataFrame, quote_rows: DataFrame, tolerance_pct: float = 2.0
 ) -> DataFrame:
-    """Claims with a verdict each: VERIFIED, EXAGGERATED, FALSE or UNVERIFIED."""
+    """Every claim with its verdict: VERIFIED, EXAGGERATED, FALSE or UNVERIFIED."""
     facts = with_flags(quote_rows).select(
         "symbol", "price_change_1d_pct", "is_unusual_volume", "is_near_52w_high"
     )
-    known = F.col("price_change_1d_pct")
+    known, kind = F.col("price_change_1d_pct"), F.col("kind")
+    verdict = F.coalesce(
+        market.move_verdict(F.when(kind == "move", F.col("claimed_pct")), known, tolerance_pct),
+        market.flag_verdict(kind == "volume", known, F.col("is_unusual_volume")),
+        market.flag_verdict(kind == "high", known, F.col("is_near_52w_high")),
+    )
     return claim_rows.join(facts, "symbol", "left").select(
-        "id",
-        "symbol",
-        "claimed_pct",
-        F.col("price_change_1d_pct").alias("actual_pct"),
-        market.move_verdict(F.col("claimed_pct"), known, tolerance_pct).alias("move_verdict"),
-        market.flag_verdict(F.col("claims_volume"), known, F.col("is_unusual_volume")).alias(
-            "volume_verdict"
-        ),
-        market.flag_verdict(F.col("claims_high"), known, F.col("is_near_52w_high")).alias(
-            "high_verdict"
-        ),
+        "id", "claim_number", "symbol", "kind", "claimed_pct", known.alias("actual_pct"), verdict.alias("verdict")
     )

@@ -263,27 +263,36 @@ _UP = "up|gain|gains|gained|rally|rallied|soaring|jumped"
 _DOWN = "down|drop|dropped|fell|crash|crashing|crashed|plunged"
 
 
-def _move(words: str) -> str:
-    return rf"nullif(regexp_extract(lower(text), '(?:^|[^\p{{L}}\p{{N}}_])(?:{words})\s+([0-9]{{1,4}}(?:\.[0-9]{{1,4}})?)\s?%', 1), '')"
+_NUMBER = r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?"
+_PHRASES = r"(?:huge|massive|heavy|record) volume|52w high|52-week high|all-time high"
+_STATED = rf"(?:(?:^|[^\p{{L}}\p{{N}}_])(?:{_UP}|{_DOWN})\s+{_NUMBER}\s?%|{_PHRASES})"
 
 
+# Tickers become marks; what follows a mark up to the next is searched for claims, in order.
 @query(
     "claims_checked",
     o.with_ctes(
         ["posts", "bars"],
-        """SELECT id, symbol, claimed_pct, price_change_1d_pct AS actual_pct,
-             CASE WHEN claimed_pct IS NULL THEN NULL WHEN price_change_1d_pct IS NULL THEN 'UNVERIFIED'
+        f"""SELECT id, claim_number, symbol, kind, claimed_pct, price_change_1d_pct AS actual_pct,
+             CASE WHEN price_change_1d_pct IS NULL THEN 'UNVERIFIED'
+                  WHEN kind = 'volume' THEN CASE WHEN is_unusual_volume THEN 'VERIFIED' ELSE 'EXAGGERATED' END
+                  WHEN kind = 'high' THEN CASE WHEN is_near_52w_high THEN 'VERIFIED' ELSE 'EXAGGERATED' END
                   WHEN sign(claimed_pct) * sign(price_change_1d_pct) < 0 THEN 'FALSE'
-                  WHEN abs(claimed_pct) > abs(price_change_1d_pct) + 2.0 THEN 'EXAGGERATED' ELSE 'VERIFIED' END AS move_verdict,
-             CASE WHEN vol THEN CASE WHEN price_change_1d_pct IS NULL THEN 'UNVERIFIED' WHEN is_unusual_volume THEN 'VERIFIED' ELSE 'EXAGGERATED' END END AS volume_verdict,
-             CASE WHEN high THEN CASE WHEN price_change_1d_pct IS NULL THEN 'UNVERIFIED' WHEN is_near_52w_high THEN 'VERIFIED' ELSE 'EXAGGERATED' END END AS high_verdict
-           FROM (SELECT DISTINCT id, unnest(tickers) AS symbol, claimed_pct, vol, high FROM stated
-                 WHERE claimed_pct IS NOT NULL OR vol OR high) c LEFT JOIN flagged USING (symbol)""",
-        stated=f"""SELECT id, {o.cashtags('text')} AS tickers,
-            coalesce(CAST({_move(_UP)} AS DOUBLE), -CAST({_move(_DOWN)} AS DOUBLE)) AS claimed_pct,
-            regexp_matches(lower(text), '(?:huge|massive|heavy|record) volume') AS vol,
-            regexp_matches(lower(text), '52w high|52-week high|all-time high') AS high
-          FROM posts WHERE NOT is_retweet""",
+                  WHEN abs(claimed_pct) > abs(price_change_1d_pct) + 2.0 THEN 'EXAGGERATED' ELSE 'VERIFIED' END AS verdict
+           FROM (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY part, place) - 1 AS INT) AS claim_number,
+                   coalesce(nullif(symbol, ''), first_symbol) AS symbol,
+                   CASE WHEN ends_with(c, '%') THEN 'move' WHEN contains(c, 'volume') THEN 'volume' ELSE 'high' END AS kind,
+                   CASE WHEN regexp_matches(c, '^[^a-z0-9]*(?:{_DOWN})\s') THEN -1 ELSE 1 END
+                     * CAST(replace(nullif(regexp_extract(c, '({_NUMBER})\s?%$', 1), ''), ',', '') AS DOUBLE) AS claimed_pct
+                 FROM (SELECT *, unnest(found) AS c, generate_subscripts(found, 1) AS place FROM searched) u) s
+           LEFT JOIN flagged USING (symbol)""",
+        marked=rf"""SELECT id, string_split(regexp_replace(regexp_replace(text, '\$', ' $', 'g'),
+              '\$([A-Za-z]{{1,5}})([^\p{{L}}\p{{N}}_]|$)', chr(2) || '\1' || chr(3) || '\2', 'g'), chr(2)) AS parts,
+            {o.cashtags('text')}[1] AS first_symbol
+          FROM posts WHERE NOT is_retweet AND len({o.cashtags('text')}) > 0""",
+        parted="SELECT id, first_symbol, generate_subscripts(parts, 1) AS part, unnest(parts) AS p FROM marked",
+        searched=f"""SELECT id, part, first_symbol, CASE WHEN part > 1 THEN upper(split_part(p, chr(3), 1)) ELSE '' END AS symbol,
+            regexp_extract_all(lower(CASE WHEN part > 1 THEN split_part(p, chr(3), 2) ELSE p END), '{_STATED}') AS found FROM parted""",
         **_QUOTES,
     ),
 )
