@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import ship, written
+from trendloom.llm.common import map_arrow, ship, written
 from trendloom.llm.graph import components
 
 _SLACK = 1e-7
@@ -136,9 +136,10 @@ def usable(vector):
 def _dealt(distinct: DataFrame, reach: float, block: int, most_centers: int) -> tuple[DataFrame, DataFrame]:
     """Rows with the part they are in, and the pairs of parts that can hold links.
 
-    Labels of more than block rows are divided by nearest center, then by hash into parts of about
-    block rows. Parts whose centers are farther apart than their radii and the threshold allow are
-    never compared. Centers are a bounded sample of the rows, the same for all labels.
+    A label of more than block rows is divided by nearest center, among as many centers as it has
+    blocks of rows, up to most_centers; then by hash into parts of about block rows. Parts whose
+    centers are farther apart than their radii and the threshold allow are never compared. Centers
+    are a bounded sample of the rows, the same for all labels.
     """
     centers = distinct.orderBy(F.xxhash64("rep", F.lit(2))).limit(most_centers).select("v").collect()
     by_dims: dict[int, list] = {}
@@ -150,10 +151,10 @@ def _dealt(distinct: DataFrame, reach: float, block: int, most_centers: int) ->
     def nearest(batches):
         for batch in batches:
             cells, far = [], []
-            for v in batch.column(batch.schema.get_field_index("v")):
+            for v, few in zip(batch.column(1), batch.column(5).to_pylist()):
                 x = np.asarray(v.values, float)
-                c = points.get(len(x))
-                if c is None:
+                c = points.get(len(x), np.zeros((0, len(x))))[:few]
+                if len(c) < 2:
                     cells.append(-1)
                     far.append(2.0)
                     continue
@@ -161,14 +162,11 @@ def _dealt(distinct: DataFrame, reach: float, block: int, most_centers: int) ->
                 k = int(cosine.argmax())
                 cells.append(k)
                 far.append(float(np.sqrt(max(0.0, 2 - 2 * cosine[k]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32()), pa.array(far, pa.float64())], names=[*batch.schema.names, "near", "far"])
-
-    ship(distinct.sparkSession)
-    sizes = distinct.groupBy("label", "dims").agg(F.count("*").alias("rows"))
-    placed = distinct.mapInArrow(nearest, "label int, v array<double>, rep long, weight long, dims int, near int, far double")
-    placed = placed.join(sizes, ["label", "dims"])
-    cell = F.when(F.col("rows") > block, F.col("near")).otherwise(F.lit(-1))
-    placed = placed.withColumn("cell", cell).drop("near", "rows")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(cells, pa.int32()), pa.array(far, pa.float64())], names=[*batch.schema.names[:5], "cell", "far"])
+
+    sizes = distinct.groupBy("label", "dims").agg(F.least(F.ceil(F.count("*") / F.lit(block)), F.lit(most_centers)).cast("int").alias("few"))
+    placed = distinct.join(sizes, ["label", "dims"]).select("label", "v", "rep", "weight", "dims", "few")
+    placed = map_arrow(placed, nearest, "label int, v array<double>, rep long, weight long, dims int, cell int, far double")
     placed = written(placed, "vectors-cells")
     cells = placed.groupBy("label", "dims", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
     cells = cells.withColumn("chunks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
@@ -191,7 +189,7 @@ def _dealt(distinct: DataFrame, reach: float, block: int, most_centers: int) ->
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     pairs = one("a").join(one("b"), ["label", "dims"]).where("a_cell <= b_cell")
-    pairs = pairs.mapInArrow(possible, pairs.schema)
+    pairs = map_arrow(pairs, possible, pairs.schema)
     pairs = pairs.withColumn("a_chunk", F.explode(F.sequence(F.lit(0), F.col("a_chunks") - 1)))
     pairs = pairs.withColumn("b_chunk", F.explode(F.sequence(F.lit(0), F.col("b_chunks") - 1)))
     pairs = pairs.where("a_cell < b_cell or a_chunk <= b_chunk")
