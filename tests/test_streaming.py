@@ -58,7 +58,7 @@ def test_late_posts_are_dropped_after_the_delay(spark, tmp_path):
         stream = ps.read_raw_post_stream(spark, str(tmp_path))
         rows, late = ps.run_counting_late(ps.daily_counts(stream, "12 hours", TAGS), "daily", state)
         dropped.append(late)
-        return {(r.run_date.day, r.key): (r.mention_count, r.approx_authors) for r in rows.collect()}
+        return {(r.run_date.day, r.key): (r.mention_count, r.unique_authors) for r in rows.collect()}
 
     deliver(tmp_path, "a.json", (1, 1, 8, "$NVDA", "u"), (2, 1, 9, "$NVDA", "v"), (3, 2, 8, "$NVDA", "u"))
     assert counts() == {}  # the first day may still get posts

@@ -4,28 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trendloom.operators import market, mentions
+from trendloom.operators import market
 from trendloom.plans import oracle as o
 from trendloom.plans import testdata as td
 from trendloom.plans.registry import query
 from trendloom.session import work_folder
 from trendloom.streaming import posts_stream as ps
 
-TAGS = (mentions.CASHTAG, mentions.HASHTAG)
-
-
 @query(
     "stream_ingested_activity",
     o.with_ctes(
-        ["tag_mentions"],
+        ["mentions"],
         f"""SELECT {o.norm('key')} AS trend_term, CAST(created_at AS DATE) AS run_date,
-              CAST(count(*) AS INT) AS mention_count, sum(tenths) / 10.0 AS engagement_score
-            FROM tag_mentions GROUP BY 1, 2""",
+              count(*) AS mention_count, sum(tenths) / 10.0 AS engagement_score
+            FROM mentions GROUP BY 1, 2""",
     ),
 )
 def _(spark, sf):
     folder = work_folder(spark, "ingest")
-    ps.ingest_activity(td.post_stream(spark, sf), folder, TAGS)
+    ps.ingest_activity(td.post_stream(spark, sf), folder)
     return ps.ingested_activity(spark, folder)
 
 
@@ -42,49 +39,57 @@ def _(spark, sf):
 
 _CLOSED = "(SELECT max(created_at) - INTERVAL 1 DAY FROM facts)"
 
+# Every mention in the six sliding windows it falls into, as far as these are closed.
+_WINDOWS = {
+    "in_windows": f"""SELECT * FROM (
+        SELECT *, date_trunc('hour', created_at) - to_hours(i) AS window_start FROM mentions, range(0, 6) r(i)) w
+      WHERE window_start + INTERVAL 6 HOURS <= {_CLOSED.replace('facts', 'posts')}""",
+    "window_stats": """SELECT window_start, term_type, key, count(*) AS mention_count, count(DISTINCT username) AS unique_authors,
+        sum(tenths) / 10.0 AS total_engagement,
+        count(*) FILTER (term_type = 'cashtag' OR has_context) AS financial_context_count,
+        count(*) FILTER (term_type <> 'cashtag' AND has_cashtag) AS cashtag_cooccurrence_count
+      FROM in_windows GROUP BY 1, 2, 3""",
+    "scored_windows": o.scored_sql("window_stats"),
+}
+_WINDOW_COLUMNS = """window_start, window_start + INTERVAL 6 HOURS AS window_end, term_type, key, mention_count,
+  unique_authors, total_engagement, velocity_score, composite_score"""
+
 
 @query(
     "stream_daily_counts",
     o.with_ctes(
-        ["tag_mentions", "facts"],
-        f"""SELECT run_date, term_type, key, mention_count, total_engagement FROM (
+        ["mentions", "facts"],
+        f"""SELECT run_date, term_type, key, mention_count, unique_authors, total_engagement FROM (
               SELECT CAST(created_at AS DATE) AS run_date, term_type, key, count(*) AS mention_count,
-                sum(tenths) / 10.0 AS total_engagement FROM tag_mentions GROUP BY 1, 2, 3) d
+                count(DISTINCT username) AS unique_authors, sum(tenths) / 10.0 AS total_engagement FROM mentions GROUP BY 1, 2, 3) d
             WHERE run_date + INTERVAL 1 DAY <= {_CLOSED.replace('facts', 'posts')}""",
     ),
 )
 def _(spark, sf):
     """Closed days only: a day is emitted once the watermark has passed its end."""
-    rows = ps.run_available(ps.daily_counts(td.post_stream(spark, sf), term_types=TAGS), "daily")
-    return rows.drop("approx_authors")
+    return ps.run_available(ps.daily_counts(td.post_stream(spark, sf)), "daily")
 
 
 @query(
     "stream_sliding_scores",
     o.with_ctes(
-        ["tag_mentions", "posts"],
-        f"""SELECT window_start, window_start + INTERVAL 6 HOURS AS window_end, term_type, key, count(*) AS mention_count,
-              sum(tenths) / 10.0 AS total_engagement
-            FROM (SELECT *, date_trunc('hour', created_at) - to_hours(i) AS window_start FROM tag_mentions, range(0, 6) r(i)) w
-            WHERE window_start + INTERVAL 6 HOURS <= {_CLOSED.replace('facts', 'posts')}
-            GROUP BY ALL""",
+        ["mentions", "posts"],
+        f"SELECT {_WINDOW_COLUMNS} FROM scored_windows",
+        **_WINDOWS,
     ),
 )
 def _(spark, sf):
-    """Windows with exact counts; the scores rest on approximate author counts."""
-    rows = ps.run_available(ps.sliding_scores(td.post_stream(spark, sf), term_types=TAGS), "sliding")
-    return rows.select(
-        "window_start", "window_end", "term_type", "key", "mention_count", "total_engagement"
-    )
+    return ps.run_available(ps.sliding_scores(td.post_stream(spark, sf)), "sliding")
 
 
 @query(
     "stream_late_posts",
     o.with_ctes(
-        ["tag_mentions", "posts"],
-        f"""SELECT run_date, term_type, key, mention_count FROM (
-              SELECT CAST(created_at AS DATE) AS run_date, term_type, key, count(*) AS mention_count
-              FROM tag_mentions WHERE created_at >= DATE '2024-01-15' GROUP BY 1, 2, 3) d
+        ["mentions", "posts"],
+        f"""SELECT run_date, term_type, key, mention_count, unique_authors FROM (
+              SELECT CAST(created_at AS DATE) AS run_date, term_type, key, count(*) AS mention_count,
+                count(DISTINCT username) AS unique_authors
+              FROM mentions WHERE created_at >= DATE '2024-01-15' GROUP BY 1, 2, 3) d
             WHERE run_date + INTERVAL 1 DAY <= {_CLOSED.replace('facts', 'posts')}""",
     ),
 )
@@ -97,14 +102,23 @@ def _(spark, sf):
     for part in (posts.where(second), posts.where(~second)):
         part.write.mode("append").parquet(folder)
         stream = spark.readStream.schema(posts.schema).parquet(folder)
-        rows = ps.run_available(ps.daily_counts(stream, term_types=TAGS), "late", state)
-    return rows.select("run_date", "term_type", "key", "mention_count")
+        rows = ps.run_available(ps.daily_counts(stream), "late", state)
+    return rows.select("run_date", "term_type", "key", "mention_count", "unique_authors")
 
 
-@query("stream_hot_terms")
+@query(
+    "stream_hot_terms",
+    o.with_ctes(
+        ["mentions", "posts"],
+        f"""SELECT * FROM (SELECT {_WINDOW_COLUMNS}, CAST(row_number() OVER (
+              PARTITION BY window_start ORDER BY composite_score DESC, term_type, key) AS INT) AS window_rank
+            FROM scored_windows) r WHERE window_rank <= 10""",
+        **_WINDOWS,
+    ),
+)
 def _(spark, sf):
-    """The hottest tags per sliding window. No SQL: author counts are approximate."""
-    scored = ps.run_available(ps.sliding_scores(td.post_stream(spark, sf), term_types=TAGS), "hot")
+    """The hottest terms of all families per sliding window."""
+    scored = ps.run_available(ps.sliding_scores(td.post_stream(spark, sf)), "hot")
     return ps.hottest_per_window(scored)
 
 

@@ -54,28 +54,27 @@ def _(spark, sf):
 @query(
     "term_authors",
     o.with_ctes(
-        ["tag_mentions"],
-        "SELECT term_type, key, count(DISTINCT username) AS authors FROM tag_mentions GROUP BY 1, 2",
+        ["mentions"],
+        "SELECT term_type, key, count(DISTINCT username) AS authors FROM mentions GROUP BY 1, 2",
     ),
 )
 def _(spark, sf):
-    tags = mentions.mentions(_posts(spark, sf), (mentions.CASHTAG, mentions.HASHTAG))
-    return tags.groupBy("term_type", "key").agg(F.countDistinct("username").alias("authors"))
+    rows = mentions.mentions(_posts(spark, sf))
+    return rows.groupBy("term_type", "key").agg(F.countDistinct("username").alias("authors"))
 
 
 @query(
     "term_first_posts",
     o.with_ctes(
-        ["tag_mentions", "posts"],
+        ["mentions", "posts"],
         """SELECT term_type, key, CAST(rk AS INT) AS sample_rank, m.id, substring(p.text, 1, 200) AS sample FROM (
              SELECT *, row_number() OVER (PARTITION BY term_type, key ORDER BY created_at, id) AS rk
-             FROM tag_mentions) m JOIN posts p USING (id) WHERE rk <= 3""",
+             FROM mentions) m JOIN posts p USING (id) WHERE rk <= 3""",
     ),
 )
 def _(spark, sf):
     posts = _posts(spark, sf)
-    tags = mentions.mentions(posts, (mentions.CASHTAG, mentions.HASHTAG))
-    first = mentions.first_posts(tags).select("term_type", "key", "sample_rank", "id")
+    first = mentions.first_posts(mentions.mentions(posts)).select("term_type", "key", "sample_rank", "id")
     return first.join(posts.select("id", F.substring("text", 1, 200).alias("sample")), "id")
 
 
@@ -367,15 +366,14 @@ def _(spark, sf):
 @query(
     "daily_activity",
     o.with_ctes(
-        ["tag_mentions"],
+        ["mentions"],
         f"""SELECT {o.norm('key')} AS trend_term, CAST(created_at AS DATE) AS run_date,
-              CAST(count(*) AS INT) AS mention_count, sum(tenths) / 10.0 AS engagement_score
-            FROM tag_mentions GROUP BY 1, 2""",
+              count(*) AS mention_count, sum(tenths) / 10.0 AS engagement_score
+            FROM mentions GROUP BY 1, 2""",
     ),
 )
 def _(spark, sf):
-    tags = mentions.mentions(_posts(spark, sf), (mentions.CASHTAG, mentions.HASHTAG))
-    return mentions.daily_activity(tags)
+    return mentions.daily_activity(mentions.mentions(_posts(spark, sf)))
 
 
 @query(

@@ -12,8 +12,16 @@ from trendloom.session import work_folder
 from trendloom.sources.posts import normalize_raw_posts
 
 
-def read_raw_post_stream(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    return normalize_raw_posts(spark.readStream.schema(schemas.RAW_POST).format(fmt).load(path))
+def read_raw_post_stream(
+    spark: SparkSession, path: str, fmt: str = "json", max_files: int = 1000
+) -> DataFrame:
+    """Raw post files as a stream of batches of at most max_files files, so a backlog is taken in parts."""
+    files = spark.readStream.schema(schemas.RAW_POST).option("maxFilesPerTrigger", max_files)
+    return normalize_raw_posts(files.format(fmt).load(path))
+
+
+#: Progress reports kept by a run, so that the late rows of every micro-batch are counted.
+MAX_BATCHES = 100_000
 
 
 def run_available(stream: DataFrame, purpose: str, checkpoint: str | None = None) -> DataFrame:
@@ -30,6 +38,7 @@ def run_counting_late(
     """As ``run_available``, with the number of state rows dropped for being late."""
     spark = stream.sparkSession
     folder = checkpoint or work_folder(spark, purpose)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", MAX_BATCHES)
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{folder}/rows")
@@ -39,11 +48,10 @@ def run_counting_late(
         .start()
     )
     query.awaitTermination()
-    late = sum(
-        operator.numRowsDroppedByWatermark
-        for progress in query.recentProgress
-        for operator in progress.stateOperators
-    )
+    reports = query.recentProgress
+    if len(reports) >= MAX_BATCHES:
+        raise RuntimeError("too many micro-batches to count late rows; raise MAX_BATCHES")
+    late = sum(operator.numRowsDroppedByWatermark for report in reports for operator in report.stateOperators)
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows"), late
 
 
@@ -84,7 +92,7 @@ def ingested_activity(spark: SparkSession, folder: str) -> DataFrame:
     """Daily activity over all micro-batches so far."""
     parts = spark.read.parquet(f"{folder}/activity")
     return parts.groupBy("trend_term", "run_date").agg(
-        F.sum("mention_count").cast("int").alias("mention_count"),
+        F.sum("mention_count").alias("mention_count"),
         (F.sum(F.round(F.col("engagement_score") * 10).cast("bigint")) / 10.0).alias(
             "engagement_score"
         ),
@@ -97,29 +105,40 @@ def deduplicated(posts: DataFrame, delay: str = "1 day") -> DataFrame:
     return once.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
+def _by_window(rows: DataFrame, *window: str) -> DataFrame:
+    """Counters per window and term with exact author counts, as columns of ``term_stats`` and w.
+
+    Counted first per author, then over authors: two aggregations in a row, both closed by the
+    watermark, so state holds one narrow row per author and term of the open windows only.
+    """
+    is_cashtag = F.col("term_type") == m.CASHTAG
+    per_author = rows.groupBy(F.window("created_at", *window).alias("w"), "term_type", "key", "username").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("engagement_tenths").alias("tenths"),
+        F.count_if(is_cashtag | F.col("has_context")).alias("in_context"),
+        F.count_if(~is_cashtag & F.col("has_cashtag")).alias("in_company"),
+    )
+    return per_author.groupBy("w", "term_type", "key").agg(
+        F.sum("n").alias("mention_count"),
+        F.count("username").alias("unique_authors"),
+        (F.sum("tenths") / 10.0).alias("total_engagement"),
+        F.sum("in_context").alias("financial_context_count"),
+        F.sum("in_company").alias("cashtag_cooccurrence_count"),
+    )
+
+
 def daily_counts(
     posts: DataFrame, delay: str = "1 day", term_types: tuple[str, ...] = m.ALL_TYPES
 ) -> DataFrame:
-    """Mentions per term and day, emitted when the day is closed; later posts are dropped.
-
-    Author counts are approximate: exact distinct counts would keep every author in state.
-    """
+    """Mentions and authors per term and day, emitted when the day is closed; later posts are dropped."""
     rows = m.mentions(_event_time(posts, delay), term_types)
-    return (
-        rows.groupBy(F.window("created_at", "1 day").alias("w"), "term_type", "key")
-        .agg(
-            F.count(F.lit(1)).alias("mention_count"),
-            F.approx_count_distinct("username").alias("approx_authors"),
-            F.sum("engagement_tenths").alias("tenths"),
-        )
-        .select(
-            F.to_date("w.start").alias("run_date"),
-            "term_type",
-            "key",
-            "mention_count",
-            "approx_authors",
-            (F.col("tenths") / 10.0).alias("total_engagement"),
-        )
+    return _by_window(rows, "1 day").select(
+        F.to_date("w.start").alias("run_date"),
+        "term_type",
+        "key",
+        "mention_count",
+        "unique_authors",
+        "total_engagement",
     )
 
 
@@ -132,19 +151,7 @@ def sliding_scores(
 ) -> DataFrame:
     """Velocity and composite score of each term per sliding window."""
     rows = m.mentions(_event_time(posts, delay), term_types)
-    is_cashtag = F.col("term_type") == m.CASHTAG
-    stats = (
-        rows.groupBy(F.window("created_at", width, slide).alias("w"), "term_type", "key")
-        .agg(
-            F.count(F.lit(1)).alias("mention_count"),
-            F.approx_count_distinct("username").alias("unique_authors"),
-            F.sum("engagement_tenths").alias("tenths"),
-            F.count_if(is_cashtag | F.col("has_context")).alias("financial_context_count"),
-            F.count_if(~is_cashtag & F.col("has_cashtag")).alias("cashtag_cooccurrence_count"),
-        )
-        .withColumn("total_engagement", F.col("tenths") / 10.0)
-    )
-    return m.with_scores(stats).select(
+    return m.with_scores(_by_window(rows, width, slide)).select(
         F.col("w.start").cast("timestamp_ntz").alias("window_start"),
         F.col("w.end").cast("timestamp_ntz").alias("window_end"),
         "term_type",
