@@ -33,11 +33,14 @@ def test_two_days(spark, tmp_path, capsys):
     ).write.parquet(str(tmp_path / "news"))
     digest = tmp_path / "digest.txt"
     digest.write_text("**Bottom Line:**\nBullish talk about chips and copper, shortage everywhere.")
+    topics = tmp_path / "topics.txt"
+    topics.write_text("copper shortage OR chip supply\nunheard of\n")
     store = work_folder(spark, "store")
     for day in (3, 4):
         cli.main([
             "run", "--posts", deliver(tmp_path / f"p{day}", day), "--bars", str(tmp_path / "bars"),
             "--news", str(tmp_path / "news"), "--store", store, "--as-of", f"2024-01-0{day}", "--digest", str(digest),
+            "--topics", str(topics), "--posts-per-topic", "11",
         ])
     shown = capsys.readouterr().out
     assert "New" in shown and "Day 2" in shown
@@ -45,6 +48,14 @@ def test_two_days(spark, tmp_path, capsys):
     assert {(d.run_date.day, d.signal_strength, d.tweet_count > 0) for d in stored} == {(3, "medium", True), (4, "medium", True)}
     history = daily.stored_history(spark, store)
     assert history.where("trend_term = 'nvda'").count() == 2
+    log = daily.stored(spark, f"{store}/ingest_log", daily.schemas.INGEST_LOG)
+    assert sorted((r.run_date.day, r.topic[:6], r.attempt, r.n_posts) for r in log.collect()) == [
+        (day, topic, 1, n) for day in (3, 4) for topic, n in (("copper", 11), ("unhear", 0))
+    ]
+    metrics = daily.stored(spark, f"{store}/run_metrics", daily.schemas.RUN_METRICS)
+    assert [(r.broad_posts, r.sources_active, r.sources_total) for r in metrics.collect()] == [(11, 1, 2)] * 2
+    assert {r.severity for r in daily.health.run_health(metrics).collect()} <= {"ok", "warning"}
+    assert [r.news_count for r in spark.read.parquet(f"{store}/summaries").collect()] == [5, 5]
     similar = daily.parallels(spark, store, dt.date(2024, 1, 4), min_similarity=0.0).collect()
     assert all(r.id == "memory_20240103" for r in similar)
 
@@ -74,3 +85,15 @@ def test_run_day_claims_quotes_and_keep_list(spark, tmp_path):
     row = run.summary.first()
     assert (row.trends, row.tweet_count, row.news_count, row.top_engagement) == (["$nvda"], 12, 1, 5000.0)
     assert all(len(r.sample_tweets) == 3 for r in run.candidates.collect())
+
+
+def test_complete_topics_are_not_collected_again(spark, tmp_path):
+    from trendloom.sources.posts import read_raw_posts
+
+    posts, day = read_raw_posts(spark, deliver(tmp_path / "p", 3)), dt.date(2024, 1, 3)
+    topics = spark.createDataFrame([("copper",), ("chip",), ("gold",)], "topic STRING")
+    log = spark.createDataFrame([(day, "copper", 1, 5), (day, "gold", 1, 0)], daily.schemas.INGEST_LOG)
+    taken, attempts = daily.collect_topics(posts, topics, log, day, limit_per_topic=4)
+    assert sorted((r.topic, r.attempt, r.n_posts) for r in attempts.collect()) == [("chip", 2, 4), ("gold", 2, 0)]
+    assert {r.topic for r in taken.collect()} == {"chip"} and taken.count() == 4
+    assert daily.collect_topics(posts, topics, log, day, language="de")[0].count() == 0

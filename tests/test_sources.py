@@ -109,3 +109,12 @@ def test_attempts_count_empty_topics(spark):
     df = posts(spark, (1, "x", "en", "a"), (2, "x", "en", "a"))
     rows = health.attempt_rows(topics, df, dt.date(2024, 1, 1), 2).collect()
     assert {(r.topic, r.n_posts, r.attempt) for r in rows} == {("a", 2, 2), ("b", 0, 2)}
+
+
+def test_phrases_inside_quotes_and_hyphens(spark):
+    df = spark.createDataFrame(
+        [(1, "an 'egg shortage'"), (2, "egg-shortage now"), (3, "it's 'short'"), (4, "eggs shortages"), (5, "'egg-shortage'")], "id LONG, text STRING"
+    )
+    topics = spark.createDataFrame([("shortage",), ("egg-shortage",), ("it's",), ("short",)], "topic STRING")
+    got = {(r.id, r.topic) for r in ranking.topic_matches(df, topics).collect()}
+    assert got == {(i, t) for i in (1, 2, 5) for t in ("shortage", "egg-shortage")} | {(3, "it's"), (3, "short")}

@@ -5,7 +5,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from trendloom.session import work_folder, written
+from trendloom.session import folder_exists, work_folder, written
 from trendloom.sources import tables
 
 HISTORY = "trend_term STRING, run_date DATE, mention_count INT, engagement_score DOUBLE"
@@ -87,3 +87,64 @@ def test_posts_table_prunes_days_and_topics(spark):
     some = table.where("run_date = DATE '2024-01-02' AND topic = 't1'")
     assert some.count() == 5
     assert "PartitionFilters: [isnotnull(run_date" in some._jdf.queryExecution().toString()
+
+
+def test_newest_version_stays_in_any_order(spark):
+    import itertools
+
+    old = spark.createDataFrame([("k", 0, "old")], "k STRING, v INT, text STRING")
+    for order in itertools.permutations([(1, "one"), (2, "two"), (3, "three")]):
+        new = spark.createDataFrame([("k", *x) for x in order], "k STRING, v INT, text STRING")
+        assert tables.latest_versions(old, new, ["k"], version="v").first().text == "three"
+
+
+def test_one_row_per_memory_whatever_its_date(spark):
+    path = work_folder(spark, "m")
+    schema = "id STRING, date DATE, summary STRING, created_at TIMESTAMP_NTZ"
+    for month in (1, 2, 3):
+        row = ("x", dt.date(2024, month, 5), f"text {month}", dt.datetime(2024, month, 5))
+        day = (f"memory_2024{month:02d}05", dt.date(2024, month, 5), "day", dt.datetime(2024, month, 5))
+        tables.store_memories(spark.createDataFrame([row, day], schema), path)
+    got = {r.id: r for r in tables.read_memories(spark, path).collect()}
+    assert len(got) == tables.read_memories(spark, path).count() == 4
+    assert (got["x"].summary, got["x"].created_at) == ("text 3", dt.datetime(2024, 1, 5))
+    one = tables.read_memories(spark, path, "memory_20240205")
+    assert one.first().date == dt.date(2024, 2, 5) and one.count() == 1
+    assert "PartitionFilters: [isnotnull(part" in one._jdf.queryExecution().toString()
+
+
+def test_interrupted_replacement_is_finished(spark, monkeypatch):
+    path = work_folder(spark, "t")
+    tables.store_trend_history(history(spark, ("a", 1, 1), ("a", 2, 1)), path)
+    replace = tables._replace_partitions
+
+    def interrupted(spark, merged, path, partition):
+        for file in Path(path).glob("run_date=2024-01-01/*"):  # deleted, but not yet written anew
+            file.unlink()
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(tables, "_replace_partitions", interrupted)
+    try:
+        tables.store_trend_history(history(spark, ("b", 1, 5)), path)
+    except KeyboardInterrupt:
+        pass
+    assert stored(spark, path) == {("a", 2): 1}
+    monkeypatch.setattr(tables, "_replace_partitions", replace)
+    tables.store_trend_history(history(spark, ("c", 3, 9)), path)
+    assert stored(spark, path) == {("a", 1): 1, ("b", 1): 5, ("a", 2): 1, ("c", 3): 9}
+    assert not folder_exists(spark, f"{path}/_merged")
+
+
+def test_two_runs_of_a_day_have_two_ids_and_months_are_pruned(spark):
+    path = work_folder(spark, "d")
+    schema = (
+        "run_date DATE, trends ARRAY<STRING>, tweet_count INT, digest_text STRING, signal_strength STRING, "
+        "top_engagement DOUBLE, notable BOOLEAN, created_at TIMESTAMP_NTZ"
+    )
+    for month, hour in ((1, 8), (1, 20), (2, 8), (3, 8)):
+        row = (dt.date(2024, month, 5), ["a"], 5, "t", "low", 1.5, False, dt.datetime(2024, month, 5, hour))
+        tables.store_digests(spark.createDataFrame([row], schema), path)
+    assert len({r.id for r in tables.read_digests(spark, path).collect()}) == 4
+    some = tables.read_digests(spark, path, dt.date(2024, 1, 1), dt.date(2024, 2, 5))
+    assert some.count() == 3
+    assert "PartitionFilters: [isnotnull(month" in some._jdf.queryExecution().toString()

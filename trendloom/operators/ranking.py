@@ -117,8 +117,13 @@ def with_fallback(terms: DataFrame, fallback: tuple[str, ...] = constants.FALLBA
 
 
 def phrase_words(col: Column) -> Column:
-    """Words of a text for phrase look-up: letters, digits, $, # and apostrophes."""
-    return F.split(F.btrim(F.regexp_replace(F.lower(col), r"[^\p{L}\p{N}_$#'%&-]+", " ")), " ")
+    """Words of a text for phrase look-up: letters, digits, $, # and apostrophes inside words.
+
+    Quotation marks around words and hyphens between them end words, so that a phrase is found in
+    'quotes' and as a part of hyphen-joined words.
+    """
+    unquoted = F.regexp_replace(F.lower(col), r"(?<![\p{L}\p{N}_])'+|'+(?![\p{L}\p{N}_])", " ")
+    return F.split(F.btrim(F.regexp_replace(unquoted, r"[^\p{L}\p{N}_$#'%&]+", " ")), " ")
 
 
 def post_phrases(words: Column, max_words: int) -> Column:

@@ -13,7 +13,8 @@ from trendloom.functions import text
 from trendloom.functions.text import DEFAULT_RULES, TermRules
 from trendloom.operators import digests, health, market, memory, news, ranking, timeline
 from trendloom.operators.ranking import DEFAULT_LIMITS, TrendLimits
-from trendloom.session import written
+from trendloom.session import folder_exists, written
+from trendloom.sources.posts import outstanding_topics, select_per_topic
 from trendloom.sources import tables
 
 
@@ -83,7 +84,9 @@ def activity_rows(run: Run, as_of: dt.date) -> DataFrame:
 
 
 def store_day(run: Run, folder: str, as_of: dt.date, digest_text: str, now: dt.datetime) -> None:
-    """Append the digest, upsert the trend history and the memory of the day."""
+    """Append the run's summary and digest, upsert the trend history and the memory of the day."""
+    summary = run.summary.withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
+    summary.coalesce(1).write.mode("append").parquet(f"{folder}/summaries")  # one row
     row = run.summary.select(
         "run_date",
         "trends",
@@ -124,6 +127,58 @@ def parallels(spark: SparkSession, folder: str, as_of: dt.date, k: int = 5, min_
     return memory.parallels_within_budget(memory.search(embedded, today, k, min_similarity))
 
 
-def run_counters(run: Run, posts: DataFrame, status: DataFrame) -> DataFrame:
-    """Counters of the run for its health check."""
-    return health.run_totals(posts, run.trend_posts, status, run.news)
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of the store, empty before its first row."""
+    if not folder_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def collect_topics(
+    posts: DataFrame,
+    topics: DataFrame,
+    ingest_log: DataFrame,
+    as_of: dt.date,
+    limit_per_topic: int = 200,
+    language: str = "en",
+) -> tuple[DataFrame, DataFrame]:
+    """The posts of a run by topic, and the attempts to be added to the ingest log.
+
+    Topics that are complete for the day are skipped. The newest posts of a language that match a
+    topic are taken, and a post of several topics counts once.
+    """
+    today = ingest_log.where(F.col("run_date") == F.lit(as_of))
+    open_topics = outstanding_topics(topics, health.ingest_status(today))
+    matched = posts.drop("topic").join(ranking.topic_matches(posts, open_topics), "id")
+    taken = written(select_per_topic(matched, limit_per_topic, language).drop("topic_rank"), "topic-posts")
+    number = today.agg(F.coalesce(F.max("attempt"), F.lit(0)) + 1).first()[0]
+    return ranking.dedupe_posts(taken), health.attempt_rows(open_topics, taken, as_of, number)
+
+
+def run_metrics(
+    run: Run, posts: DataFrame, attempts: DataFrame, run_id: int, start: dt.datetime, end: dt.datetime,
+    errors: tuple[str, ...] = (), warnings: tuple[str, ...] = (), report_sent: bool = True,
+) -> DataFrame:
+    """The run's row of run_metrics, from which `health.run_health` decides on alerts."""
+    totals = health.run_totals(posts, run.trend_posts, health.ingest_status(attempts), run.news)
+    found = run.candidates.agg(F.count(F.lit(1)).alias("trends_discovered"))
+    texts = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    return health.one_row(totals, found).select(
+        F.lit(run_id).cast("bigint").alias("run_id"),
+        F.lit(start).cast("timestamp_ntz").alias("start_time"),
+        F.lit(end).cast("timestamp_ntz").alias("end_time"),
+        "broad_posts",
+        "deep_dive_posts",
+        "trends_discovered",
+        "sources_active",
+        F.col("topics_attempted").alias("sources_total"),
+        F.lit(report_sent).alias("report_sent"),
+        texts(errors).alias("errors"),
+        texts(warnings).alias("warnings"),
+    )
+
+
+def store_log(metrics: DataFrame, attempts: DataFrame, folder: str) -> None:
+    """Append the run's metrics (one row) and its attempts (one row per topic)."""
+    metrics.coalesce(1).write.mode("append").parquet(f"{folder}/run_metrics")
+    attempts.write.mode("append").parquet(f"{folder}/ingest_log")

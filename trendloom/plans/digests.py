@@ -146,8 +146,8 @@ def _(spark, sf):
     "digests_stored",
     o.with_ctes(
         ["digests"],
-        """SELECT run_date, tweet_count, top_engagement, signal_strength, notable, array_to_string(trends, ',') AS trends
-           FROM digests""",
+        """SELECT epoch_us(CAST(run_date AS TIMESTAMP)) AS id, run_date, tweet_count, top_engagement, signal_strength, notable,
+             array_to_string(trends, ',') AS trends FROM digests""",
     ),
 )
 def _(spark, sf):
@@ -161,7 +161,7 @@ def _(spark, sf):
     tables.store_digests(rows.where(F.col("run_date") < split), path)
     tables.store_digests(rows.where(F.col("run_date") >= split), path)
     return tables.read_digests(spark, path).select(
-        "run_date", "tweet_count", "top_engagement", "signal_strength", "notable",
+        "id", "run_date", "tweet_count", "top_engagement", "signal_strength", "notable",
         F.array_join("trends", ",").alias("trends"),
     )
 
@@ -185,9 +185,14 @@ def _(spark, sf):
     )
 
 
-@query("economic_news_uncapped", o.with_ctes(["news"], _NEWS.format(cap=1000000000)))
+_ALL_NEWS = """SELECT query, ord, coalesce(title, 'No Title') AS title, md5(coalesce(body, '')) AS body_md5, coalesce(url, '') AS url,
+    coalesce(source, 'Unknown') AS source
+  FROM news QUALIFY row_number() OVER (PARTITION BY coalesce(url, '') ORDER BY ord, rnk) = 1"""
+
+
+@query("economic_news_uncapped", o.with_ctes(["news"], _ALL_NEWS))
 def _(spark, sf):
-    return _news(spark, sf, 1_000_000_000).select(
+    return _news(spark, sf, None).select(
         "query", "ord", "title", F.md5("body").alias("body_md5"), "url", "source"
     )
 

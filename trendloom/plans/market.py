@@ -273,7 +273,7 @@ _STATED = rf"(?:(?:^|[^\p{{L}}\p{{N}}_])(?:{_UP}|{_DOWN})\s+{_NUMBER}\s?%|{_PHRA
     "claims_checked",
     o.with_ctes(
         ["posts", "bars"],
-        f"""SELECT id, claim_number, symbol, kind, claimed_pct, price_change_1d_pct AS actual_pct,
+        rf"""SELECT id, claim_number, symbol, kind, claimed_pct, price_change_1d_pct AS actual_pct,
              CASE WHEN price_change_1d_pct IS NULL THEN 'UNVERIFIED'
                   WHEN kind = 'volume' THEN CASE WHEN is_unusual_volume THEN 'VERIFIED' ELSE 'EXAGGERATED' END
                   WHEN kind = 'high' THEN CASE WHEN is_near_52w_high THEN 'VERIFIED' ELSE 'EXAGGERATED' END

@@ -119,7 +119,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Posts written to a table partitioned by day and topic, and read back."""
     path = work_folder(spark, "posts")
-    tables.store_posts(td.derived(spark, sf, "posts"), path, files_per_topic=1)
+    tables.store_posts(td.derived(spark, sf, "posts"), path)
     return tables.read_posts(spark, path).select(
         "id", F.md5("text").alias("text_md5"), "topic", "run_date", "likes", "views",
         F.array_join("hashtags", ",").alias("hashtags"),
@@ -311,7 +311,7 @@ def _topics(spark):
     return spark.createDataFrame([(t,) for t in constants.DEFAULT_TOPICS], "topic STRING")
 
 
-_PLAIN = r"""concat(' ', trim(regexp_replace(lower(text), '[^\p{L}\p{N}_$#''%&-]+', ' ', 'g'), ' '), ' ')"""
+_PLAIN = r"""concat(' ', trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '(^|[^\p{L}\p{N}_])''+', '\1 ', 'g'), '''+([^\p{L}\p{N}_]|$)', ' \1', 'g'), '[^\p{L}\p{N}_$#''%&]+', ' ', 'g'), ' '), ' ')"""
 
 
 @query(

@@ -11,8 +11,6 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.session import spread
-
 AS_OF = dt.date(2024, 1, 20)
 MARKET_AS_OF = dt.date(2000, 6, 30)
 DIGEST_AS_OF = dt.date(1999, 6, 30)
@@ -246,6 +244,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The base tables are single files: deal them to all cores, as many files would be."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table over the base tables of one scale factor."""
     sql = SQL[name]

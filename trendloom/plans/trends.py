@@ -244,7 +244,7 @@ def _(spark, sf):
     return ranking.with_fallback(written(ranking.top_terms(_posts(spark, sf), strict), "terms"))
 
 
-_PLAIN = r"""trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_$#''%&-]+', ' ', 'g'), ' ')"""
+_PLAIN = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '(^|[^\p{{L}}\p{{N}}_])''+', '\1 ', 'g'), '''+([^\p{{L}}\p{{N}}_]|$)', ' \1', 'g'), '[^\p{{L}}\p{{N}}_$#''%&]+', ' ', 'g'), ' ')"""
 _DEEP_SQL = {
     "hits": f"""SELECT c.term AS trend, p.* FROM candidates c JOIN
         (SELECT *, concat(' ', {_PLAIN.format(x='text')}, ' ') AS t FROM posts) p

@@ -38,4 +38,12 @@ MEMORY = """
     created_at TIMESTAMP_NTZ, embedding ARRAY<DOUBLE>
 """
 
+INGEST_LOG = "run_date DATE, topic STRING, attempt BIGINT, n_posts BIGINT"
+
+RUN_METRICS = """
+    run_id BIGINT, start_time TIMESTAMP_NTZ, end_time TIMESTAMP_NTZ, broad_posts BIGINT,
+    deep_dive_posts BIGINT, trends_discovered BIGINT, sources_active BIGINT, sources_total BIGINT,
+    report_sent BOOLEAN, errors ARRAY<STRING>, warnings ARRAY<STRING>
+"""
+
 NEWS = "query STRING, ord INT, rnk BIGINT, title STRING, body STRING, url STRING, source STRING, date STRING"

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,25 +22,40 @@ def builder(app: str = "trendloom") -> SparkSession.Builder:
     )
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="trendloom-")
-
-
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder for intermediate tables and stream checkpoints.
+    """A fresh folder for intermediate tables and stream checkpoints, shared by all executors.
 
-    On a cluster it lies in the shared folder named by spark.checkpoint.dir. Only where that
-    is unset, as in a local test, a temporary folder takes its place.
+    It lies in the folder named by spark.checkpoint.dir or, where that is unset, in the warehouse.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-        root = _local_folder()
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def _folder(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any file system that Spark reads."""
+    system, path = _folder(spark, path)
+    return system.exists(path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all it holds."""
+    system, path = _folder(spark, path)
+    system.delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for made in tables:
+        for file in made.inputFiles()[:1]:
+            delete_folder(made.sparkSession, file.rsplit("/", 1)[0])
+
+
 def written(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
     """The same rows read back from a written table: lineage ends here and survives executors."""
     path = work_folder(df.sparkSession, purpose)
@@ -62,15 +75,3 @@ def broadcast_if(df: DataFrame, max_rows: int) -> DataFrame:
     Beyond the limit the choice is left to Spark, which shuffles what it cannot broadcast.
     """
     return F.broadcast(df) if max_rows <= MAX_BROADCAST_ROWS else df
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread rows over all cores when the input has fewer splits than cores.
-
-    Text work is heavy per row, and a file with one row group is one task. A large input has
-    more splits than cores and is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
