@@ -54,6 +54,12 @@ def test_copies_of_one_vector_stay_bounded_and_ordered(spark):
     assert all(r.distance == pytest.approx(0, abs=1e-9) for r in hits)
 
 
+def test_vectors_of_another_length_are_no_match(spark):
+    memories = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0, 0.0]), ("c", [1.0]), ("d", [])], "id STRING, embedding ARRAY<DOUBLE>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id STRING, query_embedding ARRAY<DOUBLE>")
+    assert [r.id for r in memory.search(memories, asked, k=5).collect()] == ["a"]
+
+
 def test_search_without_queries_or_vectors(spark):
     memories = frame(spark, vectors(5))
     assert memory.search(memories, as_queries(memories, [99])).count() == 0

@@ -2,6 +2,7 @@
 
 run     one daily run over post, bar and news tables; stores summary, digest, history, memory,
         the ingest log and the run's metrics, and shows its health
+parallels  past days most similar to the conditions of a stored day
 ingest  process newly arrived raw post files into the daily activity table
 """
 
@@ -40,6 +41,10 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--top-n", type=int, default=10)
     run.add_argument("--min-mentions", type=int, default=3)
     run.add_argument("--min-authors", type=int, default=2)
+    past = commands.add_parser("parallels")
+    past.add_argument("--store", required=True, help="folder of all stored tables")
+    past.add_argument("--as-of", type=dt.date.fromisoformat, required=True)
+    past.add_argument("--min-similarity", type=float, default=0.6)
     ingest = commands.add_parser("ingest")
     ingest.add_argument("--posts", required=True, help="folder in which raw post files arrive")
     ingest.add_argument("--format", default="json", choices=("json", "parquet", "orc"))
@@ -54,6 +59,9 @@ def main(argv: list[str] | None = None) -> None:
         posts_stream.ingest_activity(posts_stream.read_raw_post_stream(spark, args.posts, args.format), args.table)
         posts_stream.ingested_activity(spark, args.table).orderBy("run_date", "trend_term").show()
         return
+    if args.command == "parallels":
+        daily.parallels(spark, args.store, args.as_of, min_similarity=args.min_similarity).show(10, False)
+        return
     start = dt.datetime.now()
     posts = read_raw_posts(spark, args.posts, args.format)
     log = daily.stored(spark, f"{args.store}/ingest_log", schemas.INGEST_LOG)

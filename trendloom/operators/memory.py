@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.pipeline import Pipeline
+from pyspark.ml.pipeline import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,9 +56,9 @@ def memory_records(digests: DataFrame) -> DataFrame:
     )
 
 
-def embed(texts: DataFrame, text_column: str, features: int = 1024) -> DataFrame:
-    """Add a unit-length ``embedding`` of hashed, frequency-weighted words. No remote service."""
-    model = Pipeline(
+def embedder(texts: DataFrame, text_column: str, features: int = 1024) -> PipelineModel:
+    """A fitted embedding of hashed words, weighted by how rare they are in the given texts."""
+    return Pipeline(
         stages=[
             RegexTokenizer(
                 inputCol=text_column, outputCol="_words", pattern=r"[^\p{L}\p{N}_$#]+"
@@ -68,11 +68,17 @@ def embed(texts: DataFrame, text_column: str, features: int = 1024) -> DataFrame
             Normalizer(inputCol="_idf", outputCol="_unit"),
         ]
     ).fit(texts)
-    return (
-        model.transform(texts)
-        .withColumn("embedding", vector_to_array("_unit"))
-        .drop("_words", "_tf", "_idf", "_unit")
-    )
+
+
+def embedded(texts: DataFrame, model: PipelineModel) -> DataFrame:
+    """Add a unit-length ``embedding`` to texts under the column the model was fitted to."""
+    vectors = model.transform(texts).withColumn("embedding", vector_to_array("_unit"))
+    return vectors.drop("_words", "_tf", "_idf", "_unit")
+
+
+def embed(texts: DataFrame, text_column: str, features: int = 1024) -> DataFrame:
+    """Embed texts with the word weights of the same texts. No remote service."""
+    return embedded(texts, embedder(texts, text_column, features))
 
 
 def _block_hits(memories: DataFrame, queries: pd.DataFrame, k: int, floor: float) -> DataFrame:
@@ -122,7 +128,8 @@ def _block_hits(memories: DataFrame, queries: pd.DataFrame, k: int, floor: float
 
     id_type = memories.schema["id"].dataType.simpleString()
     schema = f"query_id {id_type}, id {id_type}, similarity double"
-    usable = memories.where(F.col("embedding").isNotNull()).select("id", "embedding")
+    fits = F.size("embedding") == matrix.shape[1]  # vectors of another length, as of null, have no cosine
+    usable = memories.where(F.col("embedding").isNotNull() & fits).select("id", "embedding")
     return usable.mapInArrow(search_batches, schema)
 
 

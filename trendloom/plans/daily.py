@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom import schemas
-from trendloom.functions import text
+from trendloom.functions import digest_text, text
 from trendloom.functions.text import DEFAULT_RULES, TermRules
 from trendloom.operators import digests, health, market, memory, news, ranking, timeline
 from trendloom.operators.ranking import DEFAULT_LIMITS, TrendLimits
@@ -115,16 +115,20 @@ def stored_history(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parallels(spark: SparkSession, folder: str, as_of: dt.date, k: int = 5, min_similarity: float = 0.6) -> DataFrame:
-    """Past days most similar to the day of as_of, strong ones first, three at most.
+    """Past days most similar to the conditions of as_of, strong ones first, three at most.
 
-    Memories are embedded together, so that word weights are those of the whole history.
+    The conditions are the trends, themes, sentiment and signal of the day's memory, as a query text
+    of their own; only earlier days are searched. Word weights are those of the whole history.
     """
     memories = tables.read_memories(spark, f"{folder}/memories")
-    embedded = written(memory.embed(memories, "embedding_text"), "embedded")
-    today = memory.get_by_date(embedded, as_of).select(
-        F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding")
-    )
-    return memory.parallels_within_budget(memory.search(embedded, today, k, min_similarity))
+    model = memory.embedder(memories.select("embedding_text"), "embedding_text")
+    day = tables.read_memories(spark, f"{folder}/memories", f"memory_{as_of:%Y%m%d}")
+    conditions = digest_text.query_text(F.col("trends"), F.col("themes"), F.col("sentiment"), F.col("signal_strength"))
+    asked = memory.embedded(day.select("id", conditions.alias("embedding_text")), model)
+    asked = asked.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    past = memories.where(F.to_date("date") < F.lit(as_of))
+    hits = memory.search(memory.embedded(past, model), asked, k, min_similarity)
+    return memory.parallels_within_budget(hits, moderate=min_similarity)
 
 
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
