@@ -56,10 +56,10 @@ def test_two_days(spark, tmp_path, capsys):
     assert [(r.broad_posts, r.sources_active, r.sources_total) for r in metrics.collect()] == [(11, 1, 2)] * 2
     assert {r.severity for r in daily.health.run_health(metrics).collect()} <= {"ok", "warning"}
     assert [r.news_count for r in spark.read.parquet(f"{store}/summaries").collect()] == [5, 5]
-    similar = daily.parallels(spark, store, dt.date(2024, 1, 4), min_similarity=0.0).collect()
+    similar = daily.parallels(spark, store, dt.date(2024, 1, 4), min_similarity=-0.5).collect()
     assert [(r.query_id, r.id) for r in similar] == [("memory_20240104", "memory_20240103")]
-    assert daily.parallels(spark, store, dt.date(2024, 1, 3), min_similarity=0.0).count() == 0
-    cli.main(["parallels", "--store", store, "--as-of", "2024-01-04", "--min-similarity", "0"])
+    assert daily.parallels(spark, store, dt.date(2024, 1, 3), min_similarity=-0.5).count() == 0
+    cli.main(["parallels", "--store", store, "--as-of", "2024-01-04", "--min-similarity", "-0.5"])
     assert "memory_20240103" in capsys.readouterr().out
 
 
