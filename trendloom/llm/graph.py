@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import discard, written
+from trendloom.llm.common import FEW_ROWS, discard, written
 
 
-def _least(pairs: DataFrame) -> DataFrame:
+def _least(pairs: DataFrame, small: bool) -> DataFrame:
     """u, v, m: every pair and the least of u and its neighbours."""
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return pairs.join(least, "u")
+    return pairs.join(F.broadcast(least) if small else least, "u")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", purpose: str = "components") -> DataFrame:
@@ -23,17 +23,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b", purpose: str = "com
     """
     links = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v")
     links = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), purpose)
-    before = None
+    before = (links.count(), None)
     while True:
+        small = before[0] <= FEW_ROWS  # a star step has no more groups than links have ends
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lower = _least(large)
-        small = lower.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+        large = _least(both, small).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lower = _least(large, small)
+        stars = lower.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             lower.select("u", F.col("m").alias("v"))
         )
-        last, links = links, written(small.where("u != v").distinct(), purpose)
+        last, links = links, written(stars.where("u != v").distinct(), purpose)
         discard(last)
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == before:
             break
         before = now

@@ -3,13 +3,15 @@
 Every distinct shingle set has a signature of k minima. It is posted under each pair of coordinate
 and value. Sets that are similar enough agree in at least t of k coordinates but for a chance of
 less than one in a million, so postings that no other set shares are skipped; a set with more than
-k - t of them has no partner; and of the rest only the rarest k - t + 1 postings (the prefix) need
-to be merged, because two sets that agree in t coordinates meet in one of these. Collisions of the
-candidates are counted on their signatures, and what passes is confirmed on the full sets.
-
-Links serve to join documents to classes. Candidates are therefore first the pairs of a posting's
-members with one of them, in turn the least, the greatest and another; then all pairs of members
-that are not yet of one class. Pairs inside a class are never listed.
+k - t of them has no partner; and of the rest only the rarest k - t + m postings (the prefix) need
+to be merged, because two sets that agree in t coordinates meet in m of these. Pairs that meet so
+often have their collisions counted on the signatures, and what passes is confirmed on the full sets.
+
+Links serve to join documents to classes, so not every pair has to be listed. First, every set
+points to the center it meets most often: a posting's center is the member that shares its
+coordinates with the most others, as the original of many copies does. Sets whose pointers lead to
+the same center form a home; the sets of a home are compared block by block, and only links that
+join classes leave a block. Last come the pairs whose homes and classes differ.
 """
 
 from __future__ import annotations
@@ -22,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import SPACE, discard, few, map_arrow, mixed, slices, utf8, words, written
+from trendloom.llm.common import SPACE, discard, few, map_arrow, mixed, ship, slices, utf8, words, written
 from trendloom.llm.graph import components
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Words of a shingle, least similarity in hundredths, and the signature.
+    """Words of a shingle, least similarity in hundredths, the signature, sets in a block, meetings in a prefix.
 
     coordinates and matches: at similarity 0.8 the number of equal ones of 64 is binomial with
     mean 51.2 and deviation 3.2; fewer than 35 happen once in three million pairs at the very
@@ -40,6 +42,8 @@ class Rule:
     coordinates: int = 64
     matches: int = 35
     seed: int = 5
+    block: int = 1024
+    meetings: int = 5
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,13 +156,14 @@ def _posted(sets: DataFrame) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, rule: Rule) -> DataFrame:
-    """key and rep of the postings that have to be merged."""
+    """key, rep and weight of the postings that have to be merged; weight: how much a set shares with others."""
     posted = _posted(sets)
     shared = posted.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")
-    mine = posted.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("sets", "key"))).alias("own"))
-    prefix = F.slice("own", F.lit(1), F.size("own") - (rule.matches - 1))  # `own` holds at most all coordinates
-    mine = mine.where(F.size("own") >= rule.matches)
-    return mine.select("rep", F.explode(prefix).alias("p")).select(F.col("p.key").alias("key"), "rep")
+    own = F.sort_array(F.collect_list(F.struct("sets", "key")))  # at most `coordinates` of them
+    mine = posted.join(shared, "key").groupBy("rep").agg(own.alias("own"), F.sum("sets").alias("weight"))
+    prefix = F.slice("own", F.lit(1), F.size("own") - (rule.matches - rule.meetings))
+    mine = mine.where(F.size("own") >= rule.matches).select("rep", "weight", F.explode(prefix).alias("p"))
+    return mine.select(F.col("p.key").alias("key"), "rep", "weight")
 
 
 def _counted(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -190,9 +195,8 @@ def _members(sets: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
 
     first = few(sets.select(F.col("first").alias("doc_id")).distinct())
     made = map_arrow(docs.join(first, "doc_id", "left_semi").select("doc_id", "text"), run, "set_a long, set_b long, members binary")
-    made = made.withColumn("rep", _rep())
-    wanted = sets.select("rep")
-    return made.join(wanted, "rep", "left_semi").groupBy("rep").agg(F.first("members").alias("members"))
+    made = made.select(_rep().alias("rep"), "members")
+    return made.join(few(sets.select("rep")), "rep", "left_semi")  # repeated rows of a document may come twice
 
 
 def _rep():
@@ -216,38 +220,124 @@ def _similar(pairs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
     return map_arrow(both.select("a", "b", "ma", "mb"), run, "a long, b long")
 
 
+def _intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of two lists of sets, as products of 0/1 matrices."""
+    flat = [np.concatenate(side) if side else np.zeros(0, np.uint64) for side in (x, y)]
+    both = np.intersect1d(*flat)  # a shingle of one side only adds nothing
+    rows = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (x, y)]
+    place = [np.searchsorted(both, f) for f in flat]
+    known = [(p < len(both)) & (both[np.minimum(p, len(both) - 1)] == f) if len(both) else np.zeros(len(f), bool) for p, f in zip(place, flat)]
+    total = np.zeros((len(x), len(y)), np.float32)
+    for low in range(0, len(both), 4096):
+        part = []
+        for side, r, p, k in zip((x, y), rows, place, known):
+            inside = k & (p >= low) & (p < low + 4096)
+            matrix = np.zeros((len(side), min(4096, len(both) - low)), np.float32)
+            matrix[r[inside], p[inside] - low] = 1
+            part.append(matrix)
+        total += part[0] @ part[1].T
+    return total
+
+
+def _joined_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n rows the least row that the links (i, j) reach."""
+    out = np.arange(n)
+    while True:
+        before = out.copy()
+        low = np.minimum(out[i], out[j])
+        np.minimum.at(out, i, low)
+        np.minimum.at(out, j, low)
+        out = out[out]
+        if np.array_equal(out, before):
+            return out
+
+
+def _inside_homes(homes: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
+    """a, b: links that join the sets of each home; homes: rep, home.
+
+    A home is cut into blocks of bounded size; each pair of blocks compares all its sets.
+    """
+    sizes = homes.groupBy("home").agg(F.count("*").alias("sets")).where("sets > 1")
+    sizes = sizes.select("home", F.ceil(F.col("sets") / F.lit(rule.block)).cast("int").alias("blocks"))
+    own = homes.join(sizes, "home").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    own = own.join(members, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.struct("home", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        pair = key[0].as_py()
+        block = np.asarray(table.column("block"))
+        reps = np.asarray(table.column("rep"))
+        sets = [np.frombuffer(v.as_buffer(), "<u8") for v in table.column("members")]
+        left, right = (np.flatnonzero(block == pair[side]) for side in ("low", "high"))
+        common = _intersections([sets[k] for k in left], [sets[k] for k in right]).astype(np.int64)
+        n = np.array([len(x) for x in sets], np.int64)
+        i, j = np.nonzero(100 * common >= rule.percent * (n[left][:, None] + n[right][None, :] - common))
+        labels = _joined_labels(len(reps), left[i], right[j])
+        moved = np.flatnonzero(labels != np.arange(len(reps)))
+        return pa.Table.from_arrays([pa.array(reps[moved]), pa.array(reps[labels[moved]])], names=["a", "b"])
+
+    ship(homes.sparkSession)
+    return own.select(pair.alias("pair"), "block", "rep", "members").groupBy("pair").applyInArrow(compare, "a long, b long")
+
+
+def _met_often(pairs: DataFrame, rule: Rule) -> DataFrame:
+    """a, b, met: the pairs that meet in enough postings of their prefixes."""
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("met")).where(F.col("met") >= rule.meetings)
+
+
+def _roots(pointers: DataFrame, jumps: int = 3) -> DataFrame:
+    """rep and root: where the pointers b -> a lead, followed at most 2 ** jumps steps.
+
+    Pointers lead to sets of greater weight, so they form trees.
+    """
+    ends = pointers.select(F.col("a").alias("rep")).unionByName(pointers.select(F.col("b").alias("rep"))).distinct()
+    up = few(pointers.select(F.col("b").alias("rep"), "a"))
+    found = ends.join(up, "rep", "left").select("rep", F.coalesce("a", "rep").alias("root"))
+    for _ in range(jumps):
+        further = few(found.select(F.col("rep").alias("root"), F.col("root").alias("next")))
+        found = written(found.join(further, "root").select("rep", F.col("next").alias("root")), "minhash-roots")
+    return found
+
+
 def _links(sets: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """rep and component of the sets that are linked to others."""
     prefixes = written(_prefixes(sets, rule), "minhash-prefixes")
-    met = prefixes.select("rep").distinct()
-    members = written(_members(sets.join(met, "rep", "left_semi"), docs, rule), "minhash-members")
-    links, joined, made = None, None, [prefixes, members]
-    for turn in ("least", "greatest", "all"):
-        own = prefixes.withColumn("class", F.col("rep"))
-        if joined is not None:
-            own = prefixes.join(joined, "rep", "left").withColumn("class", F.coalesce("component", "rep")).drop("component")
-        lists = own.groupBy("key").agg(
-            F.min("class").alias("low"), F.max("class").alias("high"), F.min(F.struct("rep", "class")).alias("first"), F.max(F.struct("rep", "class")).alias("last")
-        ).where("low != high")
-        if turn == "all":
-            mixed_lists = own.join(lists.select("key"), "key", "left_semi")
-            others = mixed_lists.toDF("key", "a", "class_a")
-            pairs = mixed_lists.toDF("key", "b", "class_b").join(others, "key").where("class_a != class_b and a < b")
-        else:
-            center = lists.select("key", F.col("first" if turn == "least" else "last").alias("c"))
-            pairs = own.join(center, "key").where("class != c.class").select(F.col("c.rep").alias("a"), F.col("rep").alias("b"))
-        pairs = _counted(pairs.select("a", "b").distinct(), sets, rule)
-        if turn != "all":  # the center that a set is most like
-            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a"))
-        found = written(_similar(pairs.select("a", "b"), members, rule), "minhash-links")
+    made = [prefixes]
+
+    def kept(rows: DataFrame, purpose: str = "links") -> DataFrame:
+        found = written(rows, f"minhash-{purpose}")
         made.append(found)
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        joined = components(links, purpose="minhash-components").withColumnRenamed("id", "rep")
-    if joined is None:
-        joined = sets.select("rep", F.col("rep").alias("component")).limit(0)
-    joined = written(joined, "minhash-joined")
+        return found
+
+    def members_of(ends: DataFrame) -> DataFrame:
+        reps = ends.select(F.col("a").alias("rep")).unionByName(ends.select(F.col("b").alias("rep"))).distinct()
+        return kept(_members(sets.join(few(reps), "rep", "left_semi"), docs, rule), "members")
+
+    def joined_by(edges: DataFrame) -> DataFrame:
+        return written(components(edges, purpose="minhash-classes"), "minhash-joined").withColumnRenamed("id", "rep")
+
+    # Every set points to the center it meets most often; centers share more than those that point to them.
+    center = prefixes.groupBy("key").agg(F.max_by("rep", F.struct("weight", "rep")).alias("a"))
+    pairs = prefixes.join(center, "key").where("rep != a").select("a", F.col("rep").alias("b"))
+    best = _met_often(pairs, rule).groupBy("b").agg(F.max_by("a", F.struct("met", "a")).alias("a"))
+    best = kept(_counted(best.select("a", "b"), sets, rule).select("a", "b"))
+    homes = _roots(best).withColumnRenamed("root", "home")
+    links = kept(_inside_homes(homes, members_of(best), rule))
+    joined = joined_by(links)
+
+    # Pairs of different homes and classes that meet often.
+    own = prefixes.select("key", "rep").join(homes, "rep", "left").join(joined, "rep", "left")
+    own = own.select("key", "rep", F.coalesce("home", "rep").alias("home"), F.coalesce("component", "rep").alias("class"))
+    lists = own.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("home").alias("near"), F.max("home").alias("far"))
+    own = own.join(lists.where("low != high and near != far").select("key"), "key", "left_semi")
+    pairs = own.toDF("key", "b", "home_b", "class_b").join(own.toDF("key", "a", "home_a", "class_a"), "key")
+    pairs = pairs.where("a < b and home_a != home_b and class_a != class_b").select("a", "b")
+    pairs = kept(_counted(_met_often(pairs, rule).select("a", "b"), sets, rule).select("a", "b"))
+    if not pairs.isEmpty():
+        more = kept(_similar(pairs, members_of(pairs), rule))
+        if not more.isEmpty():
+            made.append(joined)
+            joined = joined_by(links.unionByName(more))
     discard(*made)
     return joined
 
