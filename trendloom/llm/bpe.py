@@ -27,7 +27,7 @@ from trendloom.llm.common import ids_of, map_arrow
 #: Characters of a text that are taken at a time.
 CHUNK = 1 << 16
 #: Words kept with their ids by a worker.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 300_000
 #: Symbols from which a piece is encoded as a stream.
 LONG_PIECE = 512
 _SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

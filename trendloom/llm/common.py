@@ -18,7 +18,7 @@ from trendloom import session
 U64 = np.uint64
 BLOCK = 1 << 20
 #: Bytes of text that one numpy step works on; longer texts are taken alone.
-SLICE = 4 << 20
+SLICE = 2 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
