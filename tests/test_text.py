@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pytest
@@ -32,6 +33,14 @@ def test_noise(spark, term, noise):
     assert values(spark, [term], text.is_noise(F.col("v"))) == [noise]
 
 
+def test_the_whole_vocabulary_is_noise(spark):
+    terms = sorted(set(constants.NOISE_TERMS))
+    assert len(terms) == len(constants.NOISE_TERMS) == 558
+    pinned = "8b071ff6e3625bc626aa55fbd550cbebcbc4cd6533b1559d4459c987aad83fb3"
+    assert hashlib.sha256("\n".join(terms).encode()).hexdigest() == pinned
+    assert values(spark, terms, text.is_noise(F.col("v"))) == [True] * 558
+
+
 def test_noise_by_whole_word(spark):
     rules = text.TermRules(match="word")
     terms = ["real estate", "network", "the state", "price hike"]

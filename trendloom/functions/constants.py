@@ -27,36 +27,69 @@ CONTEXT_TERMS = (
     "datacenter", "cloud", "infrastructure",
 )
 
-# Default noise vocabulary. It is a parameter: a deployment passes its own list,
-# of any length, as TermRules(noise_terms=...) or load_terms(spark, path).
-# Terms longer than three characters also match inside longer words, so one stem
-# covers its inflections ("stock" covers "stocks" and "stock market").
+# The noise vocabulary. A deployment may still pass a list of its own, of any length,
+# as TermRules(noise_terms=...) or load_terms(spark, path).
+# Terms longer than three characters also match inside longer words.
 NOISE_TERMS = (
-    "federal reserve", "fed", "fomc", "powell", "congress", "senate", "house", "government",
-    "trump", "biden", "president", "republican", "democrat", "treasury", "sec",
-    "us", "usa", "u.s.", "america", "china", "chinese", "russia", "uk", "eu", "europe",
-    "wall street", "main street", "market", "stock", "share", "equity", "trade", "trading",
-    "investor", "investing", "portfolio",
-    "today", "yesterday", "tomorrow", "week", "month", "year", "daily", "quarter",
-    "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday",
-    "morning", "afternoon", "evening", "night", "day", "days",
-    "thing", "stuff", "world", "life", "way", "time", "moment", "hour", "minute",
-    "people", "person", "man", "men", "woman", "women", "guy", "kid",
-    "group", "team", "place", "area", "reason", "example", "lot", "step",
-    "experience", "story", "situation", "problem", "issue", "question", "answer",
-    "idea", "thought", "opinion", "view", "work", "job", "business", "service",
-    "system", "process", "plan", "project", "result", "effect", "impact", "outcome",
-    "level", "rate", "number", "amount", "worth", "value", "cost", "money", "cash",
-    "good", "bad", "best", "worst", "better", "worse", "start", "top", "end",
-    "home", "school", "city", "country", "state", "game", "play", "video", "media",
-    "content", "post", "chat", "message", "call", "email", "word", "name", "title",
-    "gonna", "gotta", "wanna", "lol", "omg", "imo", "tbh",
-    "christmas", "holiday", "birthday", "weekend", "vacation",
-    "rt", "via", "breaking", "news", "update", "thread", "http", "www", "com", "link",
-    "click", "follow", "retweet", "like", "comment", "subscribe", "tweet", "twitter",
-    "inc", "corp", "llc", "ltd", "co", "company", "ceo", "cfo", "executive", "management",
-    "bitcoin", "btc", "ethereum", "eth", "crypto", "blockchain",
-    "percent", "%", "million", "billion", "trillion", "dollar", "usd", "price",
+    "federal reserve", "fed", "the fed", "fomc", "powell", "jerome powell", "congress", "senate",
+    "house", "white house", "government", "trump", "donald trump", "donald t", "don t", "don trump",
+    "donaldtrump", "biden", "joe biden", "harris", "kamala", "obama", "desantis", "musk", "elon",
+    "gop", "republican", "republicans", "democrat", "democrats", "democratic", "president",
+    "vice president", "treasury", "sec", "ftc", "doj", "cftc", "yellen", "janet yellen", "us",
+    "usa", "u.s.", "u.s", "america", "united states", "american", "china", "chinese", "russia",
+    "russian", "uk", "eu", "european union", "canada", "canadian", "mexico", "mexican", "japan",
+    "japanese", "germany", "german", "france", "french", "india", "indian", "wall street",
+    "main street", "stock market", "market", "markets", "stocks", "stock", "shares", "share",
+    "equity", "equities", "trade", "trading", "trader", "traders", "investor", "investors",
+    "investing", "investment", "portfolio", "position", "positions", "today", "yesterday",
+    "tomorrow", "week", "month", "year", "daily", "weekly", "monthly", "yearly", "annual",
+    "quarter", "quarterly", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday",
+    "sunday", "morning", "afternoon", "evening", "night", "the", "a", "an", "is", "are", "was",
+    "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would",
+    "could", "should", "may", "might", "must", "can", "this", "that", "these", "those", "it", "its",
+    "they", "their", "them", "we", "our", "you", "your", "i", "me", "my", "he", "she", "his", "her",
+    "who", "what", "when", "where", "why", "how", "which", "all", "each", "every", "both", "new",
+    "old", "big", "small", "high", "low", "up", "down", "out", "in", "more", "less", "most",
+    "least", "very", "just", "only", "even", "now", "then", "here", "there", "also", "too", "so",
+    "yet", "still", "first", "last", "next", "other", "another", "same", "different", "thing",
+    "things", "stuff", "something", "anything", "everything", "nothing", "world", "life", "way",
+    "ways", "day", "days", "nights", "time", "times", "moment", "moments", "hour", "hours",
+    "minute", "minutes", "people", "person", "man", "men", "woman", "women", "guy", "guys", "kid",
+    "kids", "group", "groups", "team", "teams", "part", "parts", "side", "sides", "place", "places",
+    "area", "areas", "point", "points", "end", "ends", "case", "cases", "fact", "facts", "reason",
+    "reasons", "example", "examples", "kind", "kinds", "type", "types", "sort", "sorts", "lot",
+    "lots", "step", "steps", "move", "moves", "action", "actions", "change", "changes",
+    "experience", "experiences", "story", "stories", "situation", "situations", "problem",
+    "problems", "issue", "issues", "question", "questions", "answer", "answers", "idea", "ideas",
+    "thought", "thoughts", "opinion", "opinions", "view", "views", "work", "works", "job", "jobs",
+    "business", "businesses", "service", "services", "system", "systems", "process", "processes",
+    "plan", "plans", "project", "projects", "result", "results", "effect", "effects", "impact",
+    "impacts", "outcome", "outcomes", "level", "levels", "rate", "rates", "number", "numbers",
+    "amount", "amounts", "worth", "value", "values", "cost", "costs", "money", "cash", "funds",
+    "right", "rights", "left", "wrong", "good", "bad", "best", "worst", "better", "worse", "start",
+    "beginning", "middle", "top", "bottom", "front", "back", "head", "hand", "hands", "eye", "eyes",
+    "face", "body", "mind", "heart", "home", "room", "office", "school", "city", "country", "state",
+    "game", "games", "play", "video", "media", "content", "post", "posts", "chat", "message",
+    "messages", "call", "calls", "email", "emails", "word", "words", "name", "names", "title",
+    "titles", "term", "terms", "don", "dont", "won", "wont", "won t", "cant", "can t", "didnt",
+    "didn t", "doesnt", "doesn t", "isnt", "isn t", "arent", "aren t", "wouldn", "wouldn t",
+    "couldn", "couldn t", "shouldn", "shouldn t", "hasn", "hasn t", "haven", "haven t", "hadn",
+    "hadn t", "gonna", "gotta", "wanna", "kinda", "sorta", "dunno", "idk", "imo", "imho", "lol",
+    "lmao", "omg", "wtf", "smh", "tbh", "ngl", "fr", "rn", "af", "donald", "mark", "john", "james",
+    "michael", "david", "robert", "william", "richard", "joseph", "thomas", "charles", "chris",
+    "daniel", "matt", "matthew", "anthony", "brian", "kevin", "steve", "steven", "paul", "andrew",
+    "josh", "mary", "jennifer", "lisa", "sarah", "karen", "nancy", "betty", "susan", "christmas",
+    "xmas", "holiday", "holidays", "thanksgiving", "easter", "new year", "new years", "halloween",
+    "valentine", "valentines", "birthday", "anniversary", "weekend", "vacation", "rt", "via",
+    "breaking", "just in", "news", "update", "thread", "http", "https", "www", "com", "link",
+    "click", "follow", "retweet", "like", "comment", "subscribe", "dm", "tweet", "twitter", "cnbc",
+    "bloomberg", "reuters", "wsj", "cnn", "fox", "msnbc", "yahoo", "marketwatch", "seeking alpha",
+    "zerohedge", "financial times", "wall street journal", "barrons", "investors business daily",
+    "inc", "corp", "llc", "ltd", "co", "company", "companies", "corporation", "ceo", "cfo", "coo",
+    "executive", "management", "board", "director", "chatgpt", "gpt", "machine learning", "bitcoin",
+    "btc", "ethereum", "eth", "crypto", "cryptocurrency", "blockchain", "percent", "percentage",
+    "%", "million", "billion", "trillion", "thousand", "hundred", "dollar", "dollars", "usd",
+    "price", "prices",
 )
 
 # English function words: never a term on their own and never the edge of a phrase.
