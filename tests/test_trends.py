@@ -5,8 +5,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF_SMALL
+from trendloom.operators import market
 from trendloom.operators import mentions as m
 from trendloom.operators import news, ranking
+from trendloom.plans import catalog
 from trendloom.session import written
 
 SCHEMA = """id LONG, text STRING, username STRING, created_at TIMESTAMP_NTZ, likes INT, retweets INT, replies INT,
@@ -174,3 +177,17 @@ def test_no_posts(spark):
     top = written(ranking.candidates(none), "top")
     assert ranking.with_samples(top, none).count() == 0
     assert ranking.trend_posts(none.withColumn("topic", F.lit("t")), top).count() == 0
+
+
+def test_queries_of_all_terms_have_singletons(spark):
+    found = {name: catalog.QUERIES[name](spark, SF_SMALL) for name in catalog.QUERIES if name.startswith("all_")}
+    assert len(found) == 5
+    assert found["all_ngram_trends"].where("mention_count = 1").count() > 0
+    assert len({df.count() for df in found.values()}) <= 3 and min(df.count() for df in found.values()) > 50_000
+
+
+def test_named_symbols_leave_no_place_for_upper_case_names(spark):
+    trends = spark.createDataFrame([("$NVDA",), ("ABC1",)], "term string")
+    assert [r[0] for r in market.requested_symbols(trends).collect()] == ["NVDA"]
+    named = {r[0] for r in catalog.QUERIES["requested_symbols_named"](spark, SF_SMALL).collect()}
+    assert "GC=F" in named and not named & {r[0] for r in catalog.QUERIES["requested_symbols"](spark, SF_SMALL).collect()}

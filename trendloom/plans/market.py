@@ -186,6 +186,28 @@ def _(spark, sf):
     return market.requested_symbols(terms.distinct())
 
 
+# Trends of the digests name symbols, so the upper-case names beside them do not stand in.
+@query(
+    "requested_symbols_named",
+    o.with_ctes(
+        ["digests"],
+        """SELECT DISTINCT symbol FROM symbols
+           UNION ALL SELECT DISTINCT term FROM named_terms
+           WHERE length(term) <= 5 AND term = upper(term) AND term <> lower(term) AND NOT EXISTS (SELECT 1 FROM symbols)""",
+        **_symbol_ctes(
+            """SELECT DISTINCT unnest(trends) AS term FROM digests
+               UNION SELECT upper(substring(p_type, 1, 3)) || CAST(p_size % 7 AS VARCHAR) FROM part"""
+        ),
+    ),
+)
+def _(spark, sf):
+    names = td.table(spark, sf, "part").select(
+        F.concat(F.upper(F.substring("p_type", 1, 3)), (F.col("p_size") % 7).cast("string")).alias("term")
+    )
+    trends = td.derived(spark, sf, "digests").select(F.explode("trends").alias("term"))
+    return market.requested_symbols(trends.unionByName(names).distinct())
+
+
 @query(
     "symbols_with_common",
     o.with_ctes(

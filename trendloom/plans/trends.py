@@ -391,3 +391,68 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("spellings"),
         F.array_join(F.sort_array(F.collect_list("term")), "|").alias("terms"),
     )
+
+
+# The queries of the same names without "all_" keep to terms with three mentions of two authors.
+_ALL_SCORED = o.scored_sql("stats")
+
+
+def _all_scored(spark, sf):
+    """Every term of every family with its scores."""
+    return mentions.with_scores(mentions.term_stats(mentions.mentions(_posts(spark, sf))))
+
+
+@query(
+    "all_ngram_trends",
+    o.with_ctes(["ngram_mentions"], f"SELECT {_STATS} FROM ({o.stats_sql('ngram_mentions')}) s"),
+)
+def _(spark, sf):
+    return mentions.term_stats(mentions.mentions(_posts(spark, sf), (mentions.NGRAM,))).select(*STATS)
+
+
+@query(
+    "all_trend_scores",
+    o.with_ctes(["stats"], f"SELECT {_SCORES} FROM all_scored", all_scored=_ALL_SCORED),
+)
+def _(spark, sf):
+    return _all_scored(spark, sf).select(*_SCORES.split(", "))
+
+
+@query(
+    "all_trend_quality",
+    o.with_ctes(
+        ["stats"], f"SELECT term_type, key, {o.QUALITY} AS qualified FROM all_scored", all_scored=_ALL_SCORED
+    ),
+)
+def _(spark, sf):
+    return mentions.with_quality(_all_scored(spark, sf)).select("term_type", "key", "qualified")
+
+
+@query(
+    "all_unique_trends",
+    o.with_ctes(
+        ["stats"],
+        f"""SELECT term_type, key, {o.norm('term')} AS norm_key FROM (
+              SELECT *, row_number() OVER (PARTITION BY {o.norm('term')} ORDER BY {o.BEST}) AS rn FROM all_scored) u
+            WHERE rn = 1""",
+        all_scored=_ALL_SCORED,
+    ),
+)
+def _(spark, sf):
+    kept = ranking.unique_trends(_all_scored(spark, sf))
+    return kept.select("term_type", "key", text.normalized_key(F.col("term")).alias("norm_key"))
+
+
+@query(
+    "all_normalized_terms",
+    o.with_ctes(
+        ["stats"],
+        f"SELECT {o.norm('term')} AS norm_key, count(*) AS spellings, string_agg(term, '|' ORDER BY term) AS terms FROM all_scored GROUP BY 1",
+        all_scored=_ALL_SCORED,
+    ),
+)
+def _(spark, sf):
+    return _all_scored(spark, sf).groupBy(text.normalized_key(F.col("term")).alias("norm_key")).agg(
+        F.count(F.lit(1)).alias("spellings"),
+        F.array_join(F.sort_array(F.collect_list("term")), "|").alias("terms"),
+    )
