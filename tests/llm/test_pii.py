@@ -109,3 +109,32 @@ def test_redact(spark, model):
 
 def test_fit_without_documents(spark):
     assert "secret" in pii.fit(empty(spark)).thresholds
+
+
+@pytest.mark.parametrize("text", ["Tel. 030 1234567", "please call 555 123 4567 now", "mobile 555-123-4567"])
+def test_numbers_after_phone_words(model, text):
+    assert [s[0] for s in model.choose(text, [])] == ["number"]
+    assert [r[2] for r in pii._rows_of(text, 20)] == [1.0]
+
+
+def test_at_in_capitals():
+    assert [s[0] for s in pii.proposals("JO.DOE [AT] MAIL [DOT] ORG")] == ["spelled_email"]
+
+
+def test_long_tokens_leave_room_for_other_kinds():
+    text = " ".join(f"{i:02}abcdefghijklmnopq{i}" for i in range(40)) + " SSN 123-45-6789 and IBAN DE12 3456 7890 1234 5678"
+    fitted = [r[0] for r in pii._rows_of(text, 20) if r[3]]
+    assert len(fitted) == 20 and {"secret", "ssn", "iban"} <= set(fitted)
+
+
+def test_thresholds_from_all_documents(spark):
+    """The sample has one document; the others count too."""
+    rows = [(i, f'the token = "a{i:039x}" stood', "en", "a", 60) for i in range(300)]
+    seen = []
+    calibrated = pii._calibrated
+    pii._calibrated = lambda counts, precision: seen.append(counts) or calibrated(counts, precision)
+    try:
+        pii.fit(documents(spark, rows), pii.Limits(documents=1))
+    finally:
+        pii._calibrated = calibrated
+    assert sum(n for (kind, _, _), n in seen[0].items() if kind == "secret") >= 299

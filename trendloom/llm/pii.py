@@ -3,7 +3,8 @@
 Four kinds of fixed form (email, ip, card, phone) are always found. Generators propose further
 spans, which may overlap: secrets, account and identity numbers, spelled-out addresses. Boosted
 trees score each proposal by its format and its surroundings; a threshold for each kind, set on
-rows kept from the fit, chooses the spans; of overlapping ones the best score stays.
+the proposals of all documents that were kept from the fit, chooses the spans; of overlapping ones
+the best score stays. No labels are given: they come from keywords before a span and made lines.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import bisect
 import hashlib
 import random
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -42,11 +45,13 @@ _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _NUMBER = re.compile(r"(?<![0-9])[0-9](?:[ .()-]{0,2}[0-9]){6,}")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]{2,63}){1,4}", re.I)
+_AT = re.compile(r"[\[(]at[\])]", re.I)
 _KEYWORDS = (
     re.compile(r"token|key|secret|passw|pwd|auth|bearer|credential", re.I),
     re.compile(r"ssn|social security|passport|tax id|identity", re.I),
     re.compile(r"iban|account|konto|cuenta|compte|card|carte|karte|tarjeta", re.I),
-    re.compile(r"phone|tel|mobile|call|fax|mail", re.I),
+    re.compile(r"phone|\btel(?:efon\w*)?\b|mobile|\bcall\b|\bfax\b", re.I),
+    re.compile(r"mail", re.I),
 )
 #: Characters before and after a span that count as its surroundings.
 CONTEXT = 24
@@ -100,7 +105,7 @@ def base_spans(text: str) -> list[Span]:
 
 def proposals(text: str) -> list[Span]:
     """Spans that may be personal data, with high recall; they may overlap."""
-    out = [("spelled_email", m.start(), m.end()) for m in _SPELLED.finditer(text)] if "at" in text and ("[" in text or "(" in text) else []
+    out = [("spelled_email", m.start(), m.end()) for m in _SPELLED.finditer(text)] if _AT.search(text) else []
     if _ZONE.search(text):
         for m in _LONG_TOKEN.finditer(text):
             run = m.group()
@@ -145,7 +150,8 @@ class Limits:
     """Bounds of the fit; finding and choosing spans have none.
 
     documents: documents of the sample, those of the smallest hash of their id.
-    spans_per_document: proposals that each of these gives to the fit.
+    spans_per_document: proposals that each of these gives to the fit, of every kind in turn.
+    Thresholds are set on the proposals of all documents, without those that the trees were fitted to.
     """
 
     documents: int = 2000
@@ -223,40 +229,58 @@ def examples(n: int) -> list[tuple[str, str, int]]:
         lambda: (f"{rng.choice(('passport', 'account', 'card number', 'identity'))} {digits(rng.randint(8, 12))}", "number", 1),
         lambda: (f"{word()} {word()} {digits(rng.randint(7, 20))} {word()}", "number", 0),
         lambda: (f"{word()} {digits(4)}.{digits(2)}.{digits(2)} {digits(2)} {word()}", "number", 0),
+        lambda: (f"{rng.choice(('Tel.', 'tel', 'Telefon', 'phone:', 'call', 'mobile', 'Fax'))} {rng.choice(('0{} {}', '{} 555 {}', '{}-555-{}', '({}) {}')).format(digits(3), digits(rng.randint(4, 7)))}", "number", 1),
     )
     return [makers[i % len(makers)]() for i in range(n)]
 
 
-def _rows_of(text: str, most: int) -> list[tuple[str, list[float], float]]:
-    """Proposals of a text of the corpus, labelled by what rules can tell.
+def _rows_of(text: str, most: int) -> list[tuple[str, list[float], float, bool]]:
+    """Proposals of a text of the corpus, labelled by what rules can tell, and whether they may be fitted to.
 
-    Personal: a proposal with a keyword of its kind before it. Not: one without any keyword.
+    Personal: a proposal with a keyword of its kind before it. Not: one without any keyword. Of the
+    others, with a keyword of another kind, nothing is known. The fit has at most so many proposals
+    of a text: those of each kind in the order of a hash, the kinds in turn.
     """
-    out = []
-    for span in proposals(text)[:most]:
+    rows, order = [], []
+    seen: dict[str, list[tuple[int, int]]] = {}
+    for span in proposals(text):
         x = features(text, span)
-        named = x[10:14]
-        own = {"secret": named[0], "ssn": named[1], "iban": named[2], "spelled_email": 1.0, "number": max(named[1], named[2])}[span[0]]
+        named = x[10:15]
+        own = {"secret": named[0], "ssn": named[1], "iban": named[2], "spelled_email": 1.0, "number": max(named[1:4])}[span[0]]
         if own or not any(named):
-            out.append((span[0], x, float(own)))
-    return out
+            seen.setdefault(span[0], []).append((zlib.crc32(f"{span[1]} {text[span[1] : span[2]]}".encode("utf-8", "replace")), len(rows)))
+            rows.append((span[0], x, float(own)))
+    for kind, found in seen.items():
+        order += [(turn, ADDED_KINDS.index(kind), k) for turn, (_, k) in enumerate(sorted(found))]
+    fitted = {k for _, _, k in sorted(order)[:most]}
+    return [(*row, k in fitted) for k, row in enumerate(rows)]
+
+
+def _kept(x: list[float]) -> bool:
+    """A quarter of the rows is kept from the fit."""
+    return zlib.crc32(np.array(x).tobytes()) % 4 == 0
+
+
+#: Steps of the histogram of scores; a power of two, so that a step and its least score are told apart exactly.
+STEPS = 4096
 
 
 def fit(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit trees and thresholds to made examples and to a bounded sample of the documents.
+    """Fit trees to made examples and to a bounded sample of the documents, thresholds to all documents.
 
     The sample's ids are few enough to be broadcast; its proposals are made where the texts lie.
+    Thresholds need counts only: of the labelled proposals by kind, step of their score and label.
     """
     spark: SparkSession = docs.sparkSession
     key = F.xxhash64(F.col("doc_id"), F.lit(4))
     ids = docs.select(F.col(f"`{id_col}`").alias("doc_id")).where("doc_id is not null")
-    ids = ids.orderBy(key, "doc_id").limit(limits.documents).distinct()
+    ids = written(ids.orderBy(key, "doc_id").limit(limits.documents).distinct(), "pii-ids")
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     per_doc = limits.spans_per_document
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [r for t in batch.column(0).to_pylist() for r in _rows_of(t or "", per_doc)]
+            out = [r[:3] for t in batch.column(0).to_pylist() for r in _rows_of(t or "", per_doc) if r[3] and not _kept(r[1])]
             if out:
                 kinds, x, y = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64())], names=["kind", "x", "y"])
@@ -265,32 +289,57 @@ def fit(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text
     sample = map_arrow(texts.join(F.broadcast(ids), "doc_id", "left_semi").select("text"), rows, schema)
     made = [(kind, features(text, s), float(y)) for text, kind, y in examples(limits.examples) for s in proposals(text) if s[0] == kind]
     # Bounded by limits.documents * limits.spans_per_document; written once, read by every tree.
-    everything = written(sample.unionByName(spark.createDataFrame(made, schema)), "pii-sample")
-    everything = everything.withColumn("vector", array_to_vector("x")).withColumn("kept", F.pmod(F.xxhash64("x"), F.lit(4)) == 0)
+    own = spark.createDataFrame([r for r in made if not _kept(r[1])], schema)
+    everything = written(sample.unionByName(own), "pii-sample").withColumn("vector", array_to_vector("x"))
     trained = GBTClassifier(
         featuresCol="vector", labelCol="y", maxIter=limits.trees, maxDepth=limits.depth, stepSize=0.3, seed=5
-    ).fit(everything.where("not kept"))
+    ).fit(everything)
     trees = tuple(_arrays(t._call_java("rootNode")) for t in trained.trees)
     model = Model(trees, tuple(trained.treeWeights), {})
-    test = everything.where("kept").select("kind", "x", "y").orderBy(F.xxhash64("x")).limit(20_000).collect()
-    return Model(trees, model.weights, _calibrated(model, test, limits.precision))
-
 
-def _calibrated(model: Model, rows: list, precision: float) -> dict[str, float]:
-    """For each kind the lowest score from which on the kept rows are right often enough."""
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sampled = batch.column(0).to_pylist()
+            counts: Counter[tuple[str, int, float]] = Counter()
+            row = 0
+            for text in _marked(batch.column(1)):
+                if text:
+                    counts.update(_steps(model, [r for r in _rows_of(text, per_doc) if not (sampled[row] and r[3] and not _kept(r[1]))]))
+                row += 1
+            if counts:
+                kinds, steps, y = zip(*counts)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(steps, pa.int32()), pa.array(y, pa.float64()), pa.array(counts.values(), pa.int64())], names=["kind", "step", "y", "n"])
+
+    flagged = texts.join(F.broadcast(ids.withColumn("s", F.lit(True))), "doc_id", "left").select(F.coalesce("s", F.lit(False)).alias("sampled"), "text")
+    found = map_arrow(flagged, counted, "kind string, step int, y double, n long").groupBy("kind", "step", "y").agg(F.sum("n").alias("n")).collect()
+    counts = Counter({(r["kind"], r["step"], r["y"]): r["n"] for r in found})  # at most kinds * steps * labels
+    counts.update(_steps(model, [r for r in made if _kept(r[1])]))
+    return Model(trees, model.weights, _calibrated(counts, limits.precision))
+
+
+def _steps(model: Model, rows: list[tuple]) -> Counter[tuple[str, int, float]]:
+    """How many of the rows (kind, x, y) there are by kind, step of the score and label."""
+    if not rows:
+        return Counter()
+    steps = np.minimum(model.scores(np.array([r[1] for r in rows])) * STEPS, STEPS - 1).astype(int)
+    return Counter((r[0], int(s), r[2]) for r, s in zip(rows, steps))
+
+
+def _calibrated(counts: Counter[tuple[str, int, float]], precision: float) -> dict[str, float]:
+    """For each kind the lowest step from which on the rows are right often enough."""
     out = {}
     for kind in ADDED_KINDS:
-        mine = [r for r in rows if r["kind"] == kind]
-        if not any(r["y"] for r in mine):
+        right, rows = np.zeros(STEPS, np.int64), np.zeros(STEPS, np.int64)
+        for (k, step, y), n in counts.items():
+            if k == kind:
+                rows[step] += n
+                right[step] += n * (y > 0)
+        if not right.any():
             continue
-        p = model.scores(np.array([r["x"] for r in mine]))
-        y = np.array([r["y"] for r in mine])
-        order = np.argsort(-p, kind="stable")
-        right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-        last = np.append(np.diff(p[order]) != 0, True)  # equal scores stand or fall together
-        good = np.flatnonzero((right >= precision) & last)
+        above, all_above = np.cumsum(right[::-1])[::-1], np.cumsum(rows[::-1])[::-1]
+        good = np.flatnonzero((rows > 0) & (above >= precision * all_above))
         if len(good):
-            out[kind] = max(float(p[order][good[-1]]), 0.5)
+            out[kind] = max(float(good[0]) / STEPS, 0.5)
     return out
 
 
@@ -316,16 +365,21 @@ def _arrays(root) -> tuple[np.ndarray, ...]:
 _MARKS = byte_set(b"0123456789@+[(")
 
 
-def _spans_of(batch_column: pa.Array, model: Model) -> Iterator[tuple[str, list[Span], list[Span]]]:
-    """(text, base spans, added spans) of each row; texts without any mark are not searched."""
-    data, at = utf8(batch_column)
+def _marked(column: pa.Array) -> Iterator[str]:
+    """The text of each row, empty if it has no mark that any span needs."""
+    data, at = utf8(column)
     for low, high in slices(at):
         marks = np.concatenate([[0], np.cumsum(_MARKS[data[at[low] : at[high]]], dtype=np.int64)])
         marked = np.diff(marks[at[low : high + 1] - at[low]]) > 0
         for k in range(low, high):
-            text = data[at[k] : at[k + 1]].tobytes().decode("utf-8", "surrogatepass") if marked[k - low] else ""
-            base = base_spans(text) if text else []
-            yield text, base, model.choose(text, base) if text else []
+            yield data[at[k] : at[k + 1]].tobytes().decode("utf-8", "surrogatepass") if marked[k - low] else ""
+
+
+def _spans_of(batch_column: pa.Array, model: Model) -> Iterator[tuple[str, list[Span], list[Span]]]:
+    """(text, base spans, added spans) of each row; texts without any mark are not searched."""
+    for text in _marked(batch_column):
+        base = base_spans(text) if text else []
+        yield text, base, model.choose(text, base) if text else []
 
 
 def _joined(spans: list[Span]) -> str:
