@@ -80,6 +80,28 @@ def test_first_of_each(spark):
     assert sorted((r["doc_id"] for r in out.collect()), key=repr) == want
 
 
+def test_one_id_on_a_copied_and_on_a_unique_text(spark):
+    base = " ".join(f"k{i}" for i in range(40))
+    near = base.replace("k39", "other")
+    alone = " ".join(f"u{i}" for i in range(30))
+    given = [(1, base), (9, base), (9, alone), (5, "five words and a few"), (5, "five words and a few"), (5, "Five  words and a few")]
+    given += [(None, near), (None, "no id here at all"), (None, "no id here at all"), (None, "another without"), (4, ""), (4, ""), (None, None)]
+    given += [(7, alone.replace("u", "z")), (7, alone.replace("u", "z") + " end")]
+    docs = documents(spark, [(i, text, "en", "a", 0) for i, text in given])
+
+    def left(**how):
+        out = minhash.first_of_each(docs, **how)
+        assert out.schema == docs.schema
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+
+    assert left() == sorted([x for k, x in enumerate(given) if k != 1], key=repr)
+    once = left(repeats=False)
+    sevens = [x for x in once if x[0] == 7]
+    assert len(sevens) == 1 and sevens[0] in given
+    want = [(1, base), (9, alone), (5, "Five  words and a few"), (None, "no id here at all"), (None, "another without"), (4, ""), (4, ""), (None, None)]
+    assert once == sorted(want + sevens, key=repr)
+
+
 def test_chains_and_stars_of_links(spark):
     rng = random.Random(9)
     links = [(i, i + 1) for i in range(200, 260)] + [(5, i) for i in range(300, 420)] + [(7, 7)]

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trendloom.llm.common import SPACE, discard, few, map_arrow, mixed, ship, slices, utf8, words, written
 from trendloom.llm.graph import components
@@ -342,6 +343,26 @@ def _links(sets: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     return joined
 
 
+def _decided(texts: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, n, rep, least and best of every row.
+
+    rep: the number of its set, null without words; least: the smallest id of its component;
+    best: the one set of the component that stands for it, of a document with that id.
+    """
+    signed = written(_signed(texts, rule), "minhash-signatures").withColumn("rep", _rep())
+    usable = signed.where("n > 0 and doc_id is not null")
+    sets = usable.groupBy("rep").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    sets = written(sets, "minhash-sets")
+    joined = _links(sets, texts, rule)
+    linked = joined.join(sets.select("rep", "first"), "rep")
+    least = linked.groupBy("component").agg(F.min(F.struct("first", "rep")).alias("l"))
+    least = least.select("component", F.col("l.first").alias("least"), F.col("l.rep").alias("best"))
+    classes = sets.select("rep", "first").join(linked.join(least, "component").select("rep", "least", "best"), "rep", "left")
+    classes = classes.select("rep", F.coalesce("least", "first").alias("least"), F.coalesce("best", "rep").alias("best"))
+    own = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
+    return own.join(classes, "rep", "left")
+
+
 def near_documents(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
@@ -355,27 +376,71 @@ def near_documents(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
     are ignored. Equal sets are one node, however many documents have them.
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    signed = written(_signed(texts, rule), "minhash-signatures").withColumn("rep", _rep())
-    usable = signed.where("n > 0 and doc_id is not null")
-    sets = usable.groupBy("rep").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    sets = written(sets, "minhash-sets")
-    joined = _links(sets, texts, rule)
-    linked = joined.join(sets.select("rep", "first"), "rep")
-    least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    classes = sets.select("rep", "first").join(linked.join(least, "component").select("rep", "least"), "rep", "left")
-    classes = classes.select("rep", F.coalesce("least", "first").alias("least"))
-    own = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
-    out = own.join(classes, "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    return out.select(
+    return _decided(texts, rule).select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
     )
 
 
-def first_of_each(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that near_documents keeps, with all their columns."""
-    dropped = near_documents(docs, rule, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(few(written(dropped, "minhash-dropped")), id_col, "left_anti").select(*docs.columns)
+def first_of_each(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
+    """The rows of docs that near_documents keeps, with all their columns.
+
+    A row is told from others of its id by its set. Without repeats one row of each component is
+    left: of rows with the smallest id those of one set, of these the one with the least text; a
+    null id is larger than all others and is compared too. Texts without words all stay.
+    """
+    doc_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    if not repeats:
+        doc_id = F.coalesce(doc_id, _behind(docs.select(doc_id.alias("doc_id"))) + F.pmod(F.xxhash64(text), F.lit(1 << 31)))
+    decided = _decided(docs.select(doc_id.alias("doc_id"), text.alias("text")), rule)
+    first = F.col("least") == F.col("doc_id")
+    stays = F.coalesce(first if repeats else first & (F.col("best") == F.col("rep")), F.lit(True))
+    decided = decided.select("doc_id", "rep", stays.alias("stays"))
+    sets = decided.groupBy("doc_id", "rep", "stays").agg(F.count("*").alias("rows"))
+    left = F.when(F.col("stays"), F.col("rows") if repeats else F.when(F.col("rep").isNull(), F.col("rows")).otherwise(1)).otherwise(0)
+    ids = sets.groupBy("doc_id").agg(F.sum("rows").alias("rows"), F.sum(left).alias("left")).where("left < rows")
+    ids = written(ids.select("doc_id", "left"), "minhash-dropped")
+    name = max(docs.columns, key=len) + "_"  # no column of docs
+    met = lambda some: few(some.select(F.col("doc_id").alias(name)))
+    rest = docs.join(met(ids), doc_id == F.col(f"`{name}`"), "left_anti")
+    mixed = ids.where("left > 0")  # ids of which some rows stay and some go
+    if mixed.isEmpty():
+        return rest
+    good = decided.where("stays").join(few(mixed.select("doc_id")), "doc_id", "left_semi").select("doc_id", "rep").distinct()
+    good = few(written(good, "minhash-kept").select(F.col("doc_id").alias("id"), F.col("rep").alias("set")))
+    rows = docs.join(met(mixed), doc_id == F.col(f"`{name}`"), "left_semi")
+    rows = _with_sets(rows.select(doc_id.alias("doc_id"), text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), rule)
+    rows = rows.join(good, (F.col("doc_id") == F.col("id")) & F.col("rep").eqNullSafe(F.col("set")), "left_semi")
+    if not repeats:
+        one = F.min_by("row", F.struct("text", F.to_json("row"))).alias("row")
+        rows = rows.where("rep is null").select("row").unionByName(rows.where("rep is not null").groupBy("doc_id", "rep").agg(one).select("row"))
+    return rest.unionByName(map_arrow(rows.select("row.*"), _same, docs.schema))  # what is never null stays so
+
+
+def _same(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from batches
+
+
+def _behind(ids: DataFrame):
+    """An id behind all others, with room for 31 bits. Rows that get one id are still told apart by their sets."""
+    most = ids.agg(F.max("doc_id")).first()[0]
+    return F.lit(min(max(most or 0, 0) + 1, 2**63 - 2**31)).cast("long")
+
+
+def _with_sets(rows: DataFrame, rule: Rule) -> DataFrame:
+    """The rows, of a doc_id, a text and a struct, with the number of the text's set, null without words."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = utf8(batch.column(1))
+            for low, high in slices(at):
+                hashes, starts = shingle_sets(data, at[low : high + 1], rule.words)
+                some = batch.slice(low, high - low)
+                columns = [*some.columns, pa.array(np.diff(starts), pa.int64()), *_digests(hashes, starts)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "n", "set_a", "set_b"])
+
+    schema = StructType(list(rows.schema.fields)).add("n", "long").add("set_a", "long").add("set_b", "long")
+    return map_arrow(rows, run, schema).withColumn("rep", F.when(F.col("n") > 0, _rep()))
 
 
 ORACLE = r"""
