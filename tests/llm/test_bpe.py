@@ -54,6 +54,14 @@ def test_small_chunks_and_long_pieces(monkeypatch):
             agrees("".join(rng.choice(pool) for _ in range(rng.randint(500, 12_000))))
 
 
+def test_contractions_across_chunks(monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK", 64)
+    rng = random.Random(4)
+    for pool in ("'revl", "'rev", "'l!\u3000r"):
+        for _ in range(20):
+            agrees("".join(rng.choice(pool) for _ in range(rng.randint(500, 6000))))
+
+
 def test_held_text_is_bounded():
     encoder = bpe.Encoder(PATH)
     sizes = []

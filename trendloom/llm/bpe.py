@@ -311,6 +311,9 @@ class Encoder:
             rest = tail
             if not (_LETTERS.fullmatch(tail) or _OTHERS.fullmatch(tail)):
                 return head + b"".join(self.words.piece(m.group()) for m in found)
+            if tail in ("r", "v", "l") and len(found) > 1 and found[-2].group() == "'" and found[-2].end() == found[-1].start():
+                self.held = "'" + tail + self.held  # 're, 've or 'll, if the other letter follows
+                return head + b"".join(self.words.piece(m.group()) for m in found[:-2])
             head += b"".join(self.words.piece(m.group()) for m in found[:-1])
             if rest == "'":  # what follows decides whether a contraction begins here
                 self.held = rest + self.held
