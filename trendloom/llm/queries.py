@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import bpe, chat, licenses, minhash, packing, pii, repeats, topk, toxicity, vectors
+from trendloom.llm import bpe, chat, licenses, minhash, packing, pii, repair, repeats, topk, toxicity, vectors
 from trendloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,13 @@ def op8_deep_shallow_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated bytes of all documents."""
     documents = table(spark, sf_dir, "documents")
     return repeats.digests(documents, repeats.spans(documents))
+
+
+@query
+def op11_lattice_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of all conversations, after their rows are damaged."""
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(conversations), conversations)
+
+
+ORACLES["op11_lattice_repair"] = repair.ORACLE.strip()
