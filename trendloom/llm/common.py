@@ -92,6 +92,8 @@ SPACE = byte_set(bytes([0x20, *range(0x09, 0x0E)]))
 #: A-Z to a-z, all else as it is.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: All bytes as they are.
+PLAIN = np.arange(256, dtype=np.uint8)
 
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
@@ -138,9 +140,9 @@ def _cut(data: np.ndarray, at: np.ndarray, pos: int, sep: np.ndarray) -> int:
 
 
 def words(
-    data: np.ndarray, at: np.ndarray, sep: np.ndarray, heads: tuple[int, ...] = ()
+    data: np.ndarray, at: np.ndarray, sep: np.ndarray, heads: tuple[int, ...] = (), fold: np.ndarray = LOWER
 ) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Words (runs of bytes that are no separators) of consecutive texts, A-Z lower-cased.
+    """Words (runs of bytes that are no separators) of consecutive texts, with bytes folded (A-Z to a-z).
 
     Returns the index of the first word of each text (and the end), the start bytes of the
     words, and hashes: of the whole words, then of their first bytes for each length in heads.
@@ -164,7 +166,7 @@ def words(
         begin, end = np.flatnonzero(first), np.flatnonzero(final) + 1
         up, down = powers(n + 1)
         total = np.zeros(n + 1, U64)
-        np.cumsum((LOWER[block].astype(U64) + U64(1)) * up[:n], out=total[1:])
+        np.cumsum((fold[block].astype(U64) + U64(1)) * up[:n], out=total[1:])
         base, back = total[begin], down[begin]
         starts.append(begin + pos)
         hashes[0].append(mixed((total[end] - base) * back))
