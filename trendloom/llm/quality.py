@@ -25,6 +25,8 @@ from trendloom.llm.common import BLOCK, PLAIN, SPACE, U64, byte_set, map_arrow,
 _UNIT = 1 << 20
 _SYMBOLS = byte_set(b"#*$%&|<>")
 _BLANK = " \t\n\x0b\x0c\r"
+#: Parts over which the rows of one id are spread.
+_SALTS = 8
 
 
 @dataclass(frozen=True)
@@ -72,11 +74,15 @@ def _counted(at: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
 def counts(documents: DataFrame, labels: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
     """bucket, n_all, n_trusted over the whole texts of all documents.
 
-    Trusted are documents with a label row of quality 1. A task adds its texts up and passes on a row
-    per bucket.
+    Trusted are documents with a label row of quality 1. Texts meet the trusted ids in one shuffle, at
+    every size, without a sort; an id on many rows, null too, is spread by their texts. A task then
+    adds its texts up and passes on a row per bucket.
     """
     trusted = labels.where("quality = 1").select(F.col("doc_id").alias("_trusted")).distinct()
-    flagged = documents.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_trusted"), "left")
+    copies = trusted.select("_trusted", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_copy"))
+    salted = documents.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(_SALTS)).cast("int").alias("_salt"))
+    met = (F.col("doc_id") == F.col("_trusted")) & (F.col("_salt") == F.col("_copy"))
+    flagged = salted.join(copies.hint("shuffle_hash"), met, "left")
     size = 1 << rule.bits
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
