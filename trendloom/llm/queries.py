@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import bpe, chat, licenses, minhash, packing, pii, quality, repair, repeats, topk, toxicity, vectors
+from trendloom.llm import align, bpe, chat, licenses, minhash, packing, pii, quality, repair, repeats, topk, toxicity, vectors
 from trendloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,10 @@ def op12_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents; documents labelled as good are the trusted ones."""
     documents = table(spark, sf_dir, "documents")
     return quality.judged(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
+
+
+@query
+def op13_span_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers aligned in all documents."""
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align.alignments(table(spark, sf_dir, "documents"), *paths)
