@@ -18,6 +18,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -74,18 +75,13 @@ def sentence_pieces(model: sentencepiece.SentencePieceProcessor) -> Vocabulary:
     return Vocabulary([bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in pieces])
 
 
-def refined(coarse_begin: np.ndarray, coarse_end: np.ndarray, lengths: np.ndarray, firsts: np.ndarray, bases: np.ndarray) -> np.ndarray:
-    """Byte ends of the tokens of consecutive words: a token's coarse end if its span has the length of
-    its bytes, else the last such end (or the word's begin) and the bytes since then."""
+def refined(coarse_begin: np.ndarray, coarse_end: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Byte ends of the tokens of a text: a token's coarse end if its span has the length of its bytes,
+    else the last such end (or the text's begin) and the bytes since then."""
     total = np.cumsum(lengths)
-    index = np.arange(len(lengths))
     exact = coarse_end - coarse_begin == lengths
     shift = np.where(exact, coarse_end - total, 0)
-    begin = np.zeros(len(lengths), bool)
-    begin[firsts] = True
-    opening = begin & ~exact
-    shift[firsts] = np.where(exact[firsts], shift[firsts], bases - (total[firsts] - lengths[firsts]))
-    known = np.maximum.accumulate(np.where(exact | opening, index, 0))
+    known = np.maximum.accumulate(np.where(exact, np.arange(len(lengths)), 0))
     return total + shift[known]
 
 
@@ -130,37 +126,42 @@ class Aligner:
         return [found[w] for w in words]
 
     def _aligned(self, words: list[str]) -> list[tuple | None]:
-        texts = [" " + w for w in words]
-        encoded = self.a.encode_batch(texts, add_special_tokens=False)
-        spans = self.b.encode(words, return_type="offset_mapping", return_bytes=True, num_threads=1)
-        same = [
-            b"".join(map(self.vocab_a.texts.__getitem__, x.ids)) == raw == b"".join(map(self.vocab_b.texts.__getitem__, y["ids"]))
-            for x, y, raw in zip(encoded, spans, (t.encode() for t in texts))
-        ]
-        good = [k for k, equal in enumerate(same) if equal]
+        """Words without white space at their ends are encoded as one text; any other by itself."""
         records: list[tuple | None] = [None] * len(words)
-        if good:
-            made = self._grouped([texts[k] for k in good], [encoded[k] for k in good], [spans[k] for k in good])
-            for k, record in zip(good, made):
-                records[k] = record
+        plain = [k for k, w in enumerate(words) if not (w[0].isspace() or w[-1].isspace())]
+        alone = [[k] for k, w in enumerate(words) if w[0].isspace() or w[-1].isspace()]
+        waiting = [plain, *alone] if plain else alone
+        while waiting:
+            part = waiting.pop()
+            made = self._grouped([words[k] for k in part])
+            if made is not None:
+                for k, record in zip(part, made):
+                    records[k] = record
+            elif len(part) > 1:  # some word's bytes are changed: look for it in halves
+                waiting += [part[: len(part) // 2], part[len(part) // 2 :]]
         return records
 
-    def _grouped(self, texts: list[str], encoded: list, spans: list) -> list[tuple]:
-        n = len(texts)
-        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    def _grouped(self, words: list[str]) -> list[tuple] | None:
+        text = " " + " ".join(words)
+        raw = text.encode()
+        encoded = self.a.encode(text, add_special_tokens=False)
+        spans = self.b.encode(text[1:], return_type="offset_mapping", return_bytes=True)
+        ids = encoded.ids, spans["ids"]
+        if any(b"".join(map(v.texts.__getitem__, i)) != raw for v, i in zip((self.vocab_a, self.vocab_b), ids)):
+            return None
+        n = len(words)
+        a_ids, b_ids = (np.array(i, np.int64) for i in ids)
+        a_span, b_span = (
+            np.fromiter(chain.from_iterable(offsets), np.int64, 2 * len(i)).reshape(-1, 2)
+            for offsets, i in zip((encoded.offsets, spans["offsets"]), ids)
+        )
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         at = np.concatenate(([0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))))
-        chars = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-        base = at[chars]
-
-        a_count = np.array([len(x.ids) for x in encoded])
-        b_count = np.array([len(y["ids"]) for y in spans])
-        a_first, b_first = (np.concatenate(([0], np.cumsum(c)[:-1])) for c in (a_count, b_count))
-        a_ids = np.array([i for x in encoded for i in x.ids], np.int64)
-        b_ids = np.array([i for y in spans for i in y["ids"]], np.int64)
-        a_span = np.array([o for x in encoded for o in x.offsets], np.int64) + np.repeat(chars[:-1], a_count)[:, None]
-        b_span = np.array([o for y in spans for o in y["offsets"]], np.int64) + np.repeat(base[:-1] + 1, b_count)[:, None]
-        a_end = refined(at[a_span[:, 0]], at[a_span[:, 1]], self.vocab_a.lengths[a_ids], a_first, base[:-1])
-        b_end = refined(b_span[:, 0], b_span[:, 1], self.vocab_b.lengths[b_ids], b_first, base[:-1])
+        sizes = np.fromiter(map(len, words), np.int64, n) + 1
+        base = at[np.concatenate(([0], np.cumsum(sizes)))]
+        a_end = refined(at[a_span[:, 0]], at[a_span[:, 1]], self.vocab_a.lengths[a_ids])
+        b_end = refined(b_span[:, 0] + 1, b_span[:, 1] + 1, self.vocab_b.lengths[b_ids])
+        a_count, b_count = (np.diff(np.searchsorted(end, base, "right")) for end in (a_end, b_end))
 
         cuts = np.intersect1d(a_end, b_end, assume_unique=True)
         a_group, b_group = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
@@ -181,7 +182,7 @@ class Aligner:
         reach = np.where(small, in_b[a_group], 0)
         left = np.repeat(np.arange(len(a_ids)), reach)
         right = np.arange(len(left)) - np.repeat(np.cumsum(reach) - reach, reach) + np.repeat((b_stop - in_b)[a_group], reach)
-        words = word_of[a_group[left]]
+        words_of = word_of[a_group[left]]
         keys = (a_ids[left] << _BITS) | b_ids[right]
         times = np.ones(len(keys), np.int64)
         for g in np.flatnonzero(links > _LISTED_PAIRS):
@@ -189,12 +190,12 @@ class Aligner:
             right_ids, right_n = np.unique(b_ids[b_stop[g] - in_b[g] : b_stop[g]], return_counts=True)
             keys = np.concatenate((keys, ((left_ids[:, None] << _BITS) | right_ids).ravel()))
             times = np.concatenate((times, (left_n[:, None] * right_n).ravel()))
-            words = np.concatenate((words, np.full(len(left_ids) * len(right_ids), word_of[g])))
-        sort = np.lexsort((keys, words))
-        keys, words, times = keys[sort], words[sort], times[sort]
-        first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (words[1:] != words[:-1]))))
-        keys, times, words = keys[first], np.add.reduceat(times, first), words[first]
-        key_at = np.searchsorted(words, np.arange(n + 1)) * 8
+            words_of = np.concatenate((words_of, np.full(len(left_ids) * len(right_ids), word_of[g])))
+        sort = np.lexsort((keys, words_of))
+        keys, words_of, times = keys[sort], words_of[sort], times[sort]
+        first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (words_of[1:] != words_of[:-1]))))
+        keys, times, words_of = keys[first], np.add.reduceat(times, first), words_of[first]
+        key_at = np.searchsorted(words_of, np.arange(n + 1)) * 8
         key_bytes, time_bytes = keys.tobytes(), times.tobytes()
         numbers = zip(a_count.tolist(), b_count.tolist(), n_groups.tolist(), n_links.tolist())
         return [
