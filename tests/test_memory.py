@@ -4,8 +4,9 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from trendloom.operators import memory
+from trendloom.operators import memory, nearest
 
 SCHEMA = "id LONG, embedding ARRAY<FLOAT>"
 
@@ -36,12 +37,12 @@ def by_loop(rows, ids, k, floor):
     return expected
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_search_equals_loop(spark, block):
+@pytest.mark.parametrize("part_rows", [4096, 7])
+def test_search_equals_loop(spark, part_rows):
     rows = vectors(300)
     memories = frame(spark, rows)
     ids = list(range(0, 300, 13))
-    hits = memory.search(memories, as_queries(memories, ids), k=4, min_similarity=0.5, block=block)
+    hits = memory.search(memories, as_queries(memories, ids), k=4, min_similarity=0.5, part_rows=part_rows)
     got = {(r.query_id, r.id, r.match_rank) for r in hits.collect()}
     assert got == by_loop(rows, ids, 4, 0.5)
 
@@ -54,6 +55,53 @@ def test_copies_of_one_vector_stay_bounded_and_ordered(spark):
     assert all(r.distance == pytest.approx(0, abs=1e-9) for r in hits)
 
 
+def clustered(n, dim=8, groups=6, seed=4):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dim))
+    # A third of all rows lies around the first centre.
+    group = np.where(rng.random(n) < 0.33, 0, rng.integers(0, groups, n))
+    return (centres[group] + rng.normal(size=(n, dim)) * 0.05).astype("float32")
+
+
+@pytest.mark.parametrize("floor", [-1.0, 0.0, 0.999])
+def test_every_row_as_a_query(spark, floor):
+    rows = clustered(240)
+    rows[7] = rows[8] = 0
+    rows[100:110] = rows[100]
+    memories = frame(spark, rows)
+    hits = memory.search(memories, as_queries(memories, list(range(240))), k=3, min_similarity=floor, part_rows=16)
+    got = {(r.query_id, r.id, r.match_rank) for r in hits.collect()}
+    safe = rows.astype("float64")
+    norms = np.maximum(np.linalg.norm(safe, axis=1, keepdims=True), 1e-300)
+    scores = np.round(safe / norms @ (safe / norms).T, 12)
+    np.fill_diagonal(scores, -2)
+    want = set()
+    for q, row in enumerate(scores):
+        best = sorted((-s, i) for i, s in enumerate(row) if s >= floor and i != q)[:3]
+        want |= {(q, i, rank) for rank, (_, i) in enumerate(best, 1)}
+    assert got == want
+
+
+def test_far_parts_are_not_read(spark):
+    """Queries of tight groups are routed to few of all parts once they have a bar."""
+    rows = clustered(600)
+    memories = frame(spark, rows)
+    vectors = nearest._unit_rows(memories, "id", "embedding")
+    measure = nearest._measure(nearest.pivots(vectors))
+    members, parts = nearest._parted(nearest._placed(vectors, measure), 20)
+    assert members.groupBy("part").count().agg({"count": "max"}).first()[0] <= 60
+    asked = vectors.withColumn("bar", F.lit(0.99))
+    routes = nearest._routed(asked, measure, parts, False, 0.5).count()
+    assert routes < 600 * parts.salts.sum() / 3
+
+
+def test_vectors_without_direction_match_nothing(spark):
+    rows = [(1, [1.0, 0.0]), (2, [float("nan"), 1.0]), (3, [float("inf"), 0.0]), (4, [None, 1.0]), (5, []), (6, None), (7, [0.0, 0.0]), (8, [2.0, 0.0])]
+    memories = spark.createDataFrame(rows, "id LONG, embedding ARRAY<DOUBLE>").selectExpr("*", "'x' AS part", "'y' AS bar")
+    hits = memory.search(memories, as_queries(memories, list(range(9))), k=5, min_similarity=0.5).collect()
+    assert {(r.query_id, r.id, r.similarity) for r in hits} == {(1, 8, 1.0), (8, 1, 1.0)}
+
+
 def test_vectors_of_another_length_are_no_match(spark):
     memories = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0, 0.0]), ("c", [1.0]), ("d", [])], "id STRING, embedding ARRAY<DOUBLE>")
     asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id STRING, query_embedding ARRAY<DOUBLE>")

@@ -3,11 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline, PipelineModel
@@ -15,10 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions import digest_text, scoring
-from trendloom.session import written
-
-QUERY_BLOCK = 1024
-MAX_PASSES_PER_PLAN = 16
+from trendloom.operators import nearest
 
 
 def memory_id(column: str = "date") -> F.Column:
@@ -81,102 +74,15 @@ def embed(texts: DataFrame, text_column: str, features: int = 1024) -> DataFrame
     return embedded(texts, embedder(texts, text_column, features))
 
 
-def _block_hits(memories: DataFrame, queries: pd.DataFrame, k: int, floor: float) -> DataFrame:
-    """Cosine hits of one bounded block of query vectors against all memories.
-
-    Each task multiplies its Arrow batches with the block and passes on at most k hits per
-    query and batch, so memories are never shuffled and no pair below the threshold exists.
-    The functions are local, so that workers need no copy of this package.
-    """
-
-    def unit_rows(vectors: np.ndarray) -> np.ndarray:
-        return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-
-    names = queries["query_id"].to_numpy()
-    index = pd.Index(names)
-    matrix = unit_rows(np.stack(queries["query_embedding"].to_numpy()).astype("float64"))
-
-    def best_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = batch.column("id").to_pandas().to_numpy()
-        flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-        vectors = unit_rows(flat.astype("float64").reshape(len(ids), -1))
-        # Rounded, so that the order of equal vectors does not depend on the batch.
-        scores = np.round(matrix @ vectors.T, 12)
-        own = index.get_indexer(ids)
-        scores[own[own >= 0], np.flatnonzero(own >= 0)] = -2.0
-        width = min(k, scores.shape[1])
-        kth = np.partition(scores, -width, axis=1)[:, -width]
-        q, m = np.nonzero(scores >= np.maximum(kth, floor)[:, None])
-        order = np.lexsort((ids[m], -scores[q, m], q))
-        q, m = q[order], m[order]
-        place = np.arange(len(q)) - np.searchsorted(q, q)
-        q, m = q[place < k], m[place < k]
-        id_type = batch.schema.field("id").type
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(names[q], type=id_type),
-                pa.array(ids[m], type=id_type),
-                pa.array(scores[q, m], type=pa.float64()),
-            ],
-            names=["query_id", "id", "similarity"],
-        )
-
-    def search_batches(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield best_of(batch)
-
-    id_type = memories.schema["id"].dataType.simpleString()
-    schema = f"query_id {id_type}, id {id_type}, similarity double"
-    fits = F.size("embedding") == matrix.shape[1]  # vectors of another length, as of null, have no cosine
-    usable = memories.where(F.col("embedding").isNotNull() & fits).select("id", "embedding")
-    return usable.mapInArrow(search_batches, schema)
-
-
 def search(
-    memories: DataFrame,
-    queries: DataFrame,
-    k: int = 5,
-    min_similarity: float = 0.6,
-    block: int = QUERY_BLOCK,
+    memories: DataFrame, queries: DataFrame, k: int = 5, min_similarity: float = 0.6, part_rows: int = nearest.PART_ROWS
 ) -> DataFrame:
     """The k most similar other memories of each query, best first, above a threshold.
 
     ``queries`` has a unique ``query_id``, of the type of the memory ids, and ``query_embedding``.
-    Up to ``block`` queries travel to the tasks with one pass over the memories; more queries
-    take one further pass per block, so what is sent to a task stays bounded and the result
-    stays exact.
+    Both sides may be large: they meet by parts of at most about ``part_rows`` memories.
     """
-    id_type = memories.schema["id"].dataType
-    queries = queries.select(F.col("query_id").cast(id_type), "query_embedding")
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    if blocks == 1:
-        parts = [queries]
-    else:
-        queries = written(queries, "queries")
-        slot = F.pmod(F.xxhash64("query_id"), F.lit(blocks * 2))
-        parts = [queries.where(slot == i) for i in range(blocks * 2)]
-    hits: list[DataFrame] = []
-    for part in parts:
-        rows = part.toPandas()
-        if not rows.empty:
-            hits.append(_block_hits(memories, rows, k, min_similarity))
-        if len(hits) == MAX_PASSES_PER_PLAN:
-            hits = [written(reduce(DataFrame.unionByName, hits), "hits")]
-    found = reduce(DataFrame.unionByName, hits) if hits else _no_hits(memories)
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return (
-        found.withColumn("match_rank", F.row_number().over(best))
-        .where(F.col("match_rank") <= k)
-        .withColumn("distance", 1 - F.col("similarity"))
-    )
-
-
-def _no_hits(memories: DataFrame) -> DataFrame:
-    return memories.select(
-        F.col("id").alias("query_id"), "id", F.lit(0.0).alias("similarity")
-    ).limit(0)
+    return nearest.nearest(memories, queries, k, min_similarity, part_rows)
 
 
 def parallels_within_budget(

@@ -54,6 +54,24 @@ def _(spark, sf):
     )
 
 
+@query(
+    "memory_neighbours",
+    o.with_ctes(
+        ["memories"],
+        """SELECT query_id, id, CAST(match_rank AS INT) AS match_rank, round(similarity, 6) AS similarity FROM (
+             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS match_rank FROM (
+               SELECT q.id AS query_id, m.id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(m.embedding AS DOUBLE[])), 12) AS similarity
+               FROM memories q JOIN memories m ON q.id <> m.id) s) r WHERE match_rank <= 3""",
+    ),
+)
+def _(spark, sf):
+    """The three most similar memories of every memory: as many queries as memories."""
+    memories = td.derived(spark, sf, "memories")
+    queries = memories.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    hits = memory.search(memories, queries, k=3, min_similarity=-1.0)
+    return hits.select("query_id", "id", "match_rank", F.round("similarity", 6).alias("similarity"))
+
+
 @query(
     "parallels_within_budget",
     o.with_ctes(
