@@ -3,8 +3,10 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import pytest
 from trendloom.operators import mentions as m
 from trendloom.session import work_folder
+from trendloom.streaming import closed_windows as cw
 from trendloom.streaming import posts_stream as ps
 
 TAGS = (m.CASHTAG, m.HASHTAG)
@@ -56,8 +58,8 @@ def test_late_posts_are_dropped_after_the_delay(spark, tmp_path):
 
     def counts():
         stream = ps.read_raw_post_stream(spark, str(tmp_path))
-        rows, late = ps.run_counting_late(ps.daily_counts(stream, "12 hours", TAGS), "daily", state)
-        dropped.append(late)
+        rows = ps.daily_counts(stream, state, dt.timedelta(hours=12), TAGS)
+        dropped.append(cw.late_posts(spark, state, stream).count())
         return {(r.run_date.day, r.key): (r.mention_count, r.unique_authors) for r in rows.collect()}
 
     deliver(tmp_path, "a.json", (1, 1, 8, "$NVDA", "u"), (2, 1, 9, "$NVDA", "v"), (3, 2, 8, "$NVDA", "u"))
@@ -69,10 +71,47 @@ def test_late_posts_are_dropped_after_the_delay(spark, tmp_path):
     assert dropped == [0, 0, 1]
 
 
+@pytest.mark.parametrize("step", ["stored", "counted", "entered"])
+def test_a_batch_that_breaks_off_counts_once(spark, tmp_path, step):
+    """The run stops after each step of its batch and is started again."""
+    state, broken = work_folder(spark, "broken"), []
+
+    def stop(at, batch):
+        if at == step and not broken:
+            broken.append(batch)
+            raise RuntimeError("stopped here")
+
+    deliver(tmp_path, "a.json", (1, 1, 8, "$NVDA", "u"), (2, 1, 9, "$NVDA", "v"), (3, 5, 8, "$AMD", "u"))
+    stream = ps.read_raw_post_stream(spark, str(tmp_path))
+    with pytest.raises(Exception):
+        cw.run_closed(stream, state, cw.Windows(), TAGS, stop)
+    assert broken
+    for _ in range(2):
+        rows = cw.run_closed(stream, state, cw.Windows(), TAGS)
+        assert [(r.key, r.mention_count, r.unique_authors) for r in rows.collect()] == [("NVDA", 2, 2)]
+
+
+def test_closed_days_leave_the_store(spark, tmp_path):
+    state = work_folder(spark, "store")
+    for day in range(1, 9):
+        deliver(tmp_path, f"{day}.json", (day, day, 8, "$NVDA", f"u{day}"), (50 + day, day, 9, "$NVDA", "v"))
+        rows = cw.run_closed(ps.read_raw_post_stream(spark, str(tmp_path)), state, cw.Windows(), TAGS)
+    assert sorted((r.window_start.day, r.mention_count, r.unique_authors) for r in rows.collect()) == [(d, 2, 2) for d in range(1, 7)]
+    kept = spark.read.parquet(f"{state}/arrivals")
+    assert sorted({r.created_at.day for r in kept.collect()}) == [7, 8]
+    assert len(cw._ledger(spark, state)) <= 2
+
+
+def test_empty_stream(spark, tmp_path):
+    deliver(tmp_path, "a.json")
+    stream = ps.read_raw_post_stream(spark, str(tmp_path))
+    assert ps.daily_counts(stream, work_folder(spark, "none"), term_types=TAGS).count() == 0
+
+
 def test_sliding_windows(spark, tmp_path):
     deliver(tmp_path, "a.json", (1, 1, 8, "$NVDA", "u"), (2, 1, 9, "$NVDA", "v"), (3, 9, 8, "$AMD", "u"))
     stream = ps.read_raw_post_stream(spark, str(tmp_path))
-    rows = ps.run_available(ps.sliding_scores(stream, "1 hour", term_types=TAGS), "s").where("key = 'NVDA'").collect()
+    rows = ps.sliding_scores(stream, work_folder(spark, "s"), dt.timedelta(hours=1), term_types=TAGS).where("key = 'NVDA'").collect()
     assert len(rows) == 7
     full = [r for r in rows if r.mention_count == 2]
     assert len(full) == 5

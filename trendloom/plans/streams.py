@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trendloom.operators import market
+from trendloom.operators import mentions as m
 from trendloom.plans import oracle as o
 from trendloom.plans import testdata as td
 from trendloom.plans.registry import query
 from trendloom.session import work_folder
+from trendloom.streaming import closed_windows
 from trendloom.streaming import posts_stream as ps
 
 @query(
@@ -67,7 +69,7 @@ _WINDOW_COLUMNS = """window_start, window_start + INTERVAL 6 HOURS AS window_end
 )
 def _(spark, sf):
     """Closed days only: a day is emitted once the watermark has passed its end."""
-    return ps.run_available(ps.daily_counts(td.post_stream(spark, sf)), "daily")
+    return ps.daily_counts(td.post_stream(spark, sf), work_folder(spark, "daily"))
 
 
 @query(
@@ -79,7 +81,20 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return ps.run_available(ps.sliding_scores(td.post_stream(spark, sf)), "sliding")
+    return ps.sliding_scores(td.post_stream(spark, sf), work_folder(spark, "sliding"))
+
+
+def _late_run(spark, sf, term_types=m.ALL_TYPES):
+    """Two runs over the same folder: the second half of the month, then the first half."""
+    posts = td.derived(spark, sf, "posts").drop("topic")
+    folder = work_folder(spark, "arrivals")
+    second = F.col("created_at") >= "2024-01-15"
+    state = work_folder(spark, "late")
+    for part in (posts.where(second), posts.where(~second)):
+        part.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(posts.schema).parquet(folder)
+        rows = ps.daily_counts(stream, state, term_types=term_types)
+    return rows, state, posts
 
 
 @query(
@@ -95,17 +110,27 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """The first half of the month arrives after the second half is closed: too late to count."""
-    posts = td.derived(spark, sf, "posts").drop("topic")
-    folder = work_folder(spark, "arrivals")
-    second = F.col("created_at") >= "2024-01-15"
-    state = work_folder(spark, "late")
-    for part in (posts.where(second), posts.where(~second)):
-        part.write.mode("append").parquet(folder)
-        stream = spark.readStream.schema(posts.schema).parquet(folder)
-        rows = ps.run_available(ps.daily_counts(stream), "late", state)
+    rows, _, _ = _late_run(spark, sf)
     return rows.select("run_date", "term_type", "key", "mention_count", "unique_authors")
 
 
+@query(
+    "stream_late_days",
+    o.with_ctes(
+        ["posts"],
+        """SELECT CAST(created_at AS DATE) AS run_date, count(*) AS late_posts, count(DISTINCT username) AS late_authors
+           FROM posts WHERE created_at < DATE '2024-01-15' GROUP BY 1""",
+    ),
+)
+def _(spark, sf):
+    """The late posts of the run above are a table of their own, which outlives the run."""
+    _, state, posts = _late_run(spark, sf, (m.CASHTAG,))
+    late = closed_windows.late_posts(spark, state, posts)
+    return late.groupBy(F.to_date("created_at").alias("run_date")).agg(
+        F.count(F.lit(1)).alias("late_posts"), F.countDistinct("username").alias("late_authors")
+    )
+
+
 @query(
     "stream_hot_terms",
     o.with_ctes(
@@ -118,7 +143,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """The hottest terms of all families per sliding window."""
-    scored = ps.run_available(ps.sliding_scores(td.post_stream(spark, sf)), "hot")
+    scored = ps.sliding_scores(td.post_stream(spark, sf), work_folder(spark, "hot"))
     return ps.hottest_per_window(scored)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from trendloom.functions import scoring
 from trendloom.operators import mentions as m
 from trendloom.session import work_folder
 from trendloom.sources.posts import normalize_raw_posts
+from trendloom.streaming import closed_windows
+from trendloom.streaming.closed_windows import Windows
 
 
 def read_raw_post_stream(
@@ -20,25 +24,13 @@ def read_raw_post_stream(
     return normalize_raw_posts(files.format(fmt).load(path))
 
 
-#: Progress reports kept by a run, so that the late rows of every micro-batch are counted.
-MAX_BATCHES = 100_000
-
-
 def run_available(stream: DataFrame, purpose: str, checkpoint: str | None = None) -> DataFrame:
     """Process everything available into a table and return the table.
 
     With the same ``checkpoint`` a later call continues where this one stopped.
     """
-    return run_counting_late(stream, purpose, checkpoint)[0]
-
-
-def run_counting_late(
-    stream: DataFrame, purpose: str, checkpoint: str | None = None
-) -> tuple[DataFrame, int]:
-    """As ``run_available``, with the number of state rows dropped for being late."""
     spark = stream.sparkSession
     folder = checkpoint or work_folder(spark, purpose)
-    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", MAX_BATCHES)
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{folder}/rows")
@@ -48,11 +40,7 @@ def run_counting_late(
         .start()
     )
     query.awaitTermination()
-    reports = query.recentProgress
-    if len(reports) >= MAX_BATCHES:
-        raise RuntimeError("too many micro-batches to count late rows; raise MAX_BATCHES")
-    late = sum(operator.numRowsDroppedByWatermark for report in reports for operator in report.stateOperators)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows"), late
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 def _event_time(posts: DataFrame, delay: str) -> DataFrame:
@@ -105,55 +93,33 @@ def deduplicated(posts: DataFrame, delay: str = "1 day") -> DataFrame:
     return once.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
-def _by_window(rows: DataFrame, *window: str) -> DataFrame:
-    """Counters per window and term with exact author counts, as columns of ``term_stats`` and w.
-
-    Counted first per author, then over authors: two aggregations in a row, both closed by the
-    watermark, so state holds one narrow row per author and term of the open windows only.
-    """
-    is_cashtag = F.col("term_type") == m.CASHTAG
-    per_author = rows.groupBy(F.window("created_at", *window).alias("w"), "term_type", "key", "username").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("engagement_tenths").alias("tenths"),
-        F.count_if(is_cashtag | F.col("has_context")).alias("in_context"),
-        F.count_if(~is_cashtag & F.col("has_cashtag")).alias("in_company"),
-    )
-    return per_author.groupBy("w", "term_type", "key").agg(
-        F.sum("n").alias("mention_count"),
-        F.count("username").alias("unique_authors"),
-        (F.sum("tenths") / 10.0).alias("total_engagement"),
-        F.sum("in_context").alias("financial_context_count"),
-        F.sum("in_company").alias("cashtag_cooccurrence_count"),
-    )
-
-
 def daily_counts(
-    posts: DataFrame, delay: str = "1 day", term_types: tuple[str, ...] = m.ALL_TYPES
+    posts: DataFrame, folder: str, delay: dt.timedelta = dt.timedelta(days=1), term_types: tuple[str, ...] = m.ALL_TYPES
 ) -> DataFrame:
-    """Mentions and authors per term and day, emitted when the day is closed; later posts are dropped."""
-    rows = m.mentions(_event_time(posts, delay), term_types)
-    return _by_window(rows, "1 day").select(
-        F.to_date("w.start").alias("run_date"),
-        "term_type",
-        "key",
-        "mention_count",
-        "unique_authors",
-        "total_engagement",
+    """Mentions and authors per term and day, counted when the day is closed; later posts are kept aside.
+
+    Takes in what is available; with the same folder a later call goes on.
+    """
+    counts = closed_windows.run_closed(posts, folder, Windows(delay=delay), term_types)
+    return counts.select(
+        F.to_date("window_start").alias("run_date"), "term_type", "key", "mention_count", "unique_authors", "total_engagement"
     )
 
 
 def sliding_scores(
     posts: DataFrame,
-    delay: str = "1 day",
-    width: str = "6 hours",
-    slide: str = "1 hour",
+    folder: str,
+    delay: dt.timedelta = dt.timedelta(days=1),
+    width: dt.timedelta = dt.timedelta(hours=6),
+    slide: dt.timedelta = dt.timedelta(hours=1),
     term_types: tuple[str, ...] = m.ALL_TYPES,
 ) -> DataFrame:
-    """Velocity and composite score of each term per sliding window."""
-    rows = m.mentions(_event_time(posts, delay), term_types)
-    return m.with_scores(_by_window(rows, width, slide)).select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+    """Velocity and composite score of each term per closed sliding window, as ``daily_counts``."""
+    counts = closed_windows.run_closed(posts, folder, Windows(width, slide, delay), term_types)
+    end = F.col("window_start") + F.lit(width)
+    return m.with_scores(counts).select(
+        "window_start",
+        end.alias("window_end"),
         "term_type",
         "key",
         "mention_count",
