@@ -121,3 +121,21 @@ def test_without_repeats(spark):
 
 def test_merged_spans():
     assert repeats.merged(np.array([[0, 5], [5, 7], [9, 12], [10, 11]])).tolist() == [[0, 7], [9, 12]]
+
+
+@pytest.mark.parametrize("doc_id", [None, 4])
+def test_many_rows_of_one_id(spark, doc_id):
+    """3,000 random texts of one id, or without, half of them with a common passage."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    noise = lambda n: "".join(rng.choices(letters, k=n))
+    passage = noise(120)
+    texts = [noise(110) + ("1" + passage + "2" if i % 2 else noise(122)) + noise(20) for i in range(3000)]
+    df = spark.createDataFrame([(doc_id, t) for t in texts], "doc_id long, text string")
+    found = repeats.digests(df, repeats.spans(df)).collect()
+    assert len(found) == 3000
+    assert sum(r.n_removed > 0 for r in found) == 1499
+    kept = sorted(r.text for r in repeats.without_repeats(df).collect())
+    whole = sorted(t for t in texts if passage not in t)
+    assert sorted(t for t in kept if t in set(texts)) == sorted([*whole, *(t for t in kept if passage in t)])
+    assert sum(passage in t for t in kept) == 1

@@ -249,7 +249,7 @@ def _later(groups: dict[bytes, list[int]], found: list[Run], chosen: list[int],
 # --- the job --------------------------------------------------------------------------------
 
 _NO_ID = (1 << 63) - 1
-_ID_SCHEMA = "key long, tie int"
+_ID_SCHEMA = "key long, tie long"
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -257,7 +257,7 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("key"),
-        F.xxhash64(text).bitwiseAND(0xFFFF).cast("int").alias("tie"),
+        F.xxhash64(text).alias("tie"),
         text.alias("text"),
     )
 
@@ -330,7 +330,7 @@ def _sorted_spans(carried: DataFrame, rule: Rule) -> DataFrame:
 
 def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [(), (), (), ()]
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "tie", "start", "end"])
 
 
@@ -344,7 +344,7 @@ def _hot_spans(carried: DataFrame, rule: Rule) -> DataFrame:
                 for i in range(place >> 7 & 127):
                     out.append((hashlib.blake2b(raw[i : i + rule.length], digest_size=16).digest(), key, tie, (place >> 14) + i))
             columns = list(zip(*out)) or [(), (), (), ()]
-            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int64())
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["string", "key", "tie", "start"])
 
     strings = map_arrow(carried.where("hot"), run, f"string binary, {_ID_SCHEMA}, start long")
@@ -357,7 +357,7 @@ def spans(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col
     """key, tie and spans of every document with repeated bytes: sorted, disjoint, in bytes.
 
     A byte is repeated if a string of rule.length bytes that covers it begins earlier too: in a
-    document with a smaller id (null last; equal ids by a hash of their texts), or in the same
+    document with a smaller id (null last; equal ids by 64 bits of a hash of their texts), or in the same
     document at an earlier place. Strings are those of the input. Rows with the same id and text
     are one document.
     """
@@ -454,7 +454,7 @@ def without_repeats(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     """
     found = spans(docs, rule, id_col, text_col).withColumnsRenamed({"key": "__key", "tie": "__tie", "spans": "__spans"})
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    on = (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)) == F.col("__key")) & (F.xxhash64(text).bitwiseAND(0xFFFF).cast("int") == F.col("__tie"))
+    on = (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)) == F.col("__key")) & (F.xxhash64(text) == F.col("__tie"))
     both = docs.join(found, on, "left").select(*(f"`{c}`" for c in docs.columns), "__spans")
     names, schema = docs.columns, docs.schema
     where = names.index(text_col)
