@@ -76,6 +76,22 @@ def test_near_vectors(spark, limits):
     assert got == want
 
 
+def test_an_id_on_several_vectors(spark):
+    """Rows of one id have the links of their own vector, in their own label."""
+    a, b, far = [1.0, 0.0], [0.99, 0.05], [0.0, 1.0]
+    rows = [(5, a, 1), (7, b, 1), (5, far, 1), (8, [0.01, 1.0], 1), (9, [0.02, 1.0], 1), (5, a, 2), (6, b, 2), (3, b, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in vectors.near_vectors(df).collect())
+    assert got == [(3, 2, 3, True), (5, 1, 5, True), (5, 2, 3, False), (5, 2, 5, True), (6, 2, 3, False), (7, 1, 5, False), (8, 2, 5, False), (9, 2, 5, False)]
+
+
+@pytest.mark.parametrize("kind,labels", [("string", ["x", "x", "1"]), ("double", [1.2, 1.2, 1.7])])
+def test_labels_of_other_types(spark, kind, labels):
+    rows = [(i, [1.0, 0.0], label) for i, label in enumerate(labels)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")
+    assert sorted(tuple(r) for r in vectors.near_vectors(df).collect()) == [(0, 1, 0, True), (1, 1, 0, False), (2, 0, 2, True)]
+
+
 def test_no_vectors(spark):
     assert vectors.near_vectors(frame(spark).limit(0)).count() == 0
 

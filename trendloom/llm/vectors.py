@@ -141,7 +141,7 @@ def _dealt(distinct: DataFrame, reach: float, block: int, most_centers: int) ->
     centers are farther apart than their radii and the threshold allow are never compared. Centers
     are a bounded sample of the rows, the same for all labels.
     """
-    centers = distinct.orderBy(F.xxhash64("rep", F.lit(2))).limit(most_centers).select("v").collect()
+    centers = distinct.orderBy(F.xxhash64("v"), "label").limit(most_centers).select("v").collect()
     by_dims: dict[int, list] = {}
     for row in centers:
         by_dims.setdefault(len(row["v"]), []).append(row["v"])
@@ -166,7 +166,8 @@ def _dealt(distinct: DataFrame, reach: float, block: int, most_centers: int) ->
 
     sizes = distinct.groupBy("label", "dims").agg(F.least(F.ceil(F.count("*") / F.lit(block)), F.lit(most_centers)).cast("int").alias("few"))
     placed = distinct.join(sizes, ["label", "dims"]).select("label", "v", "rep", "weight", "dims", "few")
-    placed = map_arrow(placed, nearest, "label int, v array<double>, rep long, weight long, dims int, cell int, far double")
+    label_type = distinct.schema["label"].dataType.simpleString()
+    placed = map_arrow(placed, nearest, f"label {label_type}, v array<double>, rep long, weight long, dims int, cell int, far double")
     placed = written(placed, "vectors-cells")
     cells = placed.groupBy("label", "dims", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
     cells = cells.withColumn("chunks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
@@ -212,7 +213,8 @@ def near_vectors(
     and the cosine of their doubles is at least `least`; vectors that are null, zero or hold a null
     or non-finite component link with nothing and are components of their own. n_links counts the
     other rows linked directly, component_id is the least id reachable, kept says that it is the
-    row's own. Repeated rows link with each other; a null id is never anyone's component, links
+    row's own. Rows link by their vectors, so repeated rows link with each other, and an id on several
+    vectors has the links of each on its row; labels of any type are compared as they are. A null id is never anyone's component, links
     with nothing, and is kept. An empty table gives an empty result; further columns are ignored.
 
     Equal vectors of a label are one vector with a weight, so copies are never compared. The rest
@@ -223,8 +225,10 @@ def near_vectors(
     given = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{label_col}`").alias("label"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     linkable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v"))
     rows = given.withColumn("dims", F.when(linkable, F.size("v")))
-    distinct = rows.where("dims is not null").groupBy("label", "v", "dims").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-    distinct = written(distinct.select(F.col("label").cast("int"), "v", F.col("rep").cast("long"), "weight", "dims"), "vectors-distinct")
+    distinct = rows.where("dims is not null").groupBy("label", "v", "dims").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("weight"))
+    # An id may stand on several vectors, so a vector is named by a number of its own, given where it is written.
+    distinct = distinct.select("label", "v", F.monotonically_increasing_id().alias("rep"), "weight", "dims", "id")
+    distinct = written(distinct, "vectors-distinct")
     reach = float(np.sqrt(2 - 2 * least))
     parted, pairs = _dealt(distinct, reach, block, most_centers)
     pairs = pairs.withColumn("pair", F.struct("label", "dims", "a_cell", "a_chunk", "b_cell", "b_chunk"))
@@ -257,10 +261,12 @@ def near_vectors(
     found = written(found, "vectors-links")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found, "rep", "joined", "vectors-components").withColumnRenamed("id", "rep")
-    classes = distinct.select("label", "v", "rep", "weight").join(linked, "rep", "left").join(joined, "rep", "left")
-    classes = classes.select("label", "v", F.col("weight").alias("w"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
+    classes = distinct.select("label", "v", "rep", "weight", "id").join(linked, "rep", "left").join(joined, "rep", "left")
+    lowest = classes.where("component is not null").groupBy("component").agg(F.min("id").alias("low"))
+    classes = classes.join(lowest, "component", "left")
+    classes = classes.select("label", "v", F.col("weight").alias("w"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("low", "id").alias("component"))
     own = rows.withColumn("mine", F.when(F.col("dims").isNotNull(), F.col("v")))
-    out = own.join(classes, (own["label"].cast("int") == classes["label"]) & (own["mine"] == classes["v"]), "left")
+    out = own.join(classes, (own["label"] == classes["label"]) & (own["mine"] == classes["v"]), "left")
     return out.select(
         "vec_id",
         F.coalesce(F.col("links") + F.col("w") - 1, F.lit(0)).cast("long").alias("n_links"),
