@@ -33,7 +33,7 @@ from trendloom.llm.common import map_arrow, slices, utf8, written
 #: Texts of a block: what its documents link is looked up once for all of them.
 BLOCK_BYTES = 4 << 20
 #: Words whose alignment a worker keeps, in each of two generations.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 200_000
 #: Pairs of a group that are listed one by one; beyond, its distinct ids are paired.
 _LISTED_PAIRS = 1 << 14
 _BITS = 24
