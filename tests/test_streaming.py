@@ -43,6 +43,31 @@ def test_stream_equals_batch_activity(spark, tmp_path):
     assert len({key(r) for r in batch.collect()}) == 10
 
 
+def test_many_batches_leave_few_parts(spark, tmp_path, monkeypatch):
+    """Every file is a batch; a merge that stops before it deletes its parts changes no count."""
+    monkeypatch.setattr(ps, "MAX_PARTS", 3)
+    merge, calls = ps.merge_activity, []
+    monkeypatch.setattr(ps, "merge_activity", lambda spark, folder, finished: calls.append(finished) or merge(spark, folder, finished, 3))
+    folder = work_folder(spark, "parts")
+    for n in range(14):
+        deliver(tmp_path, f"{n:02}.json", (n, 1, n, "$NVDA", "u"))
+    ps.ingest_activity(ps.read_raw_post_stream(spark, str(tmp_path), max_files=1), folder, TAGS)
+    assert calls == list(range(-1, 13))
+    parts = ps.numbered_folders(spark, f"{folder}/activity", "batch_id")
+    assert len(parts) <= 4 and len(ps.numbered_folders(spark, f"{folder}/merged", "until")) == 1
+    count = lambda: [tuple(r) for r in ps.ingested_activity(spark, folder).collect()]
+    assert count() == [("nvda", dt.date(2024, 1, 1), 14, 140.0)]
+    monkeypatch.setattr(ps, "delete_folder", lambda *_: (_ for _ in ()).throw(RuntimeError("stopped here")))
+    with pytest.raises(RuntimeError):
+        merge(spark, folder, 13, 1)
+    assert ps._merged_until(spark, folder) == 13
+    assert count() == [("nvda", dt.date(2024, 1, 1), 14, 140.0)]
+    monkeypatch.undo()
+    merge(spark, folder, 13)
+    assert ps.numbered_folders(spark, f"{folder}/activity", "batch_id") == []
+    assert count() == [("nvda", dt.date(2024, 1, 1), 14, 140.0)]
+
+
 def test_dedupe_across_files(spark, tmp_path):
     state = work_folder(spark, "dedupe")
     deliver(tmp_path, "a.json", (1, 1, 8, "x", "u"), (1, 1, 8, "x", "u"), (2, 1, 9, "y", "u"))

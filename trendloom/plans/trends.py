@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from trendloom.functions import constants, patterns, text
-from trendloom.operators import digests, mentions, ranking, timeline
+from trendloom.operators import authors, digests, mentions, ranking, timeline
 from trendloom.plans import oracle as o
 from trendloom.plans import testdata as td
 from trendloom.plans.registry import query
-from trendloom.session import written
+from trendloom.session import work_folder, written
 
 STATS = (
     "term_type", "key", "mention_count", "unique_authors", "total_engagement", "avg_engagement",
@@ -63,6 +65,24 @@ def _(spark, sf):
     return rows.groupBy("term_type", "key").agg(F.countDistinct("username").alias("authors"))
 
 
+@query(
+    "term_authors_over_days",
+    o.with_ctes(
+        ["cashtag_mentions", "hashtag_mentions"],
+        f"""SELECT {o.norm('key')} AS trend_term, count(DISTINCT CAST(created_at AS DATE)) AS active_days, count(DISTINCT username) AS authors
+            FROM (SELECT key, created_at, username FROM cashtag_mentions UNION ALL SELECT key, created_at, username FROM hashtag_mentions) t
+            WHERE CAST(created_at AS DATE) BETWEEN DATE '2024-01-20' - 13 AND DATE '2024-01-20' GROUP BY 1""",
+    ),
+)
+def _(spark, sf):
+    """Authors of tags over two weeks, from stored sketches; so few authors are counted exactly."""
+    path = work_folder(spark, "author-sketches")
+    tags = mentions.mentions(_posts(spark, sf), (mentions.CASHTAG, mentions.HASHTAG))
+    authors.store_sketches(authors.daily_sketches(tags), path)
+    first = td.AS_OF - dt.timedelta(days=13)
+    return authors.authors_between(authors.read_sketches(spark, path), first, td.AS_OF)
+
+
 @query(
     "term_first_posts",
     o.with_ctes(

@@ -43,6 +43,12 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(path)
 
 
+def numbered_folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers of the folders ``name=number`` in a folder, in order."""
+    system, pattern = _folder(spark, f"{path}/{name}=*")
+    return sorted(int(found.getPath().getName().split("=")[1]) for found in system.globStatus(pattern) or [])
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder with all it holds."""
     system, path = _folder(spark, path)

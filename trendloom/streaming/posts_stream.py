@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trendloom import schemas
 from trendloom.functions import scoring
 from trendloom.operators import mentions as m
-from trendloom.session import work_folder
+from trendloom.session import delete_folder, folder_exists, numbered_folders, work_folder
 from trendloom.sources.posts import normalize_raw_posts
 from trendloom.streaming import closed_windows
 from trendloom.streaming.closed_windows import Windows
@@ -50,22 +50,23 @@ def _event_time(posts: DataFrame, delay: str) -> DataFrame:
     )
 
 
+#: Parts of micro-batches beside the merged one before they are merged into it.
+MAX_PARTS = 8
+_ACTIVITY = "trend_term string, run_date date, mention_count long, engagement_score double"
+
+
 def ingest_activity(posts: DataFrame, folder: str, term_types: tuple[str, ...] = m.ALL_TYPES) -> None:
     """Add the daily activity of newly arrived posts to a table, once per post file.
 
-    Each micro-batch owns one partition and overwrites it, so a batch repeated after a failure
-    replaces its own rows and counts nothing twice.
+    Each micro-batch owns one part and overwrites it, so a batch repeated after a failure replaces its
+    own rows and counts nothing twice. Parts of finished batches are merged, so a table of any number
+    of batches has a few parts.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        (
-            m.daily_activity(m.mentions(batch, term_types))
-            .withColumn("batch_id", F.lit(batch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(f"{folder}/activity")
-        )
+        activity = m.daily_activity(m.mentions(batch, term_types))
+        activity.write.mode("overwrite").parquet(f"{folder}/activity/batch_id={batch_id}")
+        merge_activity(batch.sparkSession, folder, batch_id - 1)
 
     query = (
         posts.writeStream.foreachBatch(store)
@@ -76,17 +77,48 @@ def ingest_activity(posts: DataFrame, folder: str, term_types: tuple[str, ...] =
     query.awaitTermination()
 
 
-def ingested_activity(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily activity over all micro-batches so far."""
-    parts = spark.read.parquet(f"{folder}/activity")
+def _merged_until(spark: SparkSession, folder: str) -> int:
+    """The last batch of the merged part; a part whose writing broke off doesn't count."""
+    found = numbered_folders(spark, f"{folder}/merged", "until")
+    return max((n for n in found if folder_exists(spark, f"{folder}/merged/until={n}/_SUCCESS")), default=-1)
+
+
+def merge_activity(spark: SparkSession, folder: str, finished: int, most: int = MAX_PARTS) -> None:
+    """Merge the parts of the batches up to ``finished`` if there are many.
+
+    The merged part is complete before any of its parts is deleted, and readers skip parts that it
+    holds, so an interruption at any moment changes no count; what was left is deleted the next time.
+    """
+    until = _merged_until(spark, folder)
+    parts = [n for n in numbered_folders(spark, f"{folder}/activity", "batch_id") if n <= finished]
+    if len(parts) >= most and parts[-1] > until:
+        _activity_until(spark, folder, finished).write.mode("overwrite").parquet(f"{folder}/merged/until={finished}")
+        until = finished
+    for n in parts:
+        if n <= until:
+            delete_folder(spark, f"{folder}/activity/batch_id={n}")
+    for n in numbered_folders(spark, f"{folder}/merged", "until"):
+        if n < until:
+            delete_folder(spark, f"{folder}/merged/until={n}")
+
+
+def _activity_until(spark: SparkSession, folder: str, last: int | None = None) -> DataFrame:
+    until = _merged_until(spark, folder)
+    numbers = numbered_folders(spark, f"{folder}/activity", "batch_id")
+    paths = [f"{folder}/activity/batch_id={n}" for n in numbers if n > until and (last is None or n <= last)]
+    paths += [f"{folder}/merged/until={until}"] if until >= 0 else []
+    parts = spark.read.schema(_ACTIVITY).parquet(*paths) if paths else spark.createDataFrame([], _ACTIVITY)
     return parts.groupBy("trend_term", "run_date").agg(
         F.sum("mention_count").alias("mention_count"),
-        (F.sum(F.round(F.col("engagement_score") * 10).cast("bigint")) / 10.0).alias(
-            "engagement_score"
-        ),
+        (F.sum(F.round(F.col("engagement_score") * 10).cast("bigint")) / 10.0).alias("engagement_score"),
     )
 
 
+def ingested_activity(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily activity over all micro-batches so far."""
+    return _activity_until(spark, folder)
+
+
 def deduplicated(posts: DataFrame, delay: str = "1 day") -> DataFrame:
     """Posts without repeats of an id inside the watermark."""
     once = _event_time(posts, delay).dropDuplicatesWithinWatermark(["id"])
