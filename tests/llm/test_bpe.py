@@ -98,3 +98,12 @@ def test_round_trips(spark):
     assert got == sorted(want, key=repr)
     assert bpe.round_trips(empty(spark), PATH).count() == 0
     assert bpe.tokens(documents(spark), PATH).where("doc_id = 4").first()["ids"] == b""
+
+
+def test_words_met_again_are_kept(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 3)
+    monkeypatch.setattr(bpe, "LATEST_WORDS", 2)
+    words, plain = bpe.WordIds(bpe.merges(PATH)), bpe.WordIds(bpe.merges(PATH))
+    for k in (1, 2, 2, 3, 1, 4, 4, 4, 5, 5, 6, 7, 7, 8, 9, 9, 2, 1):
+        assert words[f"word{k}'re-{k}"] == plain.piece(f"word") + b"".join(plain.piece(p) for p in (f"{k}", "'re", "-", f"{k}"))
+        assert len(words) <= 3 and len(words.latest) + len(words.before) <= 4

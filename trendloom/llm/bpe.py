@@ -27,7 +27,7 @@ from trendloom.llm.common import ids_of, map_arrow
 #: Characters of a text that are taken at a time.
 CHUNK = 1 << 16
 #: Words kept with their ids by a worker.
-CACHED_WORDS = 300_000
+CACHED_WORDS, LATEST_WORDS = 200_000, 50_000
 #: Symbols from which a piece is encoded as a stream.
 LONG_PIECE = 512
 _SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -186,18 +186,32 @@ def _sizes(model: Merges) -> list[int]:
 
 
 class WordIds(dict):
-    """Words without white space, each with its packed ids; emptied when full."""
+    """Words without white space, each with its packed ids.
+
+    A word is kept for long when it is met again while it is among the latest ones, so words seen
+    once don't displace others. Both stores are emptied when full, the latest words by halves.
+    """
 
     def __init__(self, model: Merges):
         self.model = model
+        self.latest: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        found = _PIECE.findall(word)
+        out = self.latest.get(word)
+        if out is None:
+            out = self.before.get(word)
+        if out is not None:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = out
+            return out
+        found = [word] if word.isascii() and word.isalpha() else _PIECE.findall(word)
         out = self.piece(word) if found == [word] else b"".join(map(self.__getitem__, found))
-        if len(self) >= CACHED_WORDS:
-            self.clear()
         if len(word) <= 64:
-            self[word] = out
+            if len(self.latest) >= LATEST_WORDS:
+                self.latest, self.before = {}, self.latest
+            self.latest[word] = out
         return out
 
     def piece(self, text: str) -> bytes:
