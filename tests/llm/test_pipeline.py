@@ -14,7 +14,7 @@ FOLDER = "/root/testdata/sf0.001"
 def test_every_query_is_registered(spark):
     names = set(entry.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
 
 
