@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from tests.compare import compare, connect
 from tests.conftest import SF_SMALL
 from tests.llm.data import ROWS, documents, empty
@@ -123,3 +124,22 @@ def test_chains_and_stars_of_links(spark):
 def test_query(spark):
     name = "op7_coordinate_near_duplicates"
     assert compare(queries.QUERIES[name](spark, SF_SMALL), connect(SF_SMALL), queries.ORACLES[name]) is None
+
+
+@pytest.mark.parametrize("percent", [100, 80, 50])
+def test_similar_sizes_lie_in_neighbouring_bands(spark, percent):
+    rule = minhash.Rule(percent=percent)
+    sizes = [(n, -(-n * percent // 100)) for n in [*range(1, 3000), *range(10**6, 10**6 + 500)]]
+    bands = [minhash._band(F.col(c), rule).alias(c) for c in ("large", "small")]
+    rows = spark.createDataFrame(sizes, "large long, small long").select(*bands).collect()
+    assert all(0 <= r["large"] - r["small"] <= 1 for r in rows)
+
+
+def test_sets_of_several_homes_meet_in_a_cell(spark):
+    # key, rep, home, class, n: two that may be similar, one that is too large, one of the class of the first
+    own = [(1, 10, 10, 10, 100), (1, 11, 11, 11, 81), (1, 12, 12, 12, 400), (2, 10, 10, 10, 100), (2, 13, 10, 10, 100)]
+    own = spark.createDataFrame(own, "key long, rep long, home long, class long, n long")
+    met = minhash._between_classes(own, minhash.Rule())
+    assert {(r["key"], r["rep"]) for r in met.collect()} == {(1, 10), (1, 11)}
+    assert minhash._meeting_often(met, minhash.Rule(meetings=2)).count() == 0
+    assert minhash._meeting_often(met, minhash.Rule(meetings=1)).count() == met.count()

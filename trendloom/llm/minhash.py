@@ -16,12 +16,13 @@ join classes leave a block. Last come the pairs whose homes and classes differ.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -286,6 +287,30 @@ def _met_often(pairs: DataFrame, rule: Rule) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("met")).where(F.col("met") >= rule.meetings)
 
 
+def _band(n: Column, rule: Rule) -> Column:
+    """The size band of a set: similar sets lie in one band or in neighbours, which are a little wider than needed."""
+    width = max(-math.log(rule.percent / 100), 0.01) * (1 + 1e-6)
+    return F.floor(F.log(n.cast("double")) / F.lit(width)).cast("int")
+
+
+def _between_classes(own: DataFrame, rule: Rule) -> DataFrame:
+    """key, cell, rep, home, class, n: the postings where sets of several homes and classes meet.
+
+    A posting is cut into cells by size: a set lies in the cell of its band and in the next, so two
+    sets whose sizes allow the similarity meet in the cell of the larger one's band.
+    """
+    band = _band(F.col("n"), rule)
+    own = own.select("key", F.explode(F.array(band, band + 1)).alias("cell"), "rep", "home", "class", "n")
+    lists = own.groupBy("key", "cell").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("home").alias("near"), F.max("home").alias("far"))
+    return own.join(lists.where("low != high and near != far").select("key", "cell"), ["key", "cell"], "left_semi")
+
+
+def _meeting_often(own: DataFrame, rule: Rule) -> DataFrame:
+    """The postings of the sets that lie in enough of them to meet another as often as a link needs."""
+    often = own.groupBy("rep").agg(F.count_distinct("key").alias("keys")).where(F.col("keys") >= rule.meetings)
+    return own.join(few(often.select("rep")), "rep", "left_semi")
+
+
 def _roots(pointers: DataFrame, jumps: int = 3) -> DataFrame:
     """rep and root: where the pointers b -> a lead, followed at most 2 ** jumps steps.
 
@@ -326,13 +351,16 @@ def _links(sets: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     links = kept(_inside_homes(homes, members_of(best), rule))
     joined = joined_by(links)
 
-    # Pairs of different homes and classes that meet often.
+    # Pairs of different homes and classes that meet often, and whose sizes allow the similarity.
     own = prefixes.select("key", "rep").join(homes, "rep", "left").join(joined, "rep", "left")
     own = own.select("key", "rep", F.coalesce("home", "rep").alias("home"), F.coalesce("component", "rep").alias("class"))
-    lists = own.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("home").alias("near"), F.max("home").alias("far"))
-    own = own.join(lists.where("low != high and near != far").select("key"), "key", "left_semi")
-    pairs = own.toDF("key", "b", "home_b", "class_b").join(own.toDF("key", "a", "home_a", "class_a"), "key")
-    pairs = pairs.where("a < b and home_a != home_b and class_a != class_b").select("a", "b")
+    open_postings = _between_classes(own.join(sets.select("rep", "n"), "rep"), rule)
+    own = kept(_meeting_often(open_postings, rule), "between")
+    pairs = own.toDF("key", "cell", "b", "home_b", "class_b", "n_b").join(own.toDF("key", "cell", "a", "home_a", "class_a", "n_a"), ["key", "cell"])
+    pairs = pairs.where("a < b and home_a != home_b and class_a != class_b").where(
+        (F.col("cell") == F.greatest(_band(F.col("n_a"), rule), _band(F.col("n_b"), rule)))
+        & (100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b"))
+    ).select("a", "b")
     pairs = kept(_counted(_met_often(pairs, rule).select("a", "b"), sets, rule).select("a", "b"))
     if not pairs.isEmpty():
         more = kept(_similar(pairs, members_of(pairs), rule))
