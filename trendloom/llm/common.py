@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import zipfile
 from collections.abc import Callable, Iterator
@@ -210,7 +211,25 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def give_back() -> None:
+    """Return the free memory of this worker to the system: it waits for later tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """mapInArrow with this package at hand on the executors."""
+    """mapInArrow with this package at hand on the executors; between batches workers give back what is free."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def spaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            give_back()
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(spaced(batches))
+        give_back()
+
+    return df.mapInArrow(bounded, schema)
