@@ -71,6 +71,24 @@ def test_held_text_is_bounded():
     assert max(sizes) < 4 * bpe.CHUNK + 4 * encoder.model.lookahead
 
 
+@pytest.mark.parametrize("word", ["漢字仮名", "각한글", "カ\u3099キ\u3099", "при"])
+def test_held_text_is_bounded_without_ascii(word):
+    encoder = bpe.Encoder(PATH)
+    sizes = []
+    for _ in range(10):
+        encoder.feed(word * (bpe.CHUNK // len(word)))
+        sizes.append(len(encoder.held) + (len(encoder.piece.open) if encoder.piece else 0))
+    assert max(sizes) < 6 * bpe.CHUNK + 4 * encoder.model.lookahead
+
+
+def test_cuts_where_nothing_is_joined(monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK", 64)
+    rng = random.Random(6)
+    for pool in ("漢字、仮名。", "각\u1100\u1161\u11a8한", "カ\u3099ハ\u309aは", "e\u0301\u0323é\u0344ồ", "\u0f71\u0f73\u0f40\u09c7\u09be\u09d7", "ΣσА\u0306İ"):
+        for _ in range(15):
+            agrees("".join(rng.choice(pool) for _ in range(rng.randint(300, 3000))))
+
+
 def test_merges_long_like_short():
     model = bpe.merges(PATH)
     rng = random.Random(3)

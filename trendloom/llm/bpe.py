@@ -230,6 +230,22 @@ def _word_ids(path: str) -> WordIds:
     return WordIds(merges(path))
 
 
+@cache
+def _second_halves() -> frozenset[str]:
+    """Characters that a composition joins to the one before: the second parts of canonical pairs, and Hangul vowels and finals."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    seconds = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and not p[0].startswith("<")}
+    return frozenset(seconds | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))})
+
+
+def starts_anew(char: str) -> bool:
+    """Whether text may be normalized apart before this character."""
+    if char.isascii():
+        return True
+    first = unicodedata.normalize("NFD", char)[0]
+    return not unicodedata.combining(first) and first not in _second_halves()
+
+
 class Encoder:
     """The transducer: feed(chunk) and finish() give packed little-endian 32-bit ids.
 
@@ -268,12 +284,13 @@ class Encoder:
         return max((text.rfind(c) for c in " \n\t"), default=-1) + 1 and max(text.rfind(c) for c in " \n\t")
 
     def _plain_cut(self, text: str) -> int:
-        """A place near the end, between characters that normalization cannot join.
+        """A place near the end, before a character that normalization cannot join to what stands before it.
 
-        Without such a place the text stays together.
+        Only a run of marks as long as a chunk has no such place; it stays together, as all of its
+        marks have to be put in order.
         """
         for i in range(len(text) - self.longest, max(len(text) - CHUNK, 1), -1):
-            if text[i].isascii() and text[i - 1].isascii() and not any(
+            if starts_anew(text[i]) and not any(
                 m.start() < i < m.end() for m in self.special.finditer(text, max(0, i - self.longest), i + self.longest)
             ):
                 return i
