@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import numpy as np
@@ -41,14 +42,77 @@ def test_base_fields(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize(("number", "labels"), [(0, {"mit"}), (4, {"gpl-3"}), (5, {"gpl-3"}), (6, {"bsd"}), (7, {"isc"}), (8, set()), (3, set())])
+def plain(markup, wide=1):
+    """The words of a template with all optional wording, and so many words in place of each replaceable region."""
+    markup = re.sub(r"<<any \d+>>", " x" * wide + " ", markup)
+    return re.sub(r"<<\w+>>", " ", markup)
+
+
+def pattern(markup):
+    """A template as a regular expression over words that each follow a blank."""
+    out = ""
+    for part in re.split(r"(<<optional>>|<<end>>|<<any \d+>>)", markup):
+        if part == "<<optional>>":
+            out += "(?:"
+        elif part == "<<end>>":
+            out += ")?"
+        elif part.startswith("<<any"):
+            out += r"(?: \S+){0,%s}" % part[6:-2]
+        else:
+            out += "".join(" " + w for w in re.findall("[a-z0-9]+", part.lower()))
+    return re.compile(out + "(?= )")
+
+
+PATTERNS = [(pattern(markup), label) for markup, label in (*licenses.TEMPLATES, *licenses.BASE_PHRASES)]
+
+
+def labels_of(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    line = " " + " ".join(words) + " "
+    return {label for found, label in PATTERNS if found.search(line)}
+
+
+@pytest.mark.parametrize(("number", "labels"), [(0, {"mit"}), (4, {"gpl-3"}), (5, {"lgpl-3"}), (6, set()), (7, set()), (8, set()), (3, set())])
 def test_template_labels(number, labels):
-    assert licenses.scan_text(TEXTS[number].encode().lower())[4] == labels
+    assert licenses.scan_text(TEXTS[number].encode().lower())[4] == labels == labels_of(TEXTS[number])
+
+
+def test_whole_templates_have_their_label():
+    for markup, label in licenses.TEMPLATES:
+        for wide in (0, 1):
+            got = licenses.scan_text(f"/* {plain(markup, wide)} */ and more".encode().lower())
+            assert label in got[4] and got[5] == 1.0
+    notice = "This is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    assert licenses.scan_text(notice.encode().lower())[4] == {"lgpl-2.1"}
+
+
+def test_an_opening_with_other_wording_has_no_label():
+    opening = plain(licenses.TEMPLATES[0][0]).split("THE SOFTWARE IS PROVIDED")[0]
+    found = licenses.scan_text(f"{opening} but no one at all may use it".encode().lower())
+    assert found[4] == set() and 0 < found[5] < 1
+
+
+def test_labels_like_regular_expressions():
+    rng = random.Random(5)
+    seen = set()
+    for _ in range(600):
+        words = plain(rng.choice(licenses.TEMPLATES)[0], rng.choice((0, 1, 1, 3))).split()
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            at = rng.randrange(len(words))
+            words[at : at + rng.choice((0, 1))] = rng.choice(([], ["other"], words[:1]))
+        text = " ".join(words + plain(rng.choice(licenses.TEMPLATES)[0], 0).split()[: rng.choice((0, 5, 999))])
+        got = licenses.scan_text(text.encode().lower())
+        assert got[4] == labels_of(text)
+        assert (got[5] == 1.0) == bool(got[4])
+        seen |= got[4] or {"none"}
+    assert seen >= {"mit", "isc", "bsd", "apache-2", "gpl-3", "lgpl-2.1", "mpl-2", "none"}
 
 
 def test_score_is_one_only_for_whole_templates():
-    assert licenses.scan_text(TEXTS[7].encode().lower())[5] == 1.0
-    assert 0 < licenses.scan_text(TEXTS[8].encode().lower())[5] < 1
+    whole = plain(licenses.TEMPLATES[1][0])
+    assert licenses.scan_text(whole.encode().lower())[5] == 1.0
+    assert 0 < licenses.scan_text(TEXTS[7].encode().lower())[5] < 1
+    assert 0 < licenses.scan_text(TEXTS[8].encode().lower())[5] < licenses.scan_text(TEXTS[7].encode().lower())[5]
     assert licenses.scan_text(b"nothing here")[5] == 0.0
 
 

@@ -26,7 +26,7 @@ BASE_PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-# Wording of public licenses and notices.
+# Wording of public licenses and notices, to the end of what they require.
 TEMPLATES = (
     (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -34,41 +34,83 @@ TEMPLATES = (
         "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
         "to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
         "copyright notice and this permission notice <<optional>> (including the next paragraph) <<end>> shall be included "
-        "in all copies or substantial portions of the Software.",
+        'in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY '
+        "KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<any 12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE "
+        "USE OR OTHER DEALINGS IN THE SOFTWARE.",
         "mit",
     ),
     (
         "Permission to use, copy, modify, <<optional>> and <<end>> <<optional>> or <<end>> distribute this software "
         "<<optional>> and its documentation <<end>> for any purpose with or without fee is hereby granted, provided that the "
-        "above copyright notice and this permission notice appear in all copies",
+        'above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND '
+        "<<any 12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<any 12>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+        "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION "
+        "OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
+        "THIS SOFTWARE.",
         "isc",
     ),
     (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met: <<any 3>> Redistributions of source code must retain the above copyright notice, this "
-        "list of conditions and the following disclaimer",
+        "list of conditions and the following disclaimer. <<any 3>> Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials "
+        "provided with the distribution. <<optional>> <<any 3>> Neither the name of <<any 12>> nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written "
+        'permission. <<end>> THIS SOFTWARE IS PROVIDED BY <<any 12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+        "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+        "DISCLAIMED. IN NO EVENT SHALL <<any 12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR "
+        "CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, "
+        "DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, "
+        "STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+        "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
         "bsd",
     ),
     (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with '
-        "the License",
+        "the License. You may obtain a copy of the License at <<any 1>> www.apache.org/licenses/LICENSE-2.0 Unless required by "
+        'applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, '
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+        "governing permissions and limitations under the License.",
         "apache-2",
     ),
-    (
-        "licensed under the <<optional>> terms of the <<end>> GNU <<optional>> Lesser <<end>> General Public License "
-        "<<optional>> as published by the Free Software Foundation <<end>> <<optional>> either <<end>> version 3",
-        "gpl-3",
+    *(
+        (
+            f"free software <<any 1>> you can redistribute it and/or modify it under the terms of the GNU {kind} General Public "
+            f"License as published by the Free Software Foundation <<optional>> either <<end>> version {version} of the License "
+            "<<optional>> or (at your option) any later version <<end>> <<any 3>> is distributed in the hope that it will be "
+            "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+            f"PURPOSE. See the GNU {kind} General Public License for more details.",
+            label,
+        )
+        for kind, version, label in (
+            ("", "3", "gpl-3"), ("", "2", "gpl-2"), ("Affero", "3", "agpl-3"),
+            ("Lesser", "3", "lgpl-3"), ("Lesser", "2.1", "lgpl-2.1"), ("Library", "2", "lgpl-2"),
+        )
+    ),
+    *(
+        (
+            f"licensed under the <<optional>> terms of the <<end>> GNU {kind} General Public License <<optional>> as published "
+            f"by the Free Software Foundation <<end>> <<optional>> either <<end>> version {version}",
+            label,
+        )
+        for kind, version, label in (
+            ("", "3", "gpl-3"), ("", "2", "gpl-2"), ("Affero", "3", "agpl-3"),
+            ("Lesser", "3", "lgpl-3"), ("Lesser", "2.1", "lgpl-2.1"), ("Library", "2", "lgpl-2"),
+        )
     ),
     (
-        "licensed under the <<optional>> terms of the <<end>> GNU <<optional>> Library <<end>> General Public License "
-        "<<optional>> as published by the Free Software Foundation <<end>> <<optional>> either <<end>> version 2",
-        "gpl-2",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at <<any 1>> mozilla.org/MPL/2.0",
+        "mpl-2",
     ),
     ("licensed under the Mozilla Public License <<optional>> v <<end>> <<optional>> version <<end>> 2.0", "mpl-2"),
     ("licensed under <<optional>> a <<end>> <<optional>> the <<end>> Creative Commons Attribution NonCommercial", "cc-by-nc"),
     ("released under the MIT license", "mit"),
     ("released into the public domain", "public-domain"),
-)
+)
 
 #: Bytes that are no part of words; every byte from 0x80 belongs to a word.
 NO_WORD = byte_set(bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
