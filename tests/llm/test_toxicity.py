@@ -4,9 +4,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from tests.llm.data import documents, empty
 
 from trendloom.llm import common, toxicity
+from trendloom.llm.common import utf8
 
 
 def test_words_like_a_pattern(monkeypatch):
@@ -88,3 +90,20 @@ def test_keep_clean_keeps_columns(spark):
     assert kept.schema == wide.schema
     want = {r["doc_id"] for r in toxicity.score(docs, model).where("score < 0.7").collect()}
     assert {r["doc_id"] for r in kept.collect()} == want
+
+
+def test_scores_are_the_plain_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    texts = ["a great idiot group", "group idiot idiot people", "", None, "some wonderful people", "é ü"]
+    data, at = utf8(pa.array(texts))
+    text, slot = toxicity.term_slots(data, at)
+    slots = np.unique(slot)[::2]
+    model = toxicity.Model(slots, rng.normal(size=len(slots)), rng.normal(0, 0.3, (len(slots), 4)), -0.4)
+    place = {s: k for k, s in enumerate(slots)}
+    want = []
+    for i in range(len(texts)):
+        terms = sorted({place[s] for s in slot[text == i] if s in place})
+        logit = model.constant + sum(model.weights[k] for k in terms)
+        logit += sum(model.factors[j] @ model.factors[k] for n, j in enumerate(terms) for k in terms[n + 1 :])
+        want.append(1 / (1 + np.exp(-logit)))
+    assert np.allclose(toxicity.scorer(model)(pa.array(texts)), want)

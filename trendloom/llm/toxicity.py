@@ -185,13 +185,14 @@ def informative(slots: list[np.ndarray], y: np.ndarray, limits: Limits) -> np.nd
     with_y = [np.zeros(TABLE, np.float32), np.zeros(TABLE, np.float32)]
     for s, label in zip(slots, y):
         with_y[int(label)][s] += 1
-    a, b = with_y[1].astype(float), with_y[0].astype(float)
+    met = np.flatnonzero(with_y[0] + with_y[1] >= limits.least_rows)
+    a, b = with_y[1][met].astype(float), with_y[0][met].astype(float)
     seen = a + b
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = (n0 + n1) * (a * (n0 - b) - b * (n1 - a)) ** 2 / (seen * (n0 + n1 - seen) * n1 * n0)
-    chi2 = np.where((seen >= limits.least_rows) & np.isfinite(chi2), chi2, 0)
+    chi2 = np.where(np.isfinite(chi2), chi2, 0)
     best = np.argsort(-chi2, kind="stable")[: limits.terms]
-    return np.sort(best[chi2[best] >= limits.least_chi2])
+    return met[np.sort(best[chi2[best] >= limits.least_chi2])]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
