@@ -167,7 +167,7 @@ def test_samples_by_list_equal_samples_by_join(spark, monkeypatch):
     df = many(spark)
     top = written(ranking.candidates(df), "top")
     listed = ranking.with_samples(top, df).select("term", "sample_tweets").orderBy("term").collect()
-    monkeypatch.setattr(ranking, "MAX_LISTED_PHRASES", 0)
+    monkeypatch.setattr(ranking, "MAX_LISTED_KEYS", 0)
     joined = ranking.with_samples(top, df).select("term", "sample_tweets").orderBy("term").collect()
     assert listed == joined
 

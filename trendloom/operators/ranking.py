@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trendloom.functions import constants, text
 from trendloom.functions.text import DEFAULT_RULES, TermRules
 from trendloom.operators import mentions as m
+from trendloom.operators.phrases import phrase_hits, phrase_key
 from trendloom.session import broadcast_if
 
 
@@ -61,13 +62,16 @@ def candidates(
     return m.with_quality(ranked, limits.quality_min_authors, limits.quality_min_context)
 
 
+MAX_LISTED_KEYS = 2000
+
+
 def with_samples(
     top: DataFrame, posts: DataFrame, rules: TermRules = DEFAULT_RULES, k: int = 3
 ) -> DataFrame:
     """Add sample texts to ranked candidates. ``top`` is a written top-n list: it is counted."""
     n = top.count()
     keys = top.select("term_type", "key")
-    if 0 < n <= MAX_LISTED_PHRASES:
+    if 0 < n <= MAX_LISTED_KEYS:
         only: dict[str, list[str]] = {}
         for row in keys.collect():
             only.setdefault(row.term_type, []).append(row.key)
@@ -116,59 +120,6 @@ def with_fallback(terms: DataFrame, fallback: tuple[str, ...] = constants.FALLBA
     )
 
 
-def phrase_words(col: Column) -> Column:
-    """Words of a text for phrase look-up: letters, digits, $, # and apostrophes inside words.
-
-    Quotation marks around words and hyphens between them end words, so that a phrase is found in
-    'quotes' and as a part of hyphen-joined words.
-    """
-    unquoted = F.regexp_replace(F.lower(col), r"(?<![\p{L}\p{N}_])'+|'+(?![\p{L}\p{N}_])", " ")
-    return F.split(F.btrim(F.regexp_replace(unquoted, r"[^\p{L}\p{N}_$#'%&]+", " ")), " ")
-
-
-def post_phrases(words: Column, max_words: int) -> Column:
-    """All runs of 1 to max_words consecutive words."""
-    size = F.greatest(F.size(words), F.lit(1))
-    runs, current = [words], words
-    for shift in range(2, max_words + 1):
-        current = F.zip_with(
-            current,
-            F.slice(words, F.lit(shift), size),
-            lambda a, b: F.concat(a, F.lit(" "), b),
-        )
-        runs.append(F.array_compact(current))
-    return F.concat(*runs) if len(runs) > 1 else words
-
-
-MAX_LISTED_PHRASES = 2000
-
-
-def phrase_hits(posts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Posts without their text, one row per phrase that occurs in them as consecutive words.
-
-    ``phrases`` has a column ``phrase`` in the form given by ``phrase_key``. A short list becomes
-    a literal and is intersected within each post. A long one is joined on the word runs, an
-    equi-join that spreads over the cluster, where a text search would compare every pair.
-    """
-    narrow = [c for c in posts.columns if c != "text"]
-    words = posts.select(*narrow, phrase_words(F.col("text")).alias("_words"))
-    listed = phrases.select("phrase").distinct()
-    few = [r.phrase for r in listed.limit(MAX_LISTED_PHRASES + 1).collect()]
-    if len(few) <= MAX_LISTED_PHRASES:
-        longest = max((p.count(" ") + 1 for p in few), default=1)
-        wanted = F.array(*[F.lit(p) for p in few]).cast("array<string>")
-        found = F.array_intersect(post_phrases(F.col("_words"), longest), wanted)
-    else:
-        longest = listed.agg(F.max(F.size(F.split("phrase", " ")))).first()[0]
-        found = F.array_distinct(post_phrases(F.col("_words"), longest))
-    runs = words.select(*narrow, F.explode(found).alias("phrase"))
-    return runs.join(phrases, "phrase")
-
-
-def phrase_key(col: Column) -> Column:
-    return F.array_join(phrase_words(col), " ")
-
-
 def topic_phrases(topics: DataFrame) -> DataFrame:
     """Topics written as 'a OR b OR c' as one row per alternative."""
     return topics.select("topic", F.explode(F.split("topic", " OR ")).alias("alternative")).select(

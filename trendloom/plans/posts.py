@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from trendloom.functions import constants, scoring, text
-from trendloom.operators import health, mentions, ranking
+from trendloom.operators import health, mentions, phrases, ranking
 from trendloom.plans import oracle as o
 from trendloom.plans import testdata as td
 from trendloom.plans.registry import query
@@ -328,6 +328,28 @@ def _(spark, sf):
     return ranking.topic_matches(td.derived(spark, sf, "posts"), _topics(spark))
 
 
+@query(
+    "opening_phrases",
+    o.with_ctes(
+        ["posts"],
+        """SELECT phrase, count(*) AS n_posts, min(id) AS first_id FROM found JOIN openings USING (phrase) GROUP BY phrase""",
+        split_posts=f"SELECT id, string_split(trim({_PLAIN}, ' '), ' ') AS w FROM posts",
+        openings="""SELECT DISTINCT array_to_string(w[1:2], ' ') AS phrase FROM split_posts WHERE len(w) >= 2
+                    UNION SELECT DISTINCT array_to_string(w[1:3], ' ') FROM split_posts WHERE len(w) >= 3""",
+        placed_words="SELECT id, w, unnest(range(1, len(w) + 1)) AS k FROM split_posts",
+        found="""SELECT DISTINCT id, array_to_string(w[k:k + 1], ' ') AS phrase FROM placed_words WHERE k < len(w)
+                 UNION ALL SELECT DISTINCT id, array_to_string(w[k:k + 2], ' ') FROM placed_words WHERE k + 1 < len(w)""",
+    ),
+)
+def _(spark, sf):
+    """Every beginning of a post of two or three words, and the posts that hold it anywhere."""
+    posts = td.derived(spark, sf, "posts").select("id", "text")
+    words = posts.select(phrases.phrase_words(F.col("text")).alias("w"), F.explode(F.array(F.lit(2), F.lit(3))).alias("n"))
+    openings = words.where("size(w) >= n").select(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("phrase")).distinct()
+    hits = phrases.phrase_hits(posts, openings)
+    return hits.groupBy("phrase").agg(F.count("*").alias("n_posts"), F.min("id").alias("first_id"))
+
+
 @query(
     "posts_deduplicated",
     o.with_ctes(
