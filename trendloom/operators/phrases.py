@@ -27,10 +27,11 @@ def anchors(words: DataFrame, phrases: DataFrame) -> DataFrame:
 
     ``words`` has one array ``_words`` per post, ``phrases`` a column ``phrase``. Only words of the
     phrases are counted. A phrase with a word that stands in no post is left out, as it is nowhere found.
+    Outer explodes spare the filter on the array that Spark infers for others, which would split every text again.
     """
     parts = phrases.select("phrase").distinct().select("phrase", F.posexplode(F.split("phrase", " ")).alias("_at", "_word"))
     needed = parts.select("_word").distinct()
-    met = words.select(F.explode("_words").alias("_word")).join(needed, "_word", "left_semi")
+    met = words.select(F.explode_outer("_words").alias("_word")).join(needed, "_word", "left_semi")
     counts = met.groupBy("_word").agg(F.count("*").alias("_met"))
     rarest = parts.join(counts, "_word", "left").groupBy("phrase").agg(
         F.min(F.struct(F.coalesce("_met", F.lit(0)).alias("met"), F.col("_at").alias("before"), "_word")).alias("_a"),
@@ -55,7 +56,7 @@ def phrase_hits(posts: DataFrame, phrases: DataFrame) -> DataFrame:
     placed = written(anchors(words, phrases), "phrase-anchors")
     reach = placed.agg(F.max("_before").alias("before"), F.max("_behind").alias("behind")).first()
     before, behind = reach.before or 0, reach.behind or 0
-    each = words.select(*narrow, "_words", F.posexplode("_words").alias("_pos", "_word"))
+    each = words.select(*narrow, "_words", F.posexplode_outer("_words").alias("_pos", "_word")).where("_word is not null")
     if before + behind:
         begin = F.greatest(F.col("_pos") - before, F.lit(0))
         near = F.slice("_words", begin + 1, F.col("_pos") - begin + behind + 1)
