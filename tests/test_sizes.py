@@ -44,3 +44,19 @@ def test_terms_of_stored_posts_are_shuffled_once(spark, small_tasks):
     assert [n for _, n in best] == [tasks] * 3
     memory = spark.createDataFrame(posts.collect(), posts.schema)
     assert sorted(m.term_stats(rows).collect()) == sorted(m.term_stats(m.mentions(memory)).collect())
+
+
+def test_terms_are_grouped_in_smaller_tasks_by_their_key(spark, monkeypatch):
+    monkeypatch.setattr(m, "GATHER_BYTES", 1 << 13)
+    posts = td.derived(spark, SF_SMALL, "posts")
+    tasks = session.tasks_for(posts, 1 << 13)
+    assert tasks > session.tasks_for(posts)
+    keys, n = exchanges(m.term_stats(m.mentions(posts)))[0]
+    assert n == tasks and re.fullmatch(r"key#\d+", keys)
+
+
+def test_family_of_a_mention_by_its_place(spark):
+    row = (1, "$TSLA sold copper", "a", None, 1, 0, 0, False, ["Copper", "sold"])
+    schema = "id long, text string, username string, created_at timestamp_ntz, likes int, retweets int, replies int, is_retweet boolean, hashtags array<string>"
+    rows = m.mentions(spark.createDataFrame([row], schema), (m.HASHTAG, m.NGRAM), only={m.HASHTAG: ["copper"], m.NGRAM: ["copper"]})
+    assert sorted((r.term_type, r.key) for r in rows.collect()) == [("hashtag", "copper"), ("ngram", "copper")]
