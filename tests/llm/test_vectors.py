@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -146,6 +147,30 @@ def test_bounds_stop_before_the_lists_end():
     assert [g[1] for g in got] == best.tolist() and [g[2] for g in got] == scores[best].tolist()
 
 
+def test_many_queries_cost_little_more_than_their_scores():
+    rng = np.random.default_rng(3)
+    values = rng.integers(-300, 300, (8192, 64))
+    ids, queries = np.arange(8192), values[::64]
+
+    def scored():
+        out = []
+        for number, q in enumerate(queries):
+            scores = values @ q
+            best = np.lexsort((ids, -scores))
+            best = best[best != 64 * number][:10]
+            out += [(number, int(row), int(scores[row])) for row in best]
+        return out
+
+    def seconds(run):
+        start = time.perf_counter()
+        made = run()
+        return time.perf_counter() - start, made
+
+    plain, bounded = ([seconds(run) for _ in range(3)] for run in (scored, lambda: topk.block_top(values, ids, queries, ids[::64], 10)))
+    assert plain[0][1] == bounded[0][1]
+    assert min(s for s, _ in bounded) < 2 * min(s for s, _ in plain)
+
+
 @pytest.mark.parametrize("name", ["op2_cover_tree_duplicates", "op5_sorted_list_top_k"])
 def test_query(spark, name):
     assert compare(queries.QUERIES[name](spark, SF_SMALL), connect(SF_SMALL), queries.ORACLES[name]) is None

@@ -23,51 +23,51 @@ def whole(embedding, scale: int = 1024):
     return F.when(embedding.isNotNull() & ~F.coalesce(bad, F.lit(False)), values)
 
 
+#: Queries whose bounds are kept at once, and the part of each list that is read first.
+QUERY_BATCH, FIRST_PART = 128, 8
+
+
 def block_top(values: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int):
     """(query number, row, score) of the best k rows of a block for each query, ties to smaller ids.
 
-    Rows with the query's id take no part.
+    Rows with the query's id take no part. All queries read a list to the same depth, from its greatest
+    value on or from its least, so the bounds of all rows for many queries are two products of matrices.
     """
     n, dims = values.shape
     exact = np.abs(values).max(initial=0) * np.abs(queries).max(initial=0) * max(dims, 1) < 2**52
     kind = np.float64 if exact else np.int64
     values, queries = values.astype(kind), queries.astype(kind)
-    order = np.argsort(values, axis=0, kind="stable").T.copy()
-    ranked = np.take_along_axis(values.T, order, axis=1)
+    none = -np.inf if exact else np.iinfo(np.int64).min
+    order = np.argsort(values, axis=0, kind="stable")
+    ranked = np.take_along_axis(values, order, axis=0)
+    rank = np.empty((n, dims), np.int32)
+    np.put_along_axis(rank, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
     out = []
-    for number, q in enumerate(queries):
-        live = np.flatnonzero(ids != query_ids[number])
-        used = np.flatnonzero(q)
-        slot = np.full(n, -1)
-        slot[live] = np.arange(len(live))
-        known = np.zeros(len(live), kind)
-        unread = np.ones((len(live), len(used)), bool)
-        rising = q[used] < 0  # a list is read from its greatest contribution on
-        least = np.where(rising, ranked[used, -1], ranked[used, 0]) * q[used] if len(used) else np.zeros(0, kind)
-        done, depth = 0, max(64, n // 8)
-        while len(live) > 4 * k and done < n and len(used):
-            depth = min(depth, n)
-            frontier = np.zeros(len(used), kind)
-            for i, d in enumerate(used):
-                part = slice(done, depth) if rising[i] else slice(n - depth, n - done)
-                at = slot[order[d, part]]
-                got = at >= 0
-                at = at[got]
-                known[at] += q[d] * ranked[d, part][got]
-                unread[at, i] = False
-                frontier[i] = q[d] * (ranked[d, depth - 1] if rising[i] else ranked[d, n - depth])
-            lower = known + unread @ least
-            upper = known + unread @ frontier
-            bar = np.partition(lower, len(lower) - k)[len(lower) - k]
-            keep = upper >= bar
-            if not keep.all():
-                live, known, unread = live[keep], known[keep], unread[keep]
-                slot[:] = -1
-                slot[live] = np.arange(len(live))
-            done, depth = depth, 2 * depth
-        scores = values[live] @ q
-        best = np.lexsort((ids[live], -scores))[:k]
-        out += [(number, int(live[i]), int(scores[i])) for i in best]
+    for low in range(0, len(queries), QUERY_BATCH):
+        some, own = queries[low : low + QUERY_BATCH], query_ids[low : low + QUERY_BATCH]
+        signed = np.hstack([np.maximum(some, 0), np.minimum(some, 0)])  # lists read downwards, upwards
+        rows = np.arange(n)
+        live = own[:, None] != ids[None, :]
+        depth = max(64, n // FIRST_PART)
+        while len(rows) > 4 * k and depth < n:
+            v, r = values[rows], rank[rows]
+            down, up = r >= n - depth, r < depth  # what is read of each row
+            least = np.hstack([np.where(down, v, ranked[0]), np.where(up, v, ranked[-1])])
+            most = np.hstack([np.where(down, v, ranked[n - depth]), np.where(up, v, ranked[depth - 1])])
+            lower, upper = signed @ least.T, signed @ most.T
+            lower[~live] = none
+            bar = np.partition(lower, len(rows) - k, axis=1)[:, len(rows) - k, None]
+            live &= upper >= bar
+            kept = live.any(axis=0)
+            rows, live = rows[kept], live[:, kept]
+            depth *= 4
+        scores = some @ values[rows].T
+        scores[~live] = none
+        for number, (mine, score) in enumerate(zip(live, scores)):
+            bar = np.partition(score, len(rows) - k)[len(rows) - k] if len(rows) > k else none
+            found = np.flatnonzero(mine & (score >= bar))
+            found = found[np.lexsort((ids[rows[found]], -score[found]))[:k]]
+            out += [(low + number, int(rows[j]), int(score[j])) for j in found]
     return out
 
 
