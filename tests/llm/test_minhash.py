@@ -143,3 +143,12 @@ def test_sets_of_several_homes_meet_in_a_cell(spark):
     assert {(r["key"], r["rep"]) for r in met.collect()} == {(1, 10), (1, 11)}
     assert minhash._meeting_often(met, minhash.Rule(meetings=2)).count() == 0
     assert minhash._meeting_often(met, minhash.Rule(meetings=1)).count() == met.count()
+
+
+def test_postings_between_classes_are_found_once(spark, monkeypatch):
+    plans = []
+    often = minhash._meeting_often
+    monkeypatch.setattr(minhash, "_meeting_often", lambda own, rule: plans.append(own._jdf.queryExecution().optimizedPlan().toString()) or often(own, rule))
+    docs = spark.createDataFrame([(i, f"a b c d e f g h i j k l m n o p q r s t u v w x y z {i}") for i in range(20)], "doc_id long, text string")
+    assert minhash.near_documents(docs).where("kept").count() == 1
+    assert len(plans) == 1 and "Join" not in plans[0]

@@ -354,7 +354,7 @@ def _links(sets: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     # Pairs of different homes and classes that meet often, and whose sizes allow the similarity.
     own = prefixes.select("key", "rep").join(homes, "rep", "left").join(joined, "rep", "left")
     own = own.select("key", "rep", F.coalesce("home", "rep").alias("home"), F.coalesce("component", "rep").alias("class"))
-    open_postings = _between_classes(own.join(sets.select("rep", "n"), "rep"), rule)
+    open_postings = kept(_between_classes(own.join(sets.select("rep", "n"), "rep"), rule), "open")  # read twice
     own = kept(_meeting_often(open_postings, rule), "between")
     pairs = own.toDF("key", "cell", "b", "home_b", "class_b", "n_b").join(own.toDF("key", "cell", "a", "home_a", "class_a", "n_a"), ["key", "cell"])
     pairs = pairs.where("a < b and home_a != home_b and class_a != class_b").where(
