@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tests.compare import compare, connect
@@ -152,3 +153,18 @@ def test_postings_between_classes_are_found_once(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a b c d e f g h i j k l m n o p q r s t u v w x y z {i}") for i in range(20)], "doc_id long, text string")
     assert minhash.near_documents(docs).where("kept").count() == 1
     assert len(plans) == 1 and "Join" not in plans[0]
+
+
+def test_sets_that_meet_others_in_single_coordinates_only_are_left_out(spark):
+    """Every value of theirs is met by some other set, as in large tables, but no other set has two at once."""
+    rng = np.random.default_rng(3)
+    rule = minhash.Rule()
+    unlike = rng.integers(0, 4, (400, rule.coordinates)).astype(np.uint64)
+    unlike = unlike * np.uint64(1000) + rng.integers(0, 60, unlike.shape).astype(np.uint64)  # one of 240 values
+    like = rng.integers(0, 2**40, (1, rule.coordinates)).astype(np.uint64).repeat(2, axis=0)
+    like[1, rng.permutation(rule.coordinates)[rule.matches :]] += np.uint64(1)  # as few agree as the rule allows
+    rows = np.concatenate([unlike, like])
+    sets = spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(minhash._packed(rows))], "rep long, sig binary")
+    assert minhash._prefixes(sets, rule).select("rep").distinct().count() > 300
+    left = {r.rep for r in minhash._partnered(sets, rule).collect()}
+    assert left >= {400, 401} and len(left) < 40

@@ -2,8 +2,10 @@
 
 Every distinct shingle set has a signature of k minima. It is posted under each pair of coordinate
 and value. Sets that are similar enough agree in at least t of k coordinates but for a chance of
-less than one in a million, so postings that no other set shares are skipped; a set with more than
-k - t of them has no partner; and of the rest only the rarest k - t + m postings (the prefix) need
+less than one in a million. So two of them agree in both coordinates of at least k / 2 - (k - t) of the k / 2
+pairs of neighbouring coordinates, which unlike sets hardly ever do: a first join by such pairs leaves out the
+sets that share too few of them with any other. Of the postings of the rest, those that no other set shares are
+skipped; a set with more than k - t of them has no partner; and of the others only the rarest k - t + m postings (the prefix) need
 to be merged, because two sets that agree in t coordinates meet in m of these. Pairs that meet so
 often have their collisions counted on the signatures, and what passes is confirmed on the full sets.
 
@@ -143,20 +145,38 @@ def _signed(docs: DataFrame, rule: Rule) -> DataFrame:
     return map_arrow(docs, run, "doc_id long, n long, set_a long, set_b long, sig binary")
 
 
-def _posted(sets: DataFrame) -> DataFrame:
-    """key and rep: each set under each of its coordinate-value pairs."""
+def _posted(sets: DataFrame, together: int = 1) -> DataFrame:
+    """key and rep: each set under each of its coordinate-value pairs, or under so many neighbouring ones together."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 rows = _rows(batch.column(1))
-                keys = np.stack([mixed(rows[:, c], 1000 + c) for c in range(rows.shape[1])], axis=1)
-                reps = np.repeat(np.asarray(batch.column(0)), rows.shape[1])
+                places = range(0, rows.shape[1] - together + 1, together)
+                keys = np.stack([mixed(rows[:, c], 1000 + c) for c in places], axis=1)
+                for j in range(1, together):
+                    keys = mixed(keys * np.uint64(3) + rows[:, j::together][:, : keys.shape[1]], j)
+                reps = np.repeat(np.asarray(batch.column(0)), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(reps)], names=["key", "rep"])
 
     return map_arrow(sets.select("rep", "sig"), run, "key long, rep long")
 
 
+def _partnered(sets: DataFrame, rule: Rule) -> DataFrame:
+    """The sets that share as many pairs of neighbouring coordinates with others as similar sets do.
+
+    Each of the k - t coordinates in which similar sets may differ spoils one pair at most. The values of one coordinate
+    are met by ever more unlike sets as these grow in number, those of two at once are not.
+    """
+    least = rule.coordinates // 2 - (rule.coordinates - rule.matches)
+    if least < 1:
+        return sets
+    posted = _posted(sets, 2)
+    shared = posted.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1").select("key")
+    often = posted.join(shared, "key").groupBy("rep").agg(F.count("*").alias("keys")).where(F.col("keys") >= least)
+    return sets.join(few(written(often.select("rep"), "minhash-partnered")), "rep", "left_semi")
+
+
 def _prefixes(sets: DataFrame, rule: Rule) -> DataFrame:
     """key, rep and weight of the postings that have to be merged; weight: how much a set shares with others."""
     posted = _posted(sets)
@@ -327,7 +347,7 @@ def _roots(pointers: DataFrame, jumps: int = 3) -> DataFrame:
 
 def _links(sets: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """rep and component of the sets that are linked to others."""
-    prefixes = written(_prefixes(sets, rule), "minhash-prefixes")
+    prefixes = written(_prefixes(_partnered(sets, rule), rule), "minhash-prefixes")
     made = [prefixes]
 
     def kept(rows: DataFrame, purpose: str = "links") -> DataFrame:
