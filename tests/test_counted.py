@@ -41,3 +41,11 @@ def test_terms_are_grouped_once(spark):
     """Rows of a term were grouped four times over, in tables of nearly as many groups as rows."""
     stats = m.term_stats(m.mentions(td.derived(spark, SF_SMALL, "posts")))
     assert "HashAggregate" not in stats._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unsupported_terms_stay_in_their_task(spark):
+    rows = m.mentions(td.derived(spark, SF_SMALL, "posts"))
+    got, all_terms = m.supported_stats(rows, 4, 3), m.term_stats(rows)
+    assert sorted(got.collect()) == sorted(m.supported(all_terms, 4, 3).collect())
+    assert "Filter" not in got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert got.count() < all_terms.count() / 20
