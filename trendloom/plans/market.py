@@ -147,7 +147,7 @@ _SUPPORTED_TERMS = f"SELECT DISTINCT {o.display('term_type', 'key')} AS term FRO
 
 
 def supported_terms(spark, sf):
-    stats = mentions.term_stats(mentions.mentions(td.derived(spark, sf, "posts")))
+    stats = mentions.post_stats(td.derived(spark, sf, "posts"))
     return mentions.with_scores(mentions.supported(stats)).select("term").distinct()
 
 
