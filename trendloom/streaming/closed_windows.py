@@ -12,15 +12,20 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendloom.functions.text import DEFAULT_RULES
+from trendloom.operators import dealt
 from trendloom.operators import mentions as m
-from trendloom.session import delete_folder, folder_exists
+from trendloom.session import GATHER_BYTES, delete_folder, folder_exists, tasks_for
 
 _SECOND = 1_000_000
 _DAY = 86_400 * _SECOND
+#: Blocks of counts are large rows, and a reader takes all rows of a row group at once.
+_SMALL_GROUPS = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 8}
 _LEDGER = "batch long, top long, passed long"
 #: Before every watermark.
 _NEVER = -(1 << 62)
@@ -50,22 +55,22 @@ def _pane(windows: Windows) -> Column:
     return F.floor(F.unix_micros(F.col("created_at").cast("timestamp")) / F.lit(slide)) * slide
 
 
+#: Mentions in windows that are grouped at once in a task, and the most rows of counts in a block of them.
+FOLD_ROWS, COUNT_ROWS = 2_000_000, 40_000
+
+
 def count_terms(posts: DataFrame, windows: Windows, before: int, passed: int, term_types: tuple[str, ...]) -> DataFrame:
-    """Counters with exact authors per term and window whose end lies in (before, passed]."""
+    """Counters with exact authors per term and window whose end lies in (before, passed], as blocks for ``_counts``.
+
+    Terms are dealt to tasks as numbers and never are a row for each mention and window; nor are equal counts of windows in a row.
+    """
     width, slide = _micros(windows.width), _micros(windows.slide)
-    rows = m.mentions(posts, term_types).withColumn("pane", _pane(windows))
-    starts = F.sequence(F.col("pane") - (width - slide), F.col("pane"), F.lit(slide))
-    rows = rows.withColumn("window_start", F.explode(starts) if width > slide else F.col("pane"))
-    end = F.col("window_start") + width
-    rows = rows.where((end > before) & (end <= passed))
-    is_cashtag = F.col("term_type") == m.CASHTAG
-    return rows.groupBy(_at(F.col("window_start")).alias("window_start"), "term_type", "key").agg(
-        F.count(F.lit(1)).alias("mention_count"),
-        F.countDistinct("username").alias("unique_authors"),
-        (F.sum("engagement_tenths") / 10.0).alias("total_engagement"),
-        F.count_if(is_cashtag | F.col("has_context")).alias("financial_context_count"),
-        F.count_if(~is_cashtag & F.col("has_cashtag")).alias("cashtag_cooccurrence_count"),
-    )
+    cores = posts.sparkSession.sparkContext.defaultParallelism
+    tasks, groups = m.tasks_and_groups(tasks_for(posts, GATHER_BYTES) or cores, cores)
+    groups *= width // slide
+    facts = {"username": F.col("username"), "time": F.unix_micros(F.col("created_at").cast("timestamp")), "marks": m.post_marks()}
+    blocks = m.term_blocks(posts, tasks, groups, term_types, DEFAULT_RULES, facts)
+    return blocks.mapInArrow(dealt.window_counting(groups, width, slide, before, passed, FOLD_ROWS, COUNT_ROWS), "counts binary")
 
 
 _COUNTS = (
@@ -74,6 +79,11 @@ _COUNTS = (
 )
 
 
+def _counts(blocks: DataFrame, slide: int) -> DataFrame:
+    rows = blocks.mapInArrow(dealt.read_counts(slide, m.ALL_TYPES), _COUNTS.replace("window_start timestamp_ntz", "window_start long"))
+    return rows.withColumn("window_start", _at(F.col("window_start")))
+
+
 def _ledger(spark: SparkSession, folder: str) -> list[tuple[int, int, int]]:
     if not folder_exists(spark, f"{folder}/ledger"):
         return []
@@ -123,7 +133,7 @@ def run_closed(
             batch.where(F.col("created_at").isNotNull())
             .withColumn("late", _pane(windows) + width <= before)
             .withColumn("day", F.floor(_pane(windows) / F.lit(_DAY)) * _DAY)
-            .write.mode("overwrite").partitionBy("late", "day").parquet(stored)
+            .write.mode("overwrite").option("compression", "zstd").partitionBy("late", "day").parquet(stored)
         )
         after_step("stored", number)
         arrived = _arrivals(spark, folder, schema)
@@ -135,7 +145,7 @@ def run_closed(
             open_rows = arrived.where(~F.col("late") & (F.col("batch") <= number)).where(_pane(windows) + width > before)
             due = open_rows.where(_pane(windows) + slide <= passed).drop("batch", "late", "day")
             counts = count_terms(due, windows, before, passed, term_types)
-            counts.write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
+            counts.write.mode("overwrite").options(**_SMALL_GROUPS).parquet(f"{folder}/blocks/batch={number}")
         after_step("counted", number)
         entry = spark.createDataFrame([(number, top, passed)], _LEDGER)
         entry.coalesce(1).write.mode("overwrite").parquet(f"{folder}/ledger/{number}")
@@ -146,14 +156,18 @@ def run_closed(
 
     stream = posts.writeStream.foreachBatch(take).option("checkpointLocation", f"{folder}/state")
     stream.trigger(availableNow=True).start().awaitTermination()
-    return closed_counts(posts.sparkSession, folder)
-
-
-def closed_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """The counts of all windows closed so far, of every run that used the folder."""
-    if not folder_exists(spark, f"{folder}/counts"):
-        return spark.createDataFrame([], _COUNTS)
-    return spark.read.schema(f"{_COUNTS}, batch long").parquet(f"{folder}/counts").drop("batch")
+    return closed_counts(posts.sparkSession, folder, windows)
+
+
+def closed_counts(spark: SparkSession, folder: str, windows: Windows = Windows()) -> DataFrame:
+    """The counts of all windows closed so far, of every run that used the folder, for windows with that slide."""
+    parts = []
+    if folder_exists(spark, f"{folder}/blocks"):
+        blocks = spark.read.schema("counts binary, batch long").parquet(f"{folder}/blocks")
+        parts.append(_counts(blocks.select("counts"), _micros(windows.slide)))
+    if folder_exists(spark, f"{folder}/counts"):  # plain rows, from before counts were kept in blocks
+        parts.append(spark.read.schema(f"{_COUNTS}, batch long").parquet(f"{folder}/counts").drop("batch"))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _COUNTS)
 
 
 def late_posts(spark: SparkSession, folder: str, posts: DataFrame) -> DataFrame:

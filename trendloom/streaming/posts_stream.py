@@ -163,9 +163,20 @@ def sliding_scores(
 
 
 def hottest_per_window(scored: DataFrame, k: int = 10) -> DataFrame:
-    """The best-scored terms of each closed window, from the table of ``sliding_scores``."""
+    """The best-scored terms of each closed window, from the table of ``sliding_scores``.
+
+    Ranking alone would sort every row in its task. The terms of a window are dealt by hash to more lots than k first: no term below
+    the k-th best of the best scores of the lots is among the k best, and is left out as it is read.
+    """
+    lot = F.pmod(F.xxhash64("term_type", "key"), F.lit(8 * k))
+    tops = scored.groupBy("window_start", lot.alias("lot")).agg(F.max("composite_score").alias("top"))
+    of_lots = Window.partitionBy("window_start").orderBy(F.desc("top"), "lot")
+    bounds = tops.withColumn("place", F.row_number().over(of_lots)).where(F.col("place") == k).select(F.col("window_start").alias("_window"), F.col("top").alias("_top"))
+    # One row for each window, whose number does not grow with the posts.
+    bounded = scored.join(F.broadcast(bounds), F.col("window_start").eqNullSafe(F.col("_window")), "left")
+    few = bounded.where(F.col("_top").isNull() | (F.col("composite_score") >= F.col("_top"))).drop("_window", "_top")
     best = Window.partitionBy("window_start").orderBy(F.desc("composite_score"), "term_type", "key")
-    ranked = scored.withColumn("window_rank", F.row_number().over(best))
+    ranked = few.withColumn("window_rank", F.row_number().over(best))
     return ranked.where(F.col("window_rank") <= k)
 
 
