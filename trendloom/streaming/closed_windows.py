@@ -25,7 +25,7 @@ from trendloom.session import GATHER_BYTES, delete_folder, folder_exists, tasks_
 _SECOND = 1_000_000
 _DAY = 86_400 * _SECOND
 #: Blocks of counts are large rows, and a reader takes all rows of a row group at once.
-_SMALL_GROUPS = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 8}
+SMALL_GROUPS = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 8}
 _LEDGER = "batch long, top long, passed long"
 #: Before every watermark.
 _NEVER = -(1 << 62)
@@ -145,7 +145,7 @@ def run_closed(
             open_rows = arrived.where(~F.col("late") & (F.col("batch") <= number)).where(_pane(windows) + width > before)
             due = open_rows.where(_pane(windows) + slide <= passed).drop("batch", "late", "day")
             counts = count_terms(due, windows, before, passed, term_types)
-            counts.write.mode("overwrite").options(**_SMALL_GROUPS).parquet(f"{folder}/blocks/batch={number}")
+            counts.write.mode("overwrite").options(**SMALL_GROUPS).parquet(f"{folder}/blocks/batch={number}")
         after_step("counted", number)
         entry = spark.createDataFrame([(number, top, passed)], _LEDGER)
         entry.coalesce(1).write.mode("overwrite").parquet(f"{folder}/ledger/{number}")

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from trendloom import schemas
 from trendloom.functions import scoring
+from trendloom.functions.text import DEFAULT_RULES
+from trendloom.operators import dealt
 from trendloom.operators import mentions as m
-from trendloom.session import delete_folder, folder_exists, numbered_folders, work_folder
+from trendloom.session import GATHER_BYTES, batch_tasks, delete_folder, folder_exists, numbered_folders, work_folder
 from trendloom.sources.posts import normalize_raw_posts
 from trendloom.streaming import closed_windows
 from trendloom.streaming.closed_windows import Windows
@@ -55,6 +57,28 @@ MAX_PARTS = 8
 _ACTIVITY = "trend_term string, run_date date, mention_count long, engagement_score double"
 
 
+#: Parts are blocks of counts by day, or plain rows where parts were merged.
+_PART = f"{_ACTIVITY}, counts binary"
+#: The day of posts without a time, and bounds around all days.
+_NO_DAY, _ALL_DAYS = -(1 << 61), (-(1 << 62), 1 << 62)
+
+
+def _activity_blocks(posts: DataFrame, term_types: tuple[str, ...]) -> DataFrame:
+    """``mentions.daily_activity`` of the mentions of a micro-batch, as blocks for ``_activity_rows``."""
+    tasks, groups = m.tasks_and_groups(batch_tasks(posts, GATHER_BYTES), posts.sparkSession.sparkContext.defaultParallelism)
+    day = F.coalesce(F.unix_date(F.to_date("created_at")).cast("long"), F.lit(_NO_DAY))
+    blocks = m.term_blocks(posts, tasks, groups, term_types, DEFAULT_RULES, {"time": day, "marks": m.post_marks()}, trimmed=True)
+    count = dealt.window_counting(groups, 1, 1, *_ALL_DAYS, closed_windows.FOLD_ROWS, closed_windows.COUNT_ROWS)
+    return blocks.mapInArrow(count, "counts binary")
+
+
+def _activity_rows(blocks: DataFrame) -> DataFrame:
+    counts = "window_start long, term_type string, key string, mention_count long, unique_authors long, total_engagement double, financial_context_count long, cashtag_cooccurrence_count long"
+    rows = blocks.mapInArrow(dealt.read_counts(1, m.ALL_TYPES), counts)
+    day = F.when(F.col("window_start") != _NO_DAY, F.date_from_unix_date(F.col("window_start").cast("int")))
+    return rows.select(F.col("key").alias("trend_term"), day.alias("run_date"), "mention_count", F.col("total_engagement").alias("engagement_score"))
+
+
 def ingest_activity(posts: DataFrame, folder: str, term_types: tuple[str, ...] = m.ALL_TYPES) -> None:
     """Add the daily activity of newly arrived posts to a table, once per post file.
 
@@ -64,8 +88,8 @@ def ingest_activity(posts: DataFrame, folder: str, term_types: tuple[str, ...] =
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        activity = m.daily_activity(m.mentions(batch, term_types))
-        activity.write.mode("overwrite").parquet(f"{folder}/activity/batch_id={batch_id}")
+        activity = _activity_blocks(batch, term_types)
+        activity.write.mode("overwrite").options(**closed_windows.SMALL_GROUPS).parquet(f"{folder}/activity/batch_id={batch_id}")
         merge_activity(batch.sparkSession, folder, batch_id - 1)
 
     query = (
@@ -107,7 +131,12 @@ def _activity_until(spark: SparkSession, folder: str, last: int | None = None) -
     numbers = numbered_folders(spark, f"{folder}/activity", "batch_id")
     paths = [f"{folder}/activity/batch_id={n}" for n in numbers if n > until and (last is None or n <= last)]
     paths += [f"{folder}/merged/until={until}"] if until >= 0 else []
-    parts = spark.read.schema(_ACTIVITY).parquet(*paths) if paths else spark.createDataFrame([], _ACTIVITY)
+    if not paths:
+        return spark.createDataFrame([], _ACTIVITY)
+    stored = spark.read.schema(_PART).parquet(*paths)
+    parts = stored.where("counts IS NULL").drop("counts").unionByName(_activity_rows(stored.where("counts IS NOT NULL").select("counts")))
+    if len(paths) == 1:  # a part has one row for each term and day
+        return parts
     return parts.groupBy("trend_term", "run_date").agg(
         F.sum("mention_count").alias("mention_count"),
         (F.sum(F.round(F.col("engagement_score") * 10).cast("bigint")) / 10.0).alias("engagement_score"),
